@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from sediment.llm import bpe
+from sediment.llm import bpe, lines, mixing, quality
 
 QUERIES = {
+    "op1_line_dedup": lines.op1_line_dedup,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_fertility": quality.op10_fertility,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": lines.OP1_SQL,
+    "op9_mix_sources": mixing.OP9_SQL,
+}
