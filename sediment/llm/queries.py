@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from sediment.llm import bpe, lines, mixing, quality
+from sediment.llm import bpe, jaccard, lines, mixing, quality
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op5_ngram_jaccard_join": jaccard.op5_ngram_jaccard_join,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_fertility": quality.op10_fertility,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": lines.OP1_SQL,
+    "op5_ngram_jaccard_join": jaccard.OP5_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
 }
