@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,3 +140,23 @@ def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def key_cuts(df: DataFrame, key: str, parts: int) -> list[int]:
+    """Cuts that deal an integer key into about equal ranges: quantiles of a sketch, at most parts - 1 numbers."""
+    if parts < 2:
+        return []
+    shares = [i / parts for i in range(1, parts)]
+    found = df.agg(F.percentile_approx(F.col(f"`{key}`").cast("long"), shares, 10_000)).first()[0]
+    return sorted(set(found or []))
+
+
+def range_of(key: Column, cuts: list[int]) -> Column:
+    """How many of the cuts are at or below the key; 0 without a key. Only the key travels to Python."""
+    bounds = np.array(cuts, np.int64)
+
+    @F.arrow_udf("int")
+    def place(keys: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(bounds, keys.to_numpy(zero_copy_only=False), "right").astype(np.int32))
+
+    return F.when(key.isNull(), F.lit(0)).otherwise(place(F.coalesce(key.cast("long"), F.lit(0))))
