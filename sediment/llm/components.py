@@ -8,30 +8,36 @@ from pyspark.sql import functions as F
 from sediment.llm.common import materialize
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    """Each node and its larger neighbours point to the least of the node and its neighbours.
+def _large(edges: DataFrame) -> DataFrame:
+    """Every node hands its larger neighbours to the least of itself and its neighbours.
 
     The least neighbour is found by a partial aggregation, so a node with very many links costs its task
     no more than one row a partition; the join back is a plain equi-join, whose hot keys Spark splits.
     """
     both = edges.unionByName(edges.select(F.col("root").alias("k"), F.col("k").alias("root")))
     least = both.groupBy("k").agg(F.least(F.col("k"), F.min("root")).alias("m"))
-    hung = both.join(least, "k").where(F.col("root") > F.col("k")).select(F.col("root").alias("k"), F.col("m").alias("root"))
-    own = least.where("m < k").select("k", F.col("m").alias("root"))
-    return hung.unionByName(own).where("root < k").distinct()
+    hung = both.join(least, "k").where(F.col("root") > F.col("k"))
+    return hung.select(F.col("root").alias("k"), F.col("m").alias("root")).distinct()
+
+
+def _small(edges: DataFrame) -> DataFrame:
+    """Every node joins its smaller neighbours, and itself, to the least of them. Edges run from larger to smaller."""
+    least = edges.groupBy("k").agg(F.min("root").alias("m"))
+    moved = edges.join(least, "k").where(F.col("root") > F.col("m")).select(F.col("root").alias("k"), F.col("m").alias("root"))
+    return moved.unionByName(least.select("k", F.col("m").alias("root"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (k, root) -> (k, g): every linked node and the least node of its component.
 
-    Rounds go on until every node hangs on one root that hangs on nothing: each round at least halves the
-    chains, so their number grows with the logarithm of the longest.
+    Large and small stars alternate until every node hangs on one root that hangs on nothing; the number
+    of rounds grows with the logarithm of the longest chain, and no round makes more links than it was given.
     """
     now = materialize(edges.select(F.least("k", "root").alias("root"), F.greatest("k", "root").alias("k")).select("k", "root").where("k <> root").distinct())
     while True:
-        several = now.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-        if several and now.join(now.select(F.col("k").alias("x")).distinct(), F.col("root") == F.col("x"), "left_semi").isEmpty():
+        single = now.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+        if single and now.join(now.select(F.col("k").alias("x")).distinct(), F.col("root") == F.col("x"), "left_semi").isEmpty():
             break
-        now = materialize(_star(now))
+        now = materialize(_small(materialize(_large(now))))
     tops = now.select(F.col("root").alias("k"), F.col("root").alias("g"))
     return materialize(now.select("k", F.col("root").alias("g")).unionByName(tops).distinct())
