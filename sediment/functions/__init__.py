@@ -1 +1 @@
-
+"""Hashes, profiles, media types, probes."""

@@ -1 +1 @@
-
+"""Cutting, taking apart, rebuilding and measuring."""

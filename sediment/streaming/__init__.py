@@ -1 +1 @@
-
+"""Streams that arrive in windows."""

@@ -4,7 +4,7 @@ import pytest
 
 from sediment.functions.blake3 import blake3
 from sediment.operators.chunkers import boundaries
-from tests import fixtures as f
+from sediment.plans import synthetic as f
 
 FOUR = 4 << 20
 # Fixed values.
