@@ -1,6 +1,8 @@
-"""The registered queries over the test tables and their DuckDB SQL."""
+"""The registered queries and their DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from sediment.plans import corpora, formats, routing
+
+QUERIES = routing.QUERIES | corpora.QUERIES | formats.QUERIES
+ORACLES = routing.ORACLES | corpora.ORACLES | formats.ORACLES

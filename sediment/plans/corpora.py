@@ -111,30 +111,40 @@ chunks AS (SELECT {key}, ordinal, "start", "end" FROM picked WHERE ordinal >= 0)
 GENERIC_DOCS = f"""
 WITH RECURSIVE g AS ({_gear_sql(GENERIC)}),
 s AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
-bytes AS (SELECT doc_id, p, h[2 * p - 1 : 2 * p] AS byte FROM (SELECT doc_id, h, unnest(range(1, n + 1)) AS p FROM s WHERE n > 16384)),
+bytes AS (SELECT doc_id, unnest(range(1, n + 1)) AS p, unnest(regexp_extract_all(h, '..')) AS byte FROM s WHERE n > 16384),
 low AS (SELECT doc_id, p, v & 262143 AS v FROM bytes JOIN g USING (byte)),
 hashed AS (
   SELECT doc_id, p, sum(t) AS t FROM (SELECT doc_id, p + k AS p, (v << k) & 262143 AS t FROM low, (SELECT unnest(range(0, 18)) AS k)) GROUP BY doc_id, p),
 cand AS (SELECT doc_id, p AS e, t % 262144 = 0 AS strict, t % 16384 = 0 AS relaxed FROM hashed WHERE t % 16384 = 0),
 {_greedy_sql("doc_id")}"""
 
-# only positions at seams are judged; the top 11 bits need the last 64 bytes
-TEXT_LANG = f"""
+def _doubling_sql(steps: int) -> str:
+    """H_2m(p) = H_m(p) + 2^m H_m(p - m), one window pass a step."""
+    out = []
+    for k in range(steps):
+        m = 1 << k
+        prior = f"lag(v, {m}) OVER (PARTITION BY name ORDER BY p)"
+        out.append(f"h{k + 1} AS (SELECT name, p, byte, ((v::HUGEINT + coalesce((({prior}) & {(1 << (64 - m)) - 1}::UBIGINT)::HUGEINT * {1 << m}::HUGEINT, 0)) % 18446744073709551616)::UBIGINT AS v FROM h{k})")
+    return ",\n".join(out)
+
+
+# only positions at seams are judged, by the top 10 or 11 of 64 bits
+def _text_sql(streams: str) -> str:
+    return f"""
 WITH RECURSIVE g AS ({_gear_sql(TEXT)}),
-s AS (
-  SELECT name, t, octet_length(encode(t)) AS n, hex(encode(t)) AS h
-  FROM (SELECT lang AS name, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY lang)),
-bytes AS (SELECT name, p, h[2 * p - 1 : 2 * p] AS byte FROM (SELECT name, h, unnest(range(1, n + 1)) AS p FROM s)),
-seams AS (SELECT name, p, byte = '0A' AS line FROM bytes WHERE byte IN ('0A', '09', '0D', '20', '2C', '3B', '2E', '7D', '5D', '3E', '29')),
-valued AS (SELECT name, p, v FROM bytes JOIN g USING (byte)),
-hashed AS (
-  SELECT s.name, s.p, any_value(s.line) AS line, sum((((b.v::HUGEINT) % (1::HUGEINT << (64 - k)::INT)) * (1::HUGEINT << k::INT))::HUGEINT) % 18446744073709551616 AS t
-  FROM seams s, (SELECT unnest(range(0, 64)) AS k) ks JOIN valued b ON b.name = s.name AND b.p = s.p - k GROUP BY s.name, s.p),
+s AS (SELECT name, t, octet_length(encode(t)) AS n, hex(encode(t)) AS h FROM ({streams})),
+bytes AS (SELECT name, unnest(range(1, n + 1)) AS p, unnest(regexp_extract_all(h, '..')) AS byte FROM s),
+h0 AS (SELECT name, p, byte, v FROM bytes JOIN g USING (byte)),
+{_doubling_sql(6)},
 cand AS (
-  SELECT name, p AS e, line AND t < 18014398509481984 AS strict, t < 9007199254740992 AS relaxed
-  FROM hashed WHERE t < 18014398509481984),
+  SELECT name, p AS e, byte = '0A' AND v < 18014398509481984 AS strict, v < 9007199254740992 AS relaxed
+  FROM h6 WHERE v < 18014398509481984 AND byte IN ('0A', '09', '0D', '20', '2C', '3B', '2E', '7D', '5D', '3E', '29')),
 {_greedy_sql("name")}"""
 
+
+TEXT_LANG = _text_sql("SELECT lang AS name, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY lang")
+TEXT_DOCS = _text_sql("SELECT 'doc' || doc_id || '.md' AS name, coalesce(text, '') AS t FROM documents")
+
 _PER = f"""{GENERIC_DOCS},
 named AS (SELECT d.source, c."end" - c."start" AS length, sha256(encode(coalesce(d.text, ''))[c."start" + 1 : c."end"]) AS digest FROM chunks c JOIN documents d USING (doc_id))"""
 
@@ -153,5 +163,8 @@ SELECT x.source AS base, y.source AS other, sum(y.n)::BIGINT AS shared_chunks, s
        round(100.0::DOUBLE * sum(y.b)::DOUBLE / any_value(t.total_bytes)::DOUBLE, 9) AS percent
 FROM per x JOIN per y ON x.digest = y.digest AND x.source <> y.source JOIN totals t ON t.source = y.source GROUP BY x.source, y.source""",
     "new_chunks": f"{_PER} SELECT source, count(*) AS chunks, sum(length)::BIGINT AS bytes FROM named WHERE source <> 'src0' AND digest NOT IN (SELECT digest FROM named WHERE source = 'src0') GROUP BY source",
+    "corpus_report": f"""{TEXT_DOCS}
+SELECT s.name AS path, any_value(s.n) AS input_bytes, 'structured-text-v1' AS route, 0::BIGINT AS members, count(c.ordinal) AS chunks, coalesce(sum(c."end" - c."start"), 0)::BIGINT AS stored_bytes
+FROM s LEFT JOIN chunks c ON c.name = s.name GROUP BY s.name""",
     "exact_copies": "SELECT sha256(coalesce(text, '')) AS digest, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
 }

@@ -84,7 +84,7 @@ MEMBERS = [
     ("bundle.zip", b"PK\3\4\x14\0", "application/zip", "zip"),
     ("data.tar.gz", b"\x1f\x8b\x08\0", "application/gzip", "gzip"),
     ("data.tgz", b"\x1f\x8b\x08\0", "application/gzip", "gzip"),
-    ("snapshot.png", b"PK\3\4\x14\0", None, None),
+    ("snapshot.png", b"PK\3\4\x14\0", "image/png", None),
     ("noname", b"PK\3\4\x14\0", None, "zip"),
     ("deep/dir.v1/report.JSON", b"{}", "application/json", None),
     ("movie.mkv", b"plain words, no movie", None, None),
@@ -150,7 +150,7 @@ def media_type_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def media_type_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark, [r[0] for r in BAD_MEDIA_TYPES]).select("input", "m.error", F.col("m.offset").cast("int").alias("offset"))
+    return _parsed(spark, [r[0] for r in BAD_MEDIA_TYPES]).select("input", "m.error", F.coalesce("m.offset", F.lit(-1)).cast("int").alias("offset"))
 
 
 def select_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +233,7 @@ ORACLES = {
     "registry_diff": f"SELECT coalesce(a.essence, b.essence) AS essence, coalesce(a.profile, 'generic-cdc-v1') AS v1, coalesce(b.profile, 'generic-cdc-v1') AS v2 FROM ({REGISTRY_1}) a FULL JOIN ({REGISTRY_2}) b ON a.essence = b.essence WHERE coalesce(a.profile, 'generic-cdc-v1') <> coalesce(b.profile, 'generic-cdc-v1')",
     "profile_dim": values([(1, "generic-cdc-v1", True), (2, "structured-text-v1", True), (3, "zip-v1", True), (4, "isobmff-v1", True), (5, "matroska-v1", True), (6, "mpegts-v1", True), (7, "framed-audio-v1", True), (8, "ooxml-v1", True), (9, "ooxml-ber-v1", True), (10, "pdf-v1", True)], "profile_id, profile, implemented"),
     "media_type_parse": values(MEDIA_TYPES, "input, essence, suffix, canonical"),
-    "media_type_errors": values(BAD_MEDIA_TYPES, "input, error, \"offset\""),
+    "media_type_errors": values([(a, b, -1 if c is None else c) for a, b, c in BAD_MEDIA_TYPES], "input, error, \"offset\""),
     "select_profiles": values(SELECTED, "input, v1, v2"),
     "detect_signatures": values([(i, r[1], r[2]) for i, r in enumerate(SIGNATURES)], "i, v1, v2"),
     "detect_documents": _detect_sql("documents", "doc_id", "text"),
