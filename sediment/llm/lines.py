@@ -87,7 +87,8 @@ def drop_boilerplate(df: DataFrame, host: Column, text: str = "text", ratio: flo
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    shown = pages.select("page_id", host_of(F.col("url")).alias("host"), visible_lines(F.col("html")).alias("text"))
+    # read twice below: the patterns run over the raw pages once
+    shown = materialize(pages.select("page_id", host_of(F.col("url")).alias("host"), visible_lines(F.col("html")).alias("text")))
     out = drop_boilerplate(shown, F.col("host"))
     return out.select("page_id", "host", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), "text")
 
