@@ -26,8 +26,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that a source repeats on many of its documents go; n_chars follows the text, every document stays."""
-    out = lines.drop_boilerplate(docs, F.col("source")).drop("__n_lines", "__n_dropped")
-    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    out = lines.drop_boilerplate(docs, F.col("source")).select("row.*")
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +39,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; one it leaves out goes."""
-    mixed = mixing.mix(docs).where(F.col("__copies") > 0)
-    copies = mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return copies.select(*[F.col(f"`{n}`") for n in docs.columns])
+    mixed = mixing.mix(docs).where(F.col("copies") > 0)
+    return mixed.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

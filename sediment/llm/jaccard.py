@@ -311,10 +311,11 @@ def _by(name: str):
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One document of each class, the one of the least id, with all columns of docs; of rows alike in id and text one stays."""
-    kept = join(docs, key, text, **how).where("keeper").select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
-    keyed = docs.withColumn("__h", F.xxhash64(text_or_empty(f"`{text}`")))
-    out = keyed.join(kept, F.col(f"`{key}`").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left_semi")
-    return out.dropDuplicates([key, "__h"]).drop("__h")
+    kept = join(docs, key, text, **how).where("keeper").select("id", "th").distinct()
+    whole = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row")
+    rows = docs.select(whole, F.col(f"`{key}`").alias("k"), F.xxhash64(text_or_empty(f"`{text}`")).alias("h"))
+    out = rows.join(kept, F.col("k").eqNullSafe(F.col("id")) & (F.col("h") == F.col("th")), "left_semi")
+    return out.groupBy("k", "h").agg(F.any_value("row").alias("row")).select("row.*")
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,7 +324,8 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = rf"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 shingles AS (
   SELECT DISTINCT doc_id, array_to_string(w[i : i + {SHINGLE - 1}], ' ') AS s
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) AS i FROM words WHERE len(w) > 0)),

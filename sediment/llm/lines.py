@@ -64,25 +64,23 @@ def boilerplate(df: DataFrame, host: Column, text: Column, ratio: float = RATIO,
 
 
 def drop_boilerplate(df: DataFrame, host: Column, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """df with its text cut to the kept lines, and __n_lines, __n_dropped (long) behind its columns.
+    """(row, n_lines, n_dropped): each row of df as a struct, its text cut to the kept lines, and counts (long).
 
     The lists join as a written table whose size is known: Spark broadcasts them only while they are
     under its threshold, and else joins by shuffle and splits a hot host's pages.
     """
-    names = df.columns
-    lists = materialize(boilerplate(df, host, F.col(f"`{text}`"), ratio, min_pages)).select(F.col("host_null").alias("__hn"), F.col("host_name").alias("__h"), F.col("lines").alias("__often"))
-    keyed = df.withColumns({"__hn0": F.isnull(host), "__h0": F.coalesce(host, F.lit(""))})
-    joined = keyed.join(lists, (F.col("__hn0") == F.col("__hn")) & (F.col("__h0") == F.col("__h")), "left")
     body = F.col(f"`{text}`")
-    lines = F.split(body, "\n")
-    often = F.coalesce(F.col("__often"), F.array().cast("array<struct<a:bigint,b:bigint>>"))
+    lists = materialize(boilerplate(df, host, body, ratio, min_pages)).withColumnRenamed("lines", "often")
+    whole = F.struct(*[F.col(f"`{n}`") for n in df.columns]).alias("row")
+    keyed = df.select(whole, F.isnull(host).alias("hn"), F.coalesce(host, F.lit("")).alias("h"), F.split(body, "\n").alias("lines"))
+    joined = keyed.join(lists, (F.col("hn") == F.col("host_null")) & (F.col("h") == F.col("host_name")), "left")
+    often = F.coalesce(F.col("often"), F.array().cast("array<struct<a:bigint,b:bigint>>"))
     solid = lambda x: F.btrim(x, F.lit(" \t\r")) != ""
-    kept = F.when(F.size(often) == 0, lines).otherwise(F.filter(lines, lambda x: ~(solid(x) & F.array_contains(often, _key(x)))))
-    out = joined.withColumns({"__lines": lines, "__kept": kept})
-    counts = {"__n_lines": F.coalesce(F.size(F.filter("__lines", solid)), F.lit(0)), "__n_left": F.coalesce(F.size(F.filter("__kept", solid)), F.lit(0))}
-    counts = {k: F.when(body.isNull(), F.lit(0)).otherwise(v).cast("long") for k, v in counts.items()}
-    out = out.withColumns(counts).withColumn(text, F.array_join("__kept", "\n"))
-    return out.select(*[F.col(f"`{n}`") for n in names], "__n_lines", (F.col("__n_lines") - F.col("__n_left")).alias("__n_dropped"))
+    kept = F.when(F.size(often) == 0, F.col("lines")).otherwise(F.filter("lines", lambda x: ~(solid(x) & F.array_contains(often, _key(x)))))
+    out = joined.select("row", "lines", kept.alias("kept"))
+    count = lambda name: F.when(F.col(name).isNull(), F.lit(0)).otherwise(F.size(F.filter(name, solid))).cast("long")
+    out = out.select(F.col("row").withField(f"`{text}`", F.array_join("kept", "\n")).alias("row"), count("lines").alias("n_lines"), count("kept").alias("n_left"))
+    return out.select("row", "n_lines", (F.col("n_lines") - F.col("n_left")).alias("n_dropped"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +88,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     # read twice below: the patterns run over the raw pages once
     shown = materialize(pages.select("page_id", host_of(F.col("url")).alias("host"), visible_lines(F.col("html")).alias("text")))
     out = drop_boilerplate(shown, F.col("host"))
-    return out.select("page_id", "host", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), "text")
+    return out.select("row.page_id", "row.host", "n_lines", "n_dropped", "row.text")
 
 
 OP1_SQL = rf"""

@@ -79,21 +79,22 @@ def cuts(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """df and, behind its columns, __size, __source_size, __target, __copies: how often the mix takes the row.
+    """(row, size, source_size, target, copies): each row of df as a struct, and how often the mix takes it.
 
     The cuts join as a written table of known size, one row a source: broadcast under Spark's threshold,
     else joined by shuffle with a hot source's rows split.
     """
-    limits = cuts(df, key, text, source, **how).select(F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "epochs", "cut")
+    limits = cuts(df, key, text, source, **how).withColumnRenamed("source", "of")
     body = text_or_empty(f"`{text}`")
-    out = df.join(limits, F.col(f"`{source}`").eqNullSafe(F.col("__s")), "left")
-    copies = F.col("epochs") + (place(F.col(f"`{key}`"), body) <= F.col("cut")).cast("long")
-    return out.withColumns({"__size": words(body), "__copies": copies}).select(*[F.col(f"`{n}`") for n in df.columns], "__size", "__source_size", "__target", "__copies")
+    whole = F.struct(*[F.col(f"`{n}`") for n in df.columns]).alias("row")
+    rows = df.select(whole, F.col(f"`{source}`").alias("from"), words(body).alias("size"), place(F.col(f"`{key}`"), body).alias("place"))
+    out = rows.join(limits, F.col("from").eqNullSafe(F.col("of")), "left")
+    return out.select("row", "size", "source_size", "target", (F.col("epochs") + (F.col("place") <= F.col("cut")).cast("long")).alias("copies"))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
-    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
+    return out.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 OP9_SQL = r"""
