@@ -76,7 +76,7 @@ def analyse(files: DataFrame, path: str = "path", content: str = "content", decl
 
     def cut(head: tuple, profile: str, data: bytes) -> list[tuple]:
         form, ends = chunkers.canonical_form(profile, data), chunkers.boundaries(profile, data)
-        starts = [0, *ends[:-1]]
+        starts = [0, *ends][: len(ends)]
         return [(*head, profile, k, a, b, b - a, hashed(form[a:b])) for k, (a, b) in enumerate(zip(starts, ends, strict=True))]
 
     def refused(name: str, why: str, container: str | None, member: bytes | None, data: bytes) -> list[tuple]:
