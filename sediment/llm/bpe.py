@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sediment.llm.common import Growing, WordTable, documents, gather, small_batches, text_or_empty
+from sediment.llm.common import Growing, WordTable, documents, fresh, gather, small_batches, text_or_empty
 
 #: Pieces of up to this many bytes go through the batched tree.
 SHORT = 32
@@ -247,7 +248,7 @@ def encoder(path: str, pattern: str) -> Encoder:
 def encode_column(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep`, `ids` (array of int) and `decoded` (the bytes the ids stand for)."""
     small_batches(df.sparkSession)
-    source = df.select(*keep, text_or_empty(text).alias("__text"))
+    source = df.select(*[F.col(f"`{n}`") for n in keep], text_or_empty(f"`{text}`").alias(fresh("__text", list(keep))))
     schema = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in keep) + ", ids array<int>, decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

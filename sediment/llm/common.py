@@ -64,6 +64,13 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def fresh(base: str, taken: list[str]) -> str:
+    """A column name that no column in `taken` has."""
+    while base.lower() in {t.lower() for t in taken}:
+        base += "_"
+    return base
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bound what one Arrow batch of whole texts can hold, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

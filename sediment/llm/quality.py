@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm.common import Growing, WordTable, documents, gather, small_batches, text_or_empty
+from sediment.llm.common import Growing, WordTable, documents, fresh, gather, small_batches, text_or_empty
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -150,7 +150,7 @@ def meter(model: str) -> Meter:
 def _measured(df: DataFrame, model: str, bands: dict | None, text: str, lang: str | None, keep: list[str], only_kept: bool = False) -> DataFrame:
     """One pass over df: the columns `keep`, then the measures, base_failed and kept; or only the kept rows' `keep`."""
     small_batches(df.sparkSession)
-    source = df.select(*[F.col(f"`{n}`") for n in keep], text_or_empty(f"`{text}`").alias("__text"), (F.col(f"`{lang}`").cast("string") if lang else F.lit(None).cast("string")).alias("__lang"))
+    source = df.select(*[F.col(f"`{n}`") for n in keep], text_or_empty(f"`{text}`").alias(fresh("__text", keep)), (F.col(f"`{lang}`").cast("string") if lang else F.lit(None).cast("string")).alias(fresh("__lang", keep)))
     kept_schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(keep)]]
     extra = [] if only_kept else [MEASURE_SCHEMA, "base_failed boolean, kept boolean"]
 
