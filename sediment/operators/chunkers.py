@@ -37,7 +37,9 @@ CHUNKERS: dict[str, Callable[[bytes], list[int]]] = {
 def boundaries(profile: str, data: bytes, expected: str | None = None) -> list[int]:
     """Chunk ends, in the profile's canonical form; Rejected if the profile can't read the value."""
     if expected is not None:
-        return {OOXML: office.ooxml, OOXML_BER: office.ooxml_ber}[profile](data, expected)
+        if profile not in (OOXML, OOXML_BER):
+            raise ValueError("an Office kind can be expected of packages only")
+        return (office.ooxml if profile == OOXML else office.ooxml_ber)(data, expected)
     return CHUNKERS[known(profile)](data)
 
 

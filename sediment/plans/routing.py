@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.functions import media_type, probe
+from sediment.functions import media_type, paths, probe
 from sediment.functions.profiles import GENERIC, PROFILES
 from sediment.operators.decompose import infer_member
 
@@ -226,7 +226,40 @@ def member_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("m", infer("path", "prefix")).select("path", "m.media_type", "m.container")
 
 
-QUERIES = {f.__name__: f for f in (registry_v1, registry_v2, registry_diff, profile_dim, media_type_parse, media_type_errors, select_profiles, detect_signatures, detect_documents, detect_pages, reconcile_matrix, member_inference)}
+# What each path is: extension, media type by name, wrapped tar, safe, XML part, Office kind.
+PATHS = [
+    ("docs/Readme.MD", "md", "text/markdown", False, True, False, None),
+    ("a/b.tar.GZ", "gz", "application/gzip", True, True, False, None),
+    ("x.tgz", "tgz", "application/gzip", True, True, False, None),
+    ("a.b/c", None, None, False, True, False, None),
+    ("x.", None, None, False, True, False, None),
+    ("x.ninechars", None, None, False, True, False, None),
+    ("/etc/passwd.txt", "txt", "text/plain", False, False, False, None),
+    ("\\\\share\\f.png", "png", "image/png", False, False, False, None),
+    ("a/../b.js", "js", "text/javascript", False, False, False, None),
+    ("a/..b/c.unknown", "unknown", None, False, True, False, None),
+    ("word/document.xml", "xml", "application/xml", False, True, True, "word"),
+    ("xl/workbook.xml", "xml", "application/xml", False, True, True, "excel"),
+    ("ppt/presentation.xml", "xml", "application/xml", False, True, True, "powerpoint"),
+    ("_rels/.RELS", "rels", None, False, True, True, None),
+]
+
+
+def path_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(r[0],) for r in PATHS], "path string")
+    p = F.col("path")
+    return rows.select("path", paths.extension(p).alias("extension"), paths.media_type_of_name(p).alias("media_type"), paths.is_wrapped_tar(p).alias("wrapped_tar"), paths.is_safe(p).alias("safe"), paths.is_xml_part(p).alias("xml_part"), paths.office_kind(p).alias("office"))
+
+
+def detected_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By language, the union of what its documents show."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = probe.detected(F.encode(F.col("text"), "UTF-8"))
+    union = docs.groupBy("lang").agg(F.bit_or(paths.set_bits(found)).alias("bits"))
+    return union.select("lang", F.array_join(paths.set_names(F.col("bits")), ", ").alias("profiles"))
+
+
+QUERIES = {f.__name__: f for f in (registry_v1, registry_v2, registry_diff, profile_dim, media_type_parse, media_type_errors, select_profiles, detect_signatures, detect_documents, detect_pages, reconcile_matrix, member_inference, path_predicates, detected_sets)}
 ORACLES = {
     "registry_v1": REGISTRY_1,
     "registry_v2": REGISTRY_2,
@@ -239,5 +272,9 @@ ORACLES = {
     "detect_documents": _detect_sql("documents", "doc_id", "text"),
     "detect_pages": _detect_sql("pages", "page_id", "html"),
     "reconcile_matrix": RECONCILE_SQL,
+    "path_predicates": values(PATHS, "path, extension, media_type, wrapped_tar, safe, xml_part, office"),
+    "detected_sets": f"""SELECT lang, concat_ws(', ', CASE WHEN bool_or(detected LIKE '%text%') THEN 'structured-text-v1' END, CASE WHEN bool_or(detected LIKE '%mpegts%') THEN 'mpegts-v1' END,
+       CASE WHEN bool_or(detected LIKE '%audio%') THEN 'framed-audio-v1' END, CASE WHEN bool_or(detected LIKE '%pdf%') THEN 'pdf-v1' END) AS profiles
+FROM ({_detect_sql("documents", "doc_id", "text")}) JOIN documents USING (doc_id) GROUP BY lang""",
     "member_inference": values([(r[0], r[2], r[3]) for r in MEMBERS], "path, media_type, container"),
 }

@@ -62,3 +62,25 @@ def test_columns_equal_functions(spark):
 def test_extensions():
     assert extension(b"a/b.tar.GZ") == "gz" and extension(b"a.b/c") is None and extension(b"x.") is None
     assert extension(b"x.ninechars") is None and extension(b"x.\xff") is None
+
+
+def test_container_kinds(spark):
+    from sediment.functions import paths
+    from sediment.operators.decompose import container_of
+    from sediment.plans.formats import CONTAINERS
+
+    plain = bytearray(dict(CONTAINERS)["tar"][:600])
+    plain[257:263] = bytes(6)  # without the magic the checksum tells
+    plain[148:156] = b" " * 8
+    plain[148:156] = b"%06o\0 " % sum(plain[:512])
+    cases = [c for _, c in CONTAINERS] + [bytes(plain), bytes(600), b"", b"PK\1\2", bytes(plain[:300])]
+    rows = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(cases)], "i int, c binary")
+    got = {r["i"]: r["k"] for r in rows.select("i", paths.container_kind(F.col("c")).alias("k")).collect()}
+    assert [got[i] for i in range(len(cases))] == [container_of(c[:512]) for c in cases] and got[len(CONTAINERS)] == "tar"
+
+
+def test_profile_sets(spark):
+    from sediment.functions import paths
+
+    row = spark.range(1).select(paths.set_names(paths.set_bits(F.array(F.lit("framed-audio-v1"), F.lit("generic-cdc-v1")))).alias("s")).first()
+    assert row["s"] == ["generic-cdc-v1", "framed-audio-v1"]
