@@ -17,10 +17,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
 
 
+#: Documents of a stream: a corpus is cut into streams that a task can hold, whatever its size.
+STREAM_IDS = 4096
+
+
 def corpus_streams(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
-    """(name, content): the texts of each value of `by`, in order of doc_id, joined by a line end. The streams are as many as the column's values."""
+    """(name, content): the texts of each value of `by` and range of STREAM_IDS ids, in order of doc_id, joined by a line end."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = docs.groupBy(F.col(by).alias("name")).agg(F.sort_array(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
+    name = F.concat_ws("/", F.col(by), F.floor(F.col("doc_id") / STREAM_IDS).cast("string"))
+    rows = docs.groupBy(name.alias("name")).agg(F.sort_array(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
     return rows.select("name", F.encode(F.array_join(F.transform("t", lambda x: x["text"]), "\n"), "UTF-8").alias("content"))
 
 
@@ -142,7 +147,7 @@ cand AS (
 {_greedy_sql("name")}"""
 
 
-TEXT_LANG = _text_sql("SELECT lang AS name, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY lang")
+TEXT_LANG = _text_sql(f"SELECT concat_ws('/', lang, doc_id // {STREAM_IDS}) AS name, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY 1")
 TEXT_DOCS = _text_sql("SELECT 'doc' || doc_id || '.md' AS name, coalesce(text, '') AS t FROM documents")
 
 _PER = f"""{GENERIC_DOCS},
