@@ -244,6 +244,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, key: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=["id", "part", "ids"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_ids.cache_clear()  # the worker may have encoded before: what it remembers is of no use from here on
         keys, held, size, part, seq = [], [], 0, None, 0
 
         def image() -> pa.RecordBatch:
@@ -275,6 +276,7 @@ def read_token_files(images: DataFrame, key: str = "doc_id") -> DataFrame:
     starts = images.select("part", "seq", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_ids.cache_clear()
         for batch in batches:
             for data, first in zip(batch.column(0), batch.column(1), strict=True):
                 keys, at, ids = read_image(data.as_py())
