@@ -65,9 +65,9 @@ def pack(values: np.ndarray) -> bytes:
         these = np.flatnonzero(width == w)
         for a in range(0, len(these), 256):
             some = these[a : a + 256]
-            kept = np.where(wide[some], 0, rest[some])
-            bits = (kept[:, :, None] >> np.arange(w)) & 1
-            for i, row in zip(some, np.packbits(bits.astype(np.uint8).reshape(len(some), -1), axis=1, bitorder="little"), strict=True):
+            kept = np.where(wide[some], 0, rest[some]).astype("<u2" if w <= 16 else "<u4")
+            bits = np.unpackbits(kept.view(np.uint8).reshape(len(some), BLOCK, -1), axis=2, bitorder="little")[:, :, :w]
+            for i, row in zip(some, np.packbits(bits.reshape(len(some), -1), axis=1, bitorder="little"), strict=True):
                 packed[i] = row.tobytes()
     body, starts, at = [], np.empty(blocks, np.uint64), 0
     where, what = np.nonzero(wide)
@@ -107,9 +107,10 @@ def unpack(data: bytes, at: int = 0, first: int = 0, count: int | None = None) -
             raw = np.stack([np.frombuffer(data, np.uint8, size, base + int(index[lo + k]) + 7) for k in some])
             bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(some), BLOCK, w)
             # whole bytes of each value, then one wide integer
-            whole = np.zeros((len(some), BLOCK, 32), np.uint8)
+            room = 16 if w <= 16 else 32
+            whole = np.zeros((len(some), BLOCK, room), np.uint8)
             whole[:, :, :w] = bits
-            out[some] = np.packbits(whole, axis=2, bitorder="little").reshape(len(some), -1).view("<u4")
+            out[some] = np.packbits(whole, axis=2, bitorder="little").reshape(len(some), -1).view("<u2" if room == 16 else "<u4")
     for k, (least, w, patched) in enumerate(heads):
         if patched:
             p = base + int(index[lo + k]) + 7 + BLOCK * w // 8
@@ -167,12 +168,17 @@ class WordIds:
         self.ends = np.zeros(size, bool)
         for token, i in self.library.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.reset()
+        self.forget_chunks()
+        self.forget_pieces()
 
-    def reset(self) -> None:
-        self.table, self.pieces = WordTable(REMEMBERED), WordTable(REMEMBERED)
-        self.piece_ids, self.piece_start, self.piece_len = Growing(np.int64), Growing(np.int64), Growing(np.int64)
-        self.ids, self.start, self.len = Growing(np.int64), Growing(np.int64), Growing(np.int64)
+    def forget_chunks(self) -> None:
+        self.table = WordTable(REMEMBERED)
+        self.ids, self.start, self.len = Growing(np.int32), Growing(np.int64), Growing(np.int32)
+
+    def forget_pieces(self) -> None:
+        """Chunks hold their ids themselves: they outlive the pieces."""
+        self.pieces = WordTable(REMEMBERED)
+        self.piece_ids, self.piece_start, self.piece_len = Growing(np.int32), Growing(np.int64), Growing(np.int32)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int64) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -211,8 +217,10 @@ class WordIds:
         self.len.extend(sizes)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.table.full() or self.pieces.full():
-            self.reset()
+        if self.table.full():
+            self.forget_chunks()
+        if self.pieces.full():
+            self.forget_pieces()
         numbers = [self.table.numbers(t.replace("\n", " ").split(" ")) for t in texts]
         if self.table.fresh:
             self.learn()
