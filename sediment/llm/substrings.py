@@ -151,7 +151,8 @@ def factors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     rows = _keyed(docs, key, text)
     index = materialize(_index(rows, kind))
     # grams that govern blocks in two places or more, and whether these blocks are all one
-    shared = index.groupBy("gram").agg(F.count("*").alias("n"), (F.min("block") == F.max("block")).alias("one")).where("n > 1").select("gram", "one")
+    # written out, so that the join back is between two plain exchanges and a hot gram's rows can be split
+    shared = materialize(index.groupBy("gram").agg(F.count("*").alias("n"), (F.min("block") == F.max("block")).alias("one")).where("n > 1").select("gram", "one"))
     hits = materialize(index.join(shared, "gram"))
     several = hits.where("not one")
     blocks = materialize(several.groupBy("gram", "block").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "a", "m")).alias("at")))
@@ -161,7 +162,7 @@ def factors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     asked = asked.groupBy("id", "th").agg(F.collect_list("b").alias("asked"))
     texts = rows.join(asked.select(F.col("id").alias("i"), F.col("th").alias("h"), "asked"), F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")))
     windows = materialize(_windows(texts, kind).distinct())
-    twice = windows.groupBy("gram", "window").agg(F.sum("c").alias("n")).where("n > 1").select("gram", "window")
+    twice = materialize(windows.groupBy("gram", "window").agg(F.sum("c").alias("n")).where("n > 1").select("gram", "window"))
     single = windows.where("c = 1").join(twice, ["gram", "window"], "left_semi").select("id", "th", "a", F.lit(1).alias("m"))
     spans = hits.where("one").select("id", "th", "a", "m").unionByName(again.select("id", "th", "a", "m")).unionByName(single)
     return materialize(spans.groupBy("id", "th").agg(F.collect_set(F.struct("a", "m")).alias("spans")))
