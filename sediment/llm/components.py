@@ -12,17 +12,18 @@ def _large(edges: DataFrame) -> DataFrame:
     """Every node hands its larger neighbours to the least of itself and its neighbours.
 
     The least neighbour is found by a partial aggregation, so a node with very many links costs its task
-    no more than one row a partition; the join back is a plain equi-join, whose hot keys Spark splits.
+    no more than one row a partition. Written out, it joins back between two plain exchanges, so that
+    Spark can split a hot node's links, or broadcast it while it is under the size threshold.
     """
     both = edges.unionByName(edges.select(F.col("root").alias("k"), F.col("k").alias("root")))
-    least = both.groupBy("k").agg(F.least(F.col("k"), F.min("root")).alias("m"))
+    least = materialize(both.groupBy("k").agg(F.least(F.col("k"), F.min("root")).alias("m")))
     hung = both.join(least, "k").where(F.col("root") > F.col("k"))
     return hung.select(F.col("root").alias("k"), F.col("m").alias("root")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Every node joins its smaller neighbours, and itself, to the least of them. Edges run from larger to smaller."""
-    least = edges.groupBy("k").agg(F.min("root").alias("m"))
+    least = materialize(edges.groupBy("k").agg(F.min("root").alias("m")))
     moved = edges.join(least, "k").where(F.col("root") > F.col("m")).select(F.col("root").alias("k"), F.col("m").alias("root"))
     return moved.unionByName(least.select("k", F.col("m").alias("root"))).distinct()
 

@@ -5,7 +5,8 @@ recursively: at each level a class goes into the bucket of every shingle whose h
 path, falls below 1 / (t * size of its set), so two sets of similarity t meet with a constant chance. A
 bucket of at most BUCKET sets is compared by brute force; a larger one is split at the next level, and one
 that is still larger at the last level is compared in blocks, so nothing is left out. Runs are repeated
-until the chance that a pair at the threshold was never in one bucket is below 1 - RECALL.
+until the chance that a pair at the threshold was never in one bucket is below 1 - RECALL. Two runs more come first and only group what
+is plainly alike, so that in the others a large group of near copies meets what is not in it, and not itself.
 
 Buckets hold a small MinHash sketch instead of the set; pairs that the sketch can't rule out link classes
 into provisional groups. Each group's shingle sets then come together once, in blocks, and every pair of a
@@ -35,6 +36,11 @@ from sediment.llm.components import components
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.999
+#: Runs before the first grouping, on top of those that the recall needs: they look into single blocks of
+#: large buckets; the later runs look into all of a bucket, but only if it holds more than one group.
+FIRST_RUNS = 2
+#: The low bits of a path tell its run.
+RUN_BITS = 6
 #: Sets compared by brute force in one bucket, and levels a run may split.
 BUCKET = 128
 LEVELS = 3
@@ -98,19 +104,27 @@ def sketch(shingles: np.ndarray) -> bytes:
 
 
 def chosen(shingles: np.ndarray, paths: np.ndarray, threshold: float) -> np.ndarray:
-    """The children of each path: one per shingle whose hash under that path falls below 1 / (t n)."""
+    """The children of each path: one per shingle whose hash under that path falls below 1 / (t n). They keep the path's run."""
     n = len(shingles)
     limit = np.uint64(min(2**64 - 1, int(2**64 / (threshold * n))))
+    low = np.uint64((1 << RUN_BITS) - 1)
     out = []
     for path in paths:
         drawn = mix64(shingles ^ path)
-        out.append(mix64(drawn[drawn <= limit] + path))
+        out.append(mix64(drawn[drawn <= limit] + path) & ~low | path & low)
     return np.unique(np.concatenate(out)) if out else paths
 
 
-def forest(n: int, left: np.ndarray, right: np.ndarray) -> list[int]:
-    """The least member each of 0..n-1 is linked with."""
-    root = list(range(n))
+def seeds_of(runs: int) -> np.ndarray:
+    """The root path of each run."""
+    low = np.uint64((1 << RUN_BITS) - 1)
+    return mix64(np.arange(1, runs + 1, dtype=np.uint64)) & ~low | np.arange(runs, dtype=np.uint64)
+
+
+def forest(labels: list, left: np.ndarray, right: np.ndarray) -> tuple[list[int], list[tuple[int, int]]]:
+    """(the least member each member is one with, the links that joined what was apart); members of one label are one from the start."""
+    first: dict = {}
+    root = [first.setdefault(x, i) for i, x in enumerate(labels)]
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -118,11 +132,13 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> list[int]:
             x = root[x]
         return x
 
+    used = []
     for a, b in zip(left.tolist(), right.tolist(), strict=True):
-        a, b = find(a), find(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    return [find(x) for x in range(n)]
+        x, y = find(a), find(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            used.append((a, b))
+    return [find(x) for x in range(len(labels))], used
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -153,7 +169,7 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 def _sets(docs: DataFrame, key: str, text: str, threshold: float, runs: int) -> DataFrame:
     """(id, th, k, n, sketch, paths): a row a document; k names its shingle set, th its text."""
     small_batches(docs.sparkSession)
-    seeds = mix64(np.arange(1, runs + 1, dtype=np.uint64))
+    seeds = seeds_of(runs)
     body = text_or_empty(f"`{text}`")
     source = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(body).alias("th"), body.alias("t"))
     kind = docs.schema[key].dataType.simpleString()
@@ -181,7 +197,7 @@ def _with_text(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataF
 
 
 def _compare_buckets(rows: DataFrame, threshold: float) -> DataFrame:
-    """(k, root): in each bucket (block of one), sets linked by what the sketch can't rule out."""
+    """(k, root): in each bucket (block of one), links that the sketch can't rule out, as a forest over what has one label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, 3):
@@ -193,13 +209,12 @@ def _compare_buckets(rows: DataFrame, threshold: float) -> DataFrame:
                 near = np.flatnonzero((small >= threshold * large) & ((sk[i + 1 :] == sk[i]).sum(1) >= AGREE))
                 left.append(np.full(len(near), i))
                 right.append(near + i + 1)
-            root = forest(len(ks), np.concatenate(left), np.concatenate(right)) if left else [0]
-            linked = [i for i in range(len(ks)) if root[i] != i]
-            if linked:
-                yield pa.RecordBatch.from_arrays([pa.array([ks[i] for i in linked], pa.binary()), pa.array([ks[root[i]] for i in linked], pa.binary())], names=["k", "root"])
+            links = forest(table.column("label").to_pylist(), np.concatenate(left), np.concatenate(right))[1] if left else []
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([ks[i] for i, _ in links], pa.binary()), pa.array([ks[j] for _, j in links], pa.binary())], names=["k", "root"])
 
     parts = rows.repartition("path", "lo", "hi").sortWithinPartitions("path", "lo", "hi")
-    return parts.select("path", "lo", "hi", "k", "n", "sketch").mapInArrow(run, "k binary, root binary")
+    return parts.select("path", "lo", "hi", "k", "n", "sketch", "label").mapInArrow(run, "k binary, root binary")
 
 
 def _blocks(rows: DataFrame, size: str, block: int) -> DataFrame:
@@ -210,6 +225,31 @@ def _blocks(rows: DataFrame, size: str, block: int) -> DataFrame:
     return dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other")
 
 
+def _lone_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Each bucket's rows in blocks that aren't paired, dealt anew for each path: what the first runs look at."""
+    own = F.pmod(F.xxhash64("k", "path"), F.ceil(F.col("size") / block)).cast("int")
+    return rows.withColumns({"lo": own, "hi": own})
+
+
+def _label_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Blocks in which every two rows of a bucket with different labels meet.
+
+    Rows of the bucket's most frequent label needn't meet each other: their blocks are paired with the
+    blocks of the rest only, and the rest's blocks with one another where there are several.
+    """
+    main_parts = F.ceil((F.col("size") - F.col("rest")) / block).cast("int")
+    rest_parts = F.ceil(F.col("rest") / block).cast("int")
+    own = lambda parts: F.pmod(F.xxhash64("k"), parts).cast("int")
+    pair = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    upto = lambda parts: F.sequence(F.lit(0), parts - 1)
+    of_main = F.transform(upto(rest_parts), lambda j: pair(-own(main_parts) - 1, j))
+    of_rest = F.transform(upto(main_parts), lambda i: pair(-i - 1, own(rest_parts)))
+    among = F.transform(upto(rest_parts), lambda j: pair(F.least(j, own(rest_parts)), F.greatest(j, own(rest_parts))))
+    among = F.when(rest_parts > 1, among).otherwise(F.array().cast("array<struct<lo:int,hi:int>>"))
+    dealt = rows.withColumn("at", F.explode(F.when(F.col("in_main"), of_main).otherwise(F.concat(of_rest, among))))
+    return dealt.select("*", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"))
+
+
 def _exact(rows: DataFrame, threshold: float) -> DataFrame:
     """rows (g, lo, hi, own, k, copies, t) -> (k, root, links, sets): exact links within each pair of blocks."""
 
@@ -240,7 +280,7 @@ def _exact(rows: DataFrame, threshold: float) -> DataFrame:
             np.fill_diagonal(links, False)
             if crossing:
                 links &= own[:, None] != own[None, :]
-            root = forest(len(ks), *np.nonzero(np.triu(links)))
+            root, _ = forest(list(range(len(ks))), *np.nonzero(np.triu(links)))
             yield pa.RecordBatch.from_arrays([pa.array(list(ks), pa.binary()), pa.array([ks[r] for r in root], pa.binary()), pa.array(links @ copies, pa.int64()), pa.array(links.sum(1), pa.int64())], names=["k", "root", "links", "sets"])
 
     parts = rows.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
@@ -259,35 +299,59 @@ def _shingled(rows: DataFrame) -> DataFrame:
 
 
 def _split(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows (k, n, sketch, over, t) -> (path, k, n, sketch): the next level of the paths in `over`."""
+    """rows (k, label, over, t) -> (k, label, paths): the next level of the paths in `over`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Shingler()
         for batch in batches:
-            new = [signed(chosen(cutter.shingles(t), np.array(p, np.int64).view(np.uint64), threshold)) for p, t in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(new, pa.list_(pa.int64()))], names=["k", "n", "sketch", "paths"])
+            new = [signed(chosen(cutter.shingles(t), np.array(p, np.int64).view(np.uint64), threshold)) for p, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new, pa.list_(pa.int64()))], names=["k", "label", "paths"])
 
-    return rows.select("k", "n", "sketch", "over", "t").mapInArrow(run, "k binary, n int, sketch binary, paths array<long>")
+    return rows.select("k", "label", "over", "t").mapInArrow(run, "k binary, label binary, paths array<long>")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET, levels: int = LEVELS, block: int = BLOCK) -> DataFrame:
-    """(id, th, class_id, n_links, n_linked_sets, keeper): a row a document; keeper marks one document of each class."""
-    members = materialize(_sets(docs, key, text, threshold, runs_needed(threshold, recall, levels)))
-    classes = materialize(members.where("k is not null").groupBy("k").agg(F.count("*").alias("copies"), F.min(F.struct("id", "th")).alias("rep"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("paths").alias("paths")))
-    level, found = classes.select("k", "n", "sketch", "paths"), None
+def _grouped_by_runs(docs: DataFrame, key: str, text: str, classes: DataFrame, threshold: float, bucket: int, levels: int, some_runs, groups: DataFrame | None) -> DataFrame:
+    """(k, g): the provisional groups after the runs that `some_runs` picks, on top of earlier `groups`.
+
+    A bucket whose sets are all in one group already can add nothing and is passed over.
+    """
+    labelled = classes.select("k", "n", "sketch", "paths")
+    labelled = labelled.withColumn("label", F.col("k")) if groups is None else labelled.join(groups, "k", "left").withColumn("label", F.coalesce("g", "k")).drop("g")
+    labelled = labelled if groups is None else materialize(labelled)
+    level, found = labelled.select("k", "label", "paths"), None
     for depth in range(1, levels + 1):
-        rows = level.select("k", "n", "sketch", F.explode("paths").alias("path"))
-        sized = rows.select("k", "path").withColumn("size", F.count("*").over(_by("path"))).where("size > 1")
-        sized = materialize(sized.join(classes.select("k", "n", "sketch"), "k"))
-        small = sized if depth == levels else sized.where(F.col("size") <= bucket)
-        linked = _compare_buckets(_blocks(small, "size", bucket), threshold)
+        rows = level.select("k", "label", F.explode("paths").alias("path"))
+        rows = rows.where(some_runs) if depth == 1 else rows
+        in_bucket = _by("path")
+        sized = rows.withColumns({"size": F.count("*").over(in_bucket), "least": F.min("label").over(in_bucket), "most": F.max("label").over(in_bucket)})
+        sized = sized.where("least <> most").drop("least", "most")
+        if groups is None:
+            sized = sized.withColumn("rest", F.col("size"))
+        else:
+            counted = sized.withColumn("same", F.count("*").over(_by("path", "label")))
+            main = F.max(F.struct("same", "label")).over(in_bucket)
+            sized = counted.withColumn("main", main).select("k", "path", "size", (F.col("size") - F.col("main.same")).alias("rest"), (F.col("label") == F.col("main.label")).alias("in_main"))
+        sized = materialize(sized.drop("label").join(labelled.select("k", "n", "sketch", "label"), "k"))
+        small = sized if depth == levels else sized.where(F.col("rest") <= bucket)
+        blocks = _lone_blocks(small, bucket) if groups is None else _label_blocks(small, bucket)
+        linked = _compare_buckets(blocks, threshold)
         found = linked if found is None else found.unionByName(linked)
-        large = sized.where(F.col("size") > bucket)
+        large = sized.where(F.col("rest") > bucket)
         if depth == levels or large.isEmpty():
             break
-        over = large.groupBy("k").agg(F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"), F.collect_set("path").alias("over"))
+        over = large.groupBy("k", "label").agg(F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"), F.collect_set("path").alias("over"))
         over = over.join(classes.select("k", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th")), "k")
         level = _split(_with_text(docs, key, text, over), threshold).dropDuplicates(["k"])
-    groups = components(found)
+    if groups is not None:
+        found = found.unionByName(groups.select("k", F.col("g").alias("root")))
+    return components(found)
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET, levels: int = LEVELS, block: int = BLOCK) -> DataFrame:
+    """(id, th, class_id, n_links, n_linked_sets, keeper): a row a document; keeper marks one document of each class."""
+    members = materialize(_sets(docs, key, text, threshold, FIRST_RUNS + runs_needed(threshold, recall, levels)))
+    classes = materialize(members.where("k is not null").groupBy("k").agg(F.count("*").alias("copies"), F.min(F.struct("id", "th")).alias("rep"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("paths").alias("paths")))
+    groups = _grouped_by_runs(docs, key, text, classes, threshold, bucket, levels, F.col("path").bitwiseAND((1 << RUN_BITS) - 1) < FIRST_RUNS, None)
+    groups = _grouped_by_runs(docs, key, text, classes, threshold, bucket, levels, F.col("path").bitwiseAND((1 << RUN_BITS) - 1) >= FIRST_RUNS, groups)
     sizes = groups.groupBy("g").agg(F.count("*").alias("size"))
     wanted = groups.join(sizes, "g").join(classes.select("k", "copies", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th")), "k")
     judged = materialize(_exact(_blocks(_shingled(_with_text(docs, key, text, wanted)), "size", block), threshold))
@@ -303,10 +367,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     return out.select("id", "th", F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_linked_sets", F.lit(0)).alias("n_linked_sets"), (alone | (F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.th") == F.col("th")))).alias("keeper"))
 
 
-def _by(name: str):
+def _by(*names: str):
     from pyspark.sql import Window
 
-    return Window.partitionBy(name)
+    return Window.partitionBy(*names)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
