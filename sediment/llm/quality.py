@@ -3,8 +3,10 @@
 A public vocabulary measures each document: characters per token, the share of tokens that fall back to
 bytes, and the entropy of its tokens. A document goes when a measure leaves its language's band; a language
 without a band of its own takes the band of the script most of its letters are in. Bands of languages are
-quantiles of labelled good documents, widened by a margin, from at most `max_labelled` labelled rows (the
-first by a hash of the id, a documented bound); bands of scripts are fixed parameters.
+quantiles of all labelled good documents, widened by a margin; measures are counted by DECIMALS decimals, so
+that a group holds a bounded number of values however many its labels. The band of a script spans the
+quantiles of every language labelled in it, so that a language with few labels isn't measured by a larger one
+alone; only a script with hardly a label has a fixed band.
 
 A null text counts as empty; an empty or very short text fails the base rule (under 50 words) and is not
 kept; a null language goes by script; repeated rows are judged alike; a very long text is measured whole.
@@ -20,17 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm.common import Growing, WordTable, documents, fresh, gather, small_batches, text_or_empty
+from sediment.llm.common import Growing, WordTable, documents, fresh, gather, materialize, small_batches, text_or_empty
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MAX_LABELLED = 5000
+#: Labelled good documents that a language, or a script over all its languages, needs for a band of its own.
 MIN_LABELLED = 50
 #: Share of good labelled documents left out at either end, and the margin by which a band is widened.
 TAIL, MARGIN = 0.005, 0.005
+#: Decimals of the measures that quantiles are taken of; the margin is far wider.
+DECIMALS = 4
 REMEMBERED = 400_000
 
-#: (least characters per token, most, most byte fallback, least entropy in bits) by script.
+#: (least characters per token, most, most byte fallback, least entropy in bits) of scripts without labels.
 SCRIPT_BANDS = {
     "latin": (1.2, 8.0, 0.2, 4.0),
     "cyrillic": (1.0, 6.0, 0.3, 4.0),
@@ -147,6 +151,16 @@ def meter(model: str) -> Meter:
     return Meter(model)
 
 
+def band_of(bands: dict | None, language: str | None, script: str) -> tuple:
+    """The band of the language, else the fitted band of the script (under the key ("script", its name)), else the fixed one."""
+    bands = bands or {}
+    return bands.get(language) or bands.get(("script", script)) or SCRIPT_BANDS[script]
+
+
+def within(band: tuple, cpt: float, fall: float, entropy: float) -> bool:
+    return band[0] <= cpt <= band[1] and fall <= band[2] and entropy >= band[3]
+
+
 def _measured(df: DataFrame, model: str, bands: dict | None, text: str, lang: str | None, keep: list[str], only_kept: bool = False) -> DataFrame:
     """One pass over df: the columns `keep`, then the measures, base_failed and kept; or only the kept rows' `keep`."""
     small_batches(df.sparkSession)
@@ -165,9 +179,7 @@ def _measured(df: DataFrame, model: str, bands: dict | None, text: str, lang: st
                     n_words, repeats = row[0], row[4]
                     failed.append(n_words < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n_words)
                     scripts.append(script_of(t))
-                    band = (bands or {}).get(language) or SCRIPT_BANDS[scripts[-1]]
-                    cpt, fall, entropy = row[6:]
-                    verdicts.append(not failed[-1] and band[0] <= cpt <= band[1] and fall <= band[2] and entropy >= band[3])
+                    verdicts.append(not failed[-1] and within(band_of(bands, language, scripts[-1]), *row[6:]))
                 columns = [part.column(k) for k in range(len(keep))]
                 if only_kept:
                     yield pa.RecordBatch.from_arrays(columns, names=keep).filter(pa.array(verdicts, pa.bool_()))
@@ -182,14 +194,32 @@ def _measured(df: DataFrame, model: str, bands: dict | None, text: str, lang: st
     return source.mapInArrow(run, ", ".join([*kept_schema, *extra]))
 
 
-def fit_bands(docs: DataFrame, labels: DataFrame, model: str, max_labelled: int = MAX_LABELLED) -> dict[str, tuple]:
-    """Bands by language from at most max_labelled labelled rows: the bound is on the sample, not on what is judged."""
-    sample = labels.where(F.col("doc_id").isNotNull() & (F.col("quality") == 1)).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    some = docs.select("doc_id", "text", "lang").join(F.broadcast(sample), "doc_id", "left_semi")
-    rows = _measured(some, model, None, "text", "lang", ["lang"]).where("not base_failed and lang is not null").select("lang", *MEASURES)
+def fit_bands(docs: DataFrame, labels: DataFrame, model: str) -> dict:
+    """Bands by language and by ("script", name) from all labelled good documents."""
+    return bands_of(_measured(docs, model, None, "text", "lang", ["doc_id", "lang"]), labels)
+
+
+def bands_of(measured: DataFrame, labels: DataFrame) -> dict:
+    """Bands from measured documents (doc_id, lang, measures): their few columns meet the labels, no text does."""
+    good = labels.where(F.col("doc_id").isNotNull() & (F.col("quality") == 1)).select("doc_id").distinct()
+    rows = measured.where("not base_failed").select("doc_id", F.col("lang").cast("string").alias("lang"), "script", *MEASURES).join(good, "doc_id", "left_semi")
     ends = [TAIL, 1 - TAIL]
-    found = rows.groupBy("lang").agg(F.count("*").alias("n"), *[F.percentile(m, F.array(*map(F.lit, ends))).alias(m) for m in MEASURES]).where(F.col("n") >= MIN_LABELLED)
-    return {r["lang"]: (r["chars_per_token"][0] * (1 - MARGIN), r["chars_per_token"][1] * (1 + MARGIN), r["byte_share"][1] + MARGIN, r["entropy"][0] * (1 - MARGIN)) for r in found.collect()}
+    tails = [F.percentile(F.round(m, DECIMALS), F.array(*map(F.lit, ends))).alias(m) for m in MEASURES]
+    # a row a language, and a row a language and script
+    found = rows.groupingSets([["lang"], ["lang", "script"]], "lang", "script").agg(F.grouping("script").alias("whole"), F.count("*").alias("n"), *tails).collect()
+    bands = {r["lang"]: widened([r]) for r in found if r["whole"] and r["lang"] is not None and r["n"] >= MIN_LABELLED}
+    for script in SCRIPT_BANDS:
+        own = [r for r in found if not r["whole"] and r["script"] == script]
+        if sum(r["n"] for r in own) >= MIN_LABELLED:
+            bands["script", script] = widened(own)
+    return bands
+
+
+def widened(tails: list) -> tuple:
+    """The band that spans the tails of several groups, with its margin."""
+    low = lambda m: min(r[m][0] for r in tails)
+    high = lambda m: max(r[m][1] for r in tails)
+    return (low("chars_per_token") * (1 - MARGIN), high("chars_per_token") * (1 + MARGIN), high("byte_share") + MARGIN, low("entropy") * (1 - MARGIN))
 
 
 def fertility(docs: DataFrame, model: str, bands: dict[str, tuple] | None = None, text: str = "text", lang: str | None = "lang", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -208,8 +238,19 @@ def production_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def judged(measured: DataFrame, bands: dict) -> DataFrame:
+    """Measured documents (with lang) under other bands: kept anew, without measuring again."""
+
+    @F.arrow_udf("boolean")
+    def kept(*columns: pa.Array) -> pa.Array:
+        rows = zip(*(c.to_pylist() for c in columns), strict=True)
+        return pa.array([not failed and within(band_of(bands, language, script), *row) for failed, language, script, *row in rows], pa.bool_())
+
+    return measured.withColumn("kept", kept("base_failed", F.col("lang").cast("string"), "script", *MEASURES))
+
+
 def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, model = documents(spark, sf_dir), production_model()
-    bands = fit_bands(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), model)
-    out = fertility(docs, model, bands)
+    # read twice below: the texts are measured once
+    measured = materialize(fertility(documents(spark, sf_dir), production_model(), keep=("doc_id", "lang")))
+    out = judged(measured, bands_of(measured, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", *MEASURES, "script")

@@ -457,3 +457,26 @@ def test_fertility_tells_junk(spark):
     out = {r["doc_id"]: r["kept"] for r in quality.fertility(frame(spark, [(1, good, "en", "a", 1), (2, bad, "en", "a", 1)]), model, bands).collect()}
     assert out == {1: True, 2: False}
     assert [quality.script_of(x) for x in ("abc", "дом", "日本", "", "العربية")] == ["latin", "cyrillic", "han", "other", "arabic"]
+
+
+def test_bands_use_every_label(spark):
+    model = quality.production_model()
+    rows = [(i, sentence(f"en {i}", 55), "en", "a", 1) for i in range(12_000)] + [(20_000 + i, sentence(f"rare {i}", 55), "rare", "a", 1) for i in range(60)]
+    rows += [(30_000 + i, sentence(f"few {i}", 55), "few", "a", 1) for i in range(20)]
+    labels = spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality int")
+    bands = quality.fit_bands(frame(spark, rows), labels, model)
+    assert {"en", "rare", ("script", "latin")} == set(bands)
+    junk = sentence("junk", 30) + " " + " ".join(f"a {chr(0x4E00 + i)}" for i in range(30))
+    assert quality.script_of(junk) == "latin"
+    docs = frame(spark, [(1, junk, "en", "a", 1), (2, junk, "few", "a", 1), (3, junk, None, "a", 1), (4, sentence("few 1", 55), "few", "a", 1)])
+    kept = {r["doc_id"]: r["kept"] for r in quality.fertility(docs, model, bands).collect()}
+    assert kept == {1: False, 2: False, 3: False, 4: True}
+    assert {r["doc_id"]: r["kept"] for r in quality.judged(quality.fertility(docs, model, keep=("doc_id", "lang")), bands).collect()} == kept
+
+
+def test_a_script_band_spans_its_languages(spark):
+    model = quality.production_model()
+    odd = [(100 + i, sentence(f"odd {i}", 30) + " " + " ".join("xqzwvkj"[k % 5 :] + str(k) for k in range(i, i + 30)), "odd", "a", 1) for i in range(3)]
+    rows = [(i, sentence(i, 60), "en", "a", 1) for i in range(90)] + odd
+    bands = quality.fit_bands(frame(spark, rows), spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality int"), model)
+    assert "odd" not in bands and all(r["kept"] for r in quality.fertility(frame(spark, odd[1:]), model, bands).collect())
