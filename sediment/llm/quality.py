@@ -6,7 +6,8 @@ without a band of its own takes the band of the script most of its letters are i
 quantiles of all labelled good documents, widened by a margin; measures are counted by DECIMALS decimals, so
 that a group holds a bounded number of values however many its labels. The band of a script spans the
 quantiles of every language labelled in it, so that a language with few labels isn't measured by a larger one
-alone; only a script with hardly a label has a fixed band.
+alone; only a script with hardly a label has a fixed band. Entropy is bounded by the logarithm of the token
+count, so its floor goes by length: one for each doubling of the tokens.
 
 A null text counts as empty; an empty or very short text fails the base rule (under 50 words) and is not
 kept; a null language goes by script; repeated rows are judged alike; a very long text is measured whole.
@@ -32,6 +33,8 @@ MIN_LABELLED = 50
 TAIL, MARGIN = 0.005, 0.005
 #: Decimals of the measures that quantiles are taken of; the margin is far wider.
 DECIMALS = 4
+#: Length classes, by the bits of the token count; the last takes all longer texts.
+LENGTHS = 40
 REMEMBERED = 400_000
 
 #: (least characters per token, most, most byte fallback, least entropy in bits) of scripts without labels.
@@ -157,8 +160,10 @@ def band_of(bands: dict | None, language: str | None, script: str) -> tuple:
     return bands.get(language) or bands.get(("script", script)) or SCRIPT_BANDS[script]
 
 
-def within(band: tuple, cpt: float, fall: float, entropy: float) -> bool:
-    return band[0] <= cpt <= band[1] and fall <= band[2] and entropy >= band[3]
+def within(band: tuple, n_tokens: int, cpt: float, fall: float, entropy: float) -> bool:
+    """The last of a band is the least entropy, one for all lengths or one by the bits of the token count."""
+    floor = band[3][min(n_tokens.bit_length(), LENGTHS - 1)] if isinstance(band[3], tuple) else band[3]
+    return band[0] <= cpt <= band[1] and fall <= band[2] and entropy >= floor
 
 
 def _measured(df: DataFrame, model: str, bands: dict | None, text: str, lang: str | None, keep: list[str], only_kept: bool = False) -> DataFrame:
@@ -179,7 +184,7 @@ def _measured(df: DataFrame, model: str, bands: dict | None, text: str, lang: st
                     n_words, repeats = row[0], row[4]
                     failed.append(n_words < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n_words)
                     scripts.append(script_of(t))
-                    verdicts.append(not failed[-1] and within(band_of(bands, language, scripts[-1]), *row[6:]))
+                    verdicts.append(not failed[-1] and within(band_of(bands, language, scripts[-1]), *row[5:]))
                 columns = [part.column(k) for k in range(len(keep))]
                 if only_kept:
                     yield pa.RecordBatch.from_arrays(columns, names=keep).filter(pa.array(verdicts, pa.bool_()))
@@ -202,24 +207,47 @@ def fit_bands(docs: DataFrame, labels: DataFrame, model: str) -> dict:
 def bands_of(measured: DataFrame, labels: DataFrame) -> dict:
     """Bands from measured documents (doc_id, lang, measures): their few columns meet the labels, no text does."""
     good = labels.where(F.col("doc_id").isNotNull() & (F.col("quality") == 1)).select("doc_id").distinct()
-    rows = measured.where("not base_failed").select("doc_id", F.col("lang").cast("string").alias("lang"), "script", *MEASURES).join(good, "doc_id", "left_semi")
+    size = F.length(F.bin("n_tokens")).alias("length")
+    rows = measured.where("not base_failed").select("doc_id", F.col("lang").cast("string").alias("lang"), "script", size, *MEASURES).join(good, "doc_id", "left_semi")
     ends = [TAIL, 1 - TAIL]
     tails = [F.percentile(F.round(m, DECIMALS), F.array(*map(F.lit, ends))).alias(m) for m in MEASURES]
-    # a row a language, and a row a language and script
-    found = rows.groupingSets([["lang"], ["lang", "script"]], "lang", "script").agg(F.grouping("script").alias("whole"), F.count("*").alias("n"), *tails).collect()
-    bands = {r["lang"]: widened([r]) for r in found if r["whole"] and r["lang"] is not None and r["n"] >= MIN_LABELLED}
+    # a row a language, a row a language and script, and each of these by length
+    found = rows.groupingSets([["lang"], ["lang", "script"], ["lang", "length"], ["lang", "script", "length"]], "lang", "script", "length")
+    found = found.agg(F.grouping("script").alias("whole"), F.grouping("length").alias("all"), F.count("*").alias("n"), *tails).collect()
+    by_length: dict[tuple, list] = {}
+    for r in found:
+        if not r["all"]:
+            by_length.setdefault((r["whole"], r["lang"], r["script"]), []).append(r)
+    groups = [(r, by_length[r["whole"], r["lang"], r["script"]]) for r in found if r["all"]]
+    bands = {r["lang"]: widened([(r, lengths)]) for r, lengths in groups if r["whole"] and r["lang"] is not None and r["n"] >= MIN_LABELLED}
     for script in SCRIPT_BANDS:
-        own = [r for r in found if not r["whole"] and r["script"] == script]
-        if sum(r["n"] for r in own) >= MIN_LABELLED:
+        own = [g for g in groups if not g[0]["whole"] and g[0]["script"] == script]
+        if sum(r["n"] for r, _ in own) >= MIN_LABELLED:
             bands["script", script] = widened(own)
     return bands
 
 
-def widened(tails: list) -> tuple:
+def floors(whole, lengths: list) -> list[float]:
+    """The least entropy by length class, from a group's tails over all lengths and by length.
+
+    A class with few labels takes the floor of the next shorter one that has enough; below all of these a bit
+    less for each class, as half a text has at most a bit less than the whole; never more than its own tail.
+    """
+    own = {min(r["length"], LENGTHS - 1): r["entropy"][0] for r in sorted(lengths, key=lambda r: -r["length"])}
+    known = {min(r["length"], LENGTHS - 1): r["entropy"][0] for r in lengths if r["n"] >= MIN_LABELLED} or {min(own): whole["entropy"][0]}
+    least, out = min(known), []
+    for c in range(LENGTHS):
+        at = max((k for k in known if k <= c), default=least)
+        out.append(min(known[at] - max(0, at - c), own.get(c, np.inf)))
+    return out
+
+
+def widened(groups: list) -> tuple:
     """The band that spans the tails of several groups, with its margin."""
-    low = lambda m: min(r[m][0] for r in tails)
-    high = lambda m: max(r[m][1] for r in tails)
-    return (low("chars_per_token") * (1 - MARGIN), high("chars_per_token") * (1 + MARGIN), high("byte_share") + MARGIN, low("entropy") * (1 - MARGIN))
+    low = lambda m: min(r[m][0] for r, _ in groups)
+    high = lambda m: max(r[m][1] for r, _ in groups)
+    entropy = tuple(float(f) * (1 - MARGIN) for f in np.min([floors(*g) for g in groups], axis=0))
+    return (low("chars_per_token") * (1 - MARGIN), high("chars_per_token") * (1 + MARGIN), high("byte_share") + MARGIN, entropy)
 
 
 def fertility(docs: DataFrame, model: str, bands: dict[str, tuple] | None = None, text: str = "text", lang: str | None = "lang", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -246,7 +274,7 @@ def judged(measured: DataFrame, bands: dict) -> DataFrame:
         rows = zip(*(c.to_pylist() for c in columns), strict=True)
         return pa.array([not failed and within(band_of(bands, language, script), *row) for failed, language, script, *row in rows], pa.bool_())
 
-    return measured.withColumn("kept", kept("base_failed", F.col("lang").cast("string"), "script", *MEASURES))
+    return measured.withColumn("kept", kept("base_failed", F.col("lang").cast("string"), "script", "n_tokens", *MEASURES))
 
 
 def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -480,3 +480,11 @@ def test_a_script_band_spans_its_languages(spark):
     rows = [(i, sentence(i, 60), "en", "a", 1) for i in range(90)] + odd
     bands = quality.fit_bands(frame(spark, rows), spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality int"), model)
     assert "odd" not in bands and all(r["kept"] for r in quality.fertility(frame(spark, odd[1:]), model, bands).collect())
+
+
+def test_entropy_floor_goes_by_length(spark):
+    good = [(i, "en", "latin", False, 2000, 2.2, 0.0, 8 + i / 1000) for i in range(600)] + [(1000 + i, "en", "latin", False, 120, 2.2, 0.0, 6.2) for i in range(3)]
+    asked = [(2000, "en", "latin", False, 120, 2.2, 0.0, 6.2), (2001, "en", "latin", False, 2000, 2.2, 0.0, 6.2), (2002, "xx", "latin", False, 60, 2.2, 0.0, 5.3), (2003, "xx", "latin", False, 2000, 2.2, 0.0, 6.2)]
+    kind = "doc_id long, lang string, script string, base_failed boolean, n_tokens long, chars_per_token double, byte_share double, entropy double"
+    bands = quality.bands_of(spark.createDataFrame(good, kind), spark.createDataFrame([(r[0], 1) for r in good], "doc_id long, quality int"))
+    assert {r["doc_id"]: r["kept"] for r in quality.judged(spark.createDataFrame(asked, kind), bands).collect()} == {2000: True, 2001: False, 2002: True, 2003: False}
