@@ -1,7 +1,7 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick automaton finds anchors in a text: at-signs, plus signs, digits, URL schemes and cue words
-of identifiers. From each anchor a local parser walks to the span's boundaries and validates it; text
+of identifiers, in a copy of the text whose ASCII letters are lowered. From each anchor a local parser walks to the span's boundaries and validates it; text
 without an anchor is passed over at the automaton's speed, and no parser walks over a character more than a
 fixed number of times. Base kinds (email, ip, card, phone) equal a leftmost non-overlapping search for their
 patterns; the cues add url, secret, iban, ssn and account.
@@ -35,6 +35,9 @@ JOINT = frozenset(" -")
 URL_STOP = frozenset(" \t\n\r\v\f\"'<>`{}|\\^")
 URL_TRAIL = frozenset(".,;:!?)]")
 VALUE = DIGITS | LETTERS | set("_-./+=~")
+SEPARATORS = frozenset(" \t\"'`:=#")
+#: Words that may stand between a cue and its value.
+MARKS = ("number", "no.", "nr.")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "postgres://", "mysql://")
 CUES = {
     "secret": ("token", "password", "passwd", "secret", "api_key", "apikey", "api key", "access_key", "private_key"),
@@ -129,16 +132,22 @@ def url(text: str, at: int, scheme: str) -> tuple[int, int, int]:
     return (at if end > host and (text[host] in LABEL or text[host] == "[") else -1), end, goes_on
 
 
+def lowered(text: str) -> str:
+    """ASCII letters in lower case; every character keeps its place."""
+    return text.encode().lower().decode()
+
+
 def value_start(text: str, at: int, need: bool) -> int:
-    """Behind a cue: blanks, quotes and a separator; -1 if a separator is needed and none stands there."""
+    """Behind a cue: blanks, quotes, separators and marks such as `no.`; -1 if a separator is needed and none stands there."""
     seen = False
-    for _ in range(12):
-        if at < len(text) and text[at] in " \t\"'`:=#":
+    while True:
+        while at < len(text) and text[at] in SEPARATORS:
             seen |= text[at] in ":="
             at += 1
-        else:
-            break
-    return at if seen or not need else -1
+        mark = "" if need and seen else next((m for m in MARKS if text[at : at + len(m)].lower() == m and text[at + len(m) : at + len(m) + 1] not in LETTERS), "")
+        if not mark:
+            return at if seen or not need else -1
+        at += len(mark)
 
 
 def secret(text: str, at: int) -> tuple[int, int, int]:
@@ -181,11 +190,8 @@ def ssn(text: str, at: int) -> tuple[int, int, int]:
 
 
 def account(text: str, at: int) -> tuple[int, int, int]:
-    """Behind a cue, its word rest and a mark such as `no.`: 6 to 17 digits."""
+    """Behind a cue: 6 to 17 digits."""
     start = value_start(text, at, False)
-    for mark in ("number", "no.", "nr."):
-        if text[start : start + len(mark)].lower() == mark:
-            start = value_start(text, start + len(mark), False)
     end = run_end(text, start, DIGITS)
     return (start, end, end) if 6 <= end - start <= 17 and (end == len(text) or text[end] not in LETTERS) else (-1, -1, at)
 
@@ -201,12 +207,10 @@ def automaton() -> ahocorasick.Automaton:
     for d in DIGITS:
         found.add_word(d, ("digit", d))
     for scheme in SCHEMES:
-        for form in (scheme, scheme.upper()):
-            found.add_word(form, ("url", form))
+        found.add_word(scheme, ("url", scheme))
     for kind, cues in CUES.items():
         for cue in cues:
-            for form in (cue, cue.upper(), cue.capitalize()):
-                found.add_word(form, (kind, form))
+            found.add_word(cue, (kind, cue))
     found.make_automaton()
     return found
 
@@ -220,7 +224,7 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
         if start >= 0:
             out.append((start, end, kind))
 
-    for last, (kind, form) in automaton().iter(text):
+    for last, (kind, form) in automaton().iter(lowered(text)):
         at = last - len(form) + 1
         if kind == "digit":
             if at >= floor["ip"]:
