@@ -57,12 +57,13 @@ REMEMBERED = 400_000
 def runs_needed(threshold: float, recall: float, levels: int) -> int:
     """Repeats until a pair at the threshold met in a last-level bucket with probability `recall`.
 
-    Two sets of size n at similarity t share 2t / (1 + t) n shingles, so they share a Poisson number of
-    chosen ones with mean 2 / (1 + t); meeting through all levels is the survival of that branching process.
+    Two sets at similarity t share t times their union, and a shared shingle is chosen in both below 1 / (t n), n
+    the larger size. So they share a Poisson number of chosen ones with the mean union / n: 1 at least, where one
+    set holds the other, whatever t. Meeting through all levels is the survival of that branching process.
     """
-    mean, survive = 2 / (1 + threshold), 1.0
+    survive = 1.0
     for _ in range(levels):
-        survive = 1 - math.exp(-mean * survive)
+        survive = 1 - math.exp(-survive)
     return math.ceil(math.log(1 - recall) / math.log(1 - survive))
 
 

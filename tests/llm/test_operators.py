@@ -262,6 +262,19 @@ def test_chosen_paths_reach_their_recall():
     assert hit / 1000 > 0.6 and runs >= 10
 
 
+def test_runs_reach_their_recall_where_one_set_holds_the_other():
+    whole = np.arange(0, 500, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    part, met = whole[:400], 0
+    for k in range(1, 2001):
+        paths = np.array([k << jaccard.RUN_BITS], np.uint64)
+        for _ in range(3):
+            paths = np.intersect1d(jaccard.chosen(whole, paths, 0.8), jaccard.chosen(part, paths, 0.8))
+            if not len(paths):
+                break
+        met += bool(len(paths))
+    assert (1 - met / 2000) ** jaccard.runs_needed(0.8, 0.999, 3) < 0.0015
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(50), rng.randrange(50)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(25)] + [(90, 80), (90, 81), (91, 81)]
