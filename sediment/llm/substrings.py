@@ -1,12 +1,13 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
-
-The reference is the whole corpus, cut by its own content into blocks: every window of WINDOW words is
-governed by the least hash among its GRAM-word grams, and the run of windows one gram governs is a block.
-Equal windows are governed by equal grams at equal offsets, so a window can recur only in blocks under its
-gram: the index of blocks is keyed by it. A document is the sequence of its blocks, and parsing it is a walk
-over them: a block that stands elsewhere word for word extends the current factor as a whole; where a factor
-ends, the block shares its gram but not all its words with another, and its windows are checked one by one.
-Factors of WINDOW words or more are the duplicate spans. The result is exact, up to collisions of 128 bits.
+"""Substring dedup by minimiser-keyed window counting, in place of a relative Lempel-Ziv parse.
+
+No document is factored greedily against a reference: that walk needs the reference in one place, and here it
+is the whole corpus. What it is for, the words of windows that stand elsewhere, is counted by key instead.
+Texts are cut by their own content into blocks: every window of WINDOW words is governed by the least hash
+among its GRAM-word grams, and the run of windows one gram governs is a block. Equal windows are governed by
+equal grams at equal offsets, so a window can recur only in blocks under its gram. A block that stands
+elsewhere word for word goes as a whole; a block that shares its gram but not all its words with another is
+checked window by window; windows that touch or overlap are joined to spans. The result is exact, up to
+collisions of 128 bits.
 
 Only hashes are shuffled while the index is built; block hashes that are equal collapse, so a passage in
 many documents is checked once; texts meet their spans once, and the texts with blocks to check once more.
