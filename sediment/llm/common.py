@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,12 +18,14 @@ U64 = np.uint64
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one of our own only if none is named."""
+    """The folder the cluster names in spark.checkpoint.dir; if none is named, a local one of our own in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             base = set_dir.get()
+        elif not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="sediment-")
             spark.sparkContext.setCheckpointDir(base)
@@ -38,10 +41,21 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame) -> DataFrame:
+#: Scratch tables not yet deleted, by path.
+_tables: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path, spark in _tables.items():
+        _delete(spark, path)
+
+
+def materialize(df: DataFrame, made: list[DataFrame] | None = None) -> DataFrame:
     """Write df as a table in the shared scratch folder and read it back: a cut of the lineage that outlives executors.
 
-    The shuffle files that fed the table go as soon as it is written; the table itself goes when Python ends.
+    The shuffle files that fed the table go as soon as it is written; the table itself goes with `release`,
+    or when Python ends. made: a list that gets the table, to be released together with others.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/sediment-{uuid.uuid4().hex}"
@@ -52,8 +66,20 @@ def materialize(df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _tables[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    if made is not None:
+        made.append(out)
+    return out
+
+
+def release(tables: list[DataFrame]) -> None:
+    """Delete tables that materialize wrote and nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_scratch_path", None)
+        if path in _tables:
+            _delete(_tables.pop(path), path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sediment.llm.common import materialize
+from sediment.llm.common import materialize, release
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, made: list[DataFrame]) -> DataFrame:
     """Every node hands its larger neighbours to the least of itself and its neighbours.
 
     The least neighbour is found by a partial aggregation, so a node with very many links costs its task
@@ -16,14 +16,14 @@ def _large(edges: DataFrame) -> DataFrame:
     Spark can split a hot node's links, or broadcast it while it is under the size threshold.
     """
     both = edges.unionByName(edges.select(F.col("root").alias("k"), F.col("k").alias("root")))
-    least = materialize(both.groupBy("k").agg(F.least(F.col("k"), F.min("root")).alias("m")))
+    least = materialize(both.groupBy("k").agg(F.least(F.col("k"), F.min("root")).alias("m")), made)
     hung = both.join(least, "k").where(F.col("root") > F.col("k"))
     return hung.select(F.col("root").alias("k"), F.col("m").alias("root")).distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, made: list[DataFrame]) -> DataFrame:
     """Every node joins its smaller neighbours, and itself, to the least of them. Edges run from larger to smaller."""
-    least = materialize(edges.groupBy("k").agg(F.min("root").alias("m")))
+    least = materialize(edges.groupBy("k").agg(F.min("root").alias("m")), made)
     moved = edges.join(least, "k").where(F.col("root") > F.col("m")).select(F.col("root").alias("k"), F.col("m").alias("root"))
     return moved.unionByName(least.select("k", F.col("m").alias("root"))).distinct()
 
@@ -39,6 +39,10 @@ def components(edges: DataFrame) -> DataFrame:
         single = now.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
         if single and now.join(now.select(F.col("k").alias("x")).distinct(), F.col("root") == F.col("x"), "left_semi").isEmpty():
             break
-        now = materialize(_small(materialize(_large(now))))
+        made = [now]
+        now = materialize(_small(materialize(_large(now, made), made), made))
+        release(made)
     tops = now.select(F.col("root").alias("k"), F.col("root").alias("g"))
-    return materialize(now.select("k", F.col("root").alias("g")).unionByName(tops).distinct())
+    out = materialize(now.select("k", F.col("root").alias("g")).unionByName(tops).distinct())
+    release([now])
+    return out

@@ -275,6 +275,46 @@ def test_runs_reach_their_recall_where_one_set_holds_the_other():
     assert (1 - met / 2000) ** jaccard.runs_needed(0.8, 0.999, 3) < 0.0015
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.8])
+def test_recall_against_brute_force(spark, threshold):
+    """Every row whose id is divisible by 50 against all rows; groups of copies at and around the threshold."""
+    rng, rows = random.Random(threshold), []
+    for i in range(120):
+        words = sentence(f"r{threshold} {i}", rng.randint(60, 260)).split()
+        for edits in (0, 1, 2, 3, 5, 8, 12, 17):
+            w = list(words)
+            for j in rng.sample(range(len(w)), edits):
+                w[j] = f"new{rng.random()}"
+            rows.append((len(rows), " ".join(w[: len(w) - rng.choice([0, 0, len(w) // 6])]), "en", "a", 1))
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    rows = [(50 * i if i < 200 else 10_000 + i, rows[k][1], *rows[k][2:]) for i, k in enumerate(order)]
+    sets = [shingle_set(r[1]) for r in rows]
+    want = {rows[i][0]: sum(i != j and len(s & x) >= threshold * len(s | x) for j, x in enumerate(sets)) for i, s in enumerate(sets) if rows[i][0] % 50 == 0}
+    got = {r["id"]: r["n_links"] for r in jaccard.join(frame(spark, rows), threshold=threshold, bucket=16).collect()}
+    assert sum(want.values()) > 100 and all(got[k] <= n for k, n in want.items())
+    assert sum(got[k] for k in want) >= 0.99 * sum(want.values())
+
+
+def test_a_long_text_in_a_large_group(spark):
+    long = sentence("long group", 20_000)
+    rows = [(i, long + f" end{i} of it" * (i % 3), "en", "a", 1) for i in range(60)] + [(100, sentence("else", 20_000), "en", "a", 1)]
+    got = {r["id"]: (r["class_id"], r["n_links"]) for r in jaccard.join(frame(spark, rows), block=8).collect()}
+    assert all(got[i] == (0, 59) for i in range(60)) and got[100] == (100, 0)
+
+
+def test_sketches_rule_out_what_is_below_the_threshold_only():
+    assert jaccard.least_agreement(0.8, 0.999) > jaccard.least_agreement(0.6, 0.999) > jaccard.least_agreement(0.5, 0.999) > 5
+    assert jaccard.levels_for(0) == jaccard.levels_for(10**6) == 3 and jaccard.levels_for(10**9) == 5
+
+
+def test_differences_give_what_sets_share():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(30)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    assert jaccard.shared_counts(sets, sets).tolist() == want
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(50), rng.randrange(50)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(25)] + [(90, 80), (90, 81), (91, 81)]
