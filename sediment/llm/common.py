@@ -41,7 +41,7 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-#: Scratch tables not yet deleted, by path.
+#: Scratch tables and folders not yet deleted, by path.
 _tables: dict[str, SparkSession] = {}
 
 
@@ -51,6 +51,13 @@ def _delete_all() -> None:
         _delete(spark, path)
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new place in the shared scratch folder; what stands there goes with `release`, or when Python ends."""
+    path = f"{scratch_dir(spark)}/sediment-{uuid.uuid4().hex}"
+    _tables[path] = spark
+    return path
+
+
 def materialize(df: DataFrame, made: list[DataFrame] | None = None) -> DataFrame:
     """Write df as a table in the shared scratch folder and read it back: a cut of the lineage that outlives executors.
 
@@ -58,7 +65,7 @@ def materialize(df: DataFrame, made: list[DataFrame] | None = None) -> DataFrame
     or when Python ends. made: a list that gets the table, to be released together with others.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/sediment-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "true")
@@ -66,7 +73,6 @@ def materialize(df: DataFrame, made: list[DataFrame] | None = None) -> DataFrame
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-    _tables[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     if made is not None:
@@ -171,6 +177,45 @@ def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
     return flat[at]
 
 
+class Slices:
+    """Words -> slices of ids, learned in bulk. When `limit` words are held, those asked for twice or more since
+    the last time stay, half of the limit at most, and the others go: memory is bounded, and common words are learned once."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.table = limit, WordTable(limit)
+        self.ids, self.start, self.len, self.seen = Growing(np.int32), Growing(np.int64), Growing(np.int32), Growing(np.int32)
+
+    def fresh(self) -> list:
+        """The words that wait for their ids; `add` gives them, in this order."""
+        out, self.table.fresh = self.table.fresh, []
+        return out
+
+    def add(self, flat: np.ndarray, lens: np.ndarray) -> None:
+        self.start.extend(self.ids.n + np.cumsum(lens) - lens)
+        self.len.extend(lens)
+        self.ids.extend(flat)
+        self.seen.extend(np.zeros(len(lens), np.int32))
+
+    def noted(self, at: np.ndarray) -> np.ndarray:
+        self.seen.view()[:] += np.bincount(at, minlength=self.seen.n).astype(np.int32)
+        return at
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        return gather(self.ids.view(), self.start.view()[at], self.len.view()[at])
+
+    def renew(self) -> None:
+        if not self.table.full():
+            return
+        seen, words = self.seen.view(), list(self.table)
+        keep = np.flatnonzero(seen >= 2)
+        if len(keep) > self.limit // 2:
+            keep = np.sort(keep[np.argsort(seen[keep], kind="stable")[-(self.limit // 2) :]])
+        lens, flat = self.len.view()[keep], self.of(keep)
+        self.__init__(self.limit)
+        self.table.update(zip([words[i] for i in keep], range(len(keep)), strict=True))
+        self.add(flat, lens)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -180,7 +225,7 @@ def key_cuts(df: DataFrame, key: str, parts: int) -> list[int]:
     if parts < 2:
         return []
     shares = [i / parts for i in range(1, parts)]
-    found = df.agg(F.percentile_approx(F.col(f"`{key}`").cast("long"), shares, 10_000)).first()[0]
+    found = df.agg(F.percentile_approx(F.col(f"`{key}`").cast("long"), shares, max(10_000, 20 * parts))).first()[0]
     return sorted(set(found or []))
 
 

@@ -5,12 +5,12 @@ minimum is subtracted, the rest packed at the width that the PERCENTILE of the b
 wider goes to an exception list of positions and values. An index of block starts lets a reader decode any
 range of ids without the rest. An image is at most IMAGE ids and one document; a document is never split.
 
-The images travel as rows of a Parquet table (part, seq, counts, image), so Spark's own commit makes the
-files whole or absent when executors are lost, on any store it can write to. export_images writes them out
-as single files.
+The executors write the files into a folder they share, under names that follow the order of the documents;
+a file appears whole or not at all, and a task that runs again writes the same bytes under the same name.
 
 A null text counts as empty and has only the end id; rows without an id come first; rows of one id are
-ordered by their ids' bytes; repeated rows stay; an empty table gives no image. Texts are encoded whole.
+ordered by their ids' bytes; repeated rows stay; an empty table gives no file; extra columns are left aside,
+whatever they are called. Texts are encoded whole; a document of any length is in one file.
 """
 
 from __future__ import annotations
@@ -18,24 +18,26 @@ from __future__ import annotations
 import os
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sediment.llm.common import Growing, WordTable, documents, gather, key_cuts, materialize, range_of, shuffle_parts, small_batches, text_or_empty
+from sediment.llm.common import Slices, documents, key_cuts, materialize, range_of, scratch_path, shuffle_parts, small_batches, text_or_empty
 
 BLOCK = 1024
 PERCENTILE = 0.95
 #: Ids of one file image.
 IMAGE = 1 << 21
 MAGIC = b"SPFR"
-HEADER = struct.Struct("<4sHHQQQ")
+HEADER = struct.Struct("<4sHHQQQQ")
+#: Chunks and pieces that an encoder remembers, each.
 REMEMBERED = 400_000
 
 
@@ -120,20 +122,20 @@ def unpack(data: bytes, at: int = 0, first: int = 0, count: int | None = None) -
     return out.ravel()[skip : skip + count].astype(np.uint32)
 
 
-def write_image(keys: list, documents_ids: list[np.ndarray]) -> bytes:
-    """One file: header, document ids (with a null mark each), lengths, ids."""
+def write_image(keys: list, documents_ids: list[np.ndarray], before: int = 0) -> bytes:
+    """One file: header, document ids (with a null mark each), lengths, ids. before: ids in earlier files of its part."""
     lengths = np.array([len(x) for x in documents_ids], np.int64)
     ids = np.concatenate(documents_ids) if documents_ids else np.empty(0, np.uint32)
     marks = np.array([k is None for k in keys], np.uint8).tobytes()
     names = np.array([0 if k is None else k for k in keys], "<i8").tobytes()
     packed = pack(lengths)
-    return HEADER.pack(MAGIC, 1, BLOCK, len(keys), len(ids), len(packed)) + marks + names + packed + pack(ids)
+    return HEADER.pack(MAGIC, 2, BLOCK, len(keys), len(ids), before, len(packed)) + marks + names + packed + pack(ids)
 
 
 def read_image(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
-    """(document ids, where each document's ids start and the end of the last, all ids)."""
-    magic, version, block, n_docs, n_ids, packed = HEADER.unpack_from(data)
-    if magic != MAGIC or version != 1 or block != BLOCK:
+    """(document ids, where each document's ids start in the part and the end of the last, all ids)."""
+    magic, version, block, n_docs, n_ids, before, packed = HEADER.unpack_from(data)
+    if magic != MAGIC or version != 2 or block != BLOCK:
         raise ValueError("not a token file of this version")
     at = HEADER.size
     marks = np.frombuffer(data, np.uint8, n_docs, at)
@@ -144,15 +146,15 @@ def read_image(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     if len(ids) != n_ids:
         raise ValueError("token file is cut short")
     keys = [None if m else int(k) for m, k in zip(marks, names, strict=True)]
-    return keys, np.concatenate([[0], np.cumsum(lengths.astype(np.int64))]), ids
+    return keys, before + np.concatenate([[0], np.cumsum(lengths.astype(np.int64))]), ids
 
 
 class WordIds:
     """Texts -> ids of a tokenizers vocabulary whose pre-tokens never cross white space and end in an end-of-word token.
 
     Chunks between spaces are cut once and remembered. Chunks of plain Latin characters are lowered and cut into
-    pre-tokens here, so their pieces are shared between forms; the library encodes each new piece once,
-    many in one call, and the end-of-word tokens tell the pieces apart. Any other chunk goes to the library whole.
+    pre-tokens here, so their pieces are shared between forms; each new piece goes once through the library's
+    merges, in the byte alphabet they are spelled in. Any other chunk goes to the library whole.
     """
 
     plain = re.compile(r"[\x21-\x7E\xC0-\xD6\xD8-\xF6\xF8-\xFF]+").fullmatch
@@ -164,68 +166,54 @@ class WordIds:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        size = self.library.get_vocab_size()
-        self.ends = np.zeros(size, bool)
-        for token, i in self.library.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
-        self.forget_chunks()
-        self.forget_pieces()
-
-    def forget_chunks(self) -> None:
-        self.table = WordTable(REMEMBERED)
-        self.ids, self.start, self.len = Growing(np.int32), Growing(np.int64), Growing(np.int32)
-
-    def forget_pieces(self) -> None:
-        """Chunks hold their ids themselves: they outlive the pieces."""
-        self.pieces = WordTable(REMEMBERED)
-        self.piece_ids, self.piece_start, self.piece_len = Growing(np.int32), Growing(np.int64), Growing(np.int32)
+        self.merges = self.library.model
+        self.chunks, self.pieces = Slices(REMEMBERED), Slices(REMEMBERED)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int64) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _new_pieces(self) -> None:
-        new, self.pieces.fresh = self.pieces.fresh, []
-        if not new:
-            return
-        joined = [" ".join(new[a : a + 2000]) for a in range(0, len(new), 2000)]
-        flat = np.concatenate(self._whole(joined))
-        stops = np.flatnonzero(self.ends[flat]) + 1
-        if len(stops) != len(new) or stops[-1] != len(flat):  # a piece that isn't one pre-token: encode them one by one
-            each = self._whole(new)
-            flat, stops = np.concatenate(each), np.cumsum([len(x) for x in each])
-        starts = np.concatenate([[0], stops[:-1]])
-        self.piece_start.extend(starts + self.piece_ids.n)
-        self.piece_len.extend(stops - starts)
-        self.piece_ids.extend(flat)
+        found = [self.merges.tokenize(p if p.isascii() else spelled(p)) for p in self.pieces.fresh()]
+        if found:
+            self.pieces.add(np.array([x.id for f in found for x in f], np.int32), np.fromiter(map(len, found), np.int64, len(found)))
 
     def learn(self) -> None:
-        fresh, self.table.fresh = self.table.fresh, []
+        fresh = self.chunks.fresh()
         plain = [self.plain(c) is not None for c in fresh]
         found = [self.cut(c.lower()) if p else () for c, p in zip(fresh, plain, strict=True)]
-        at = self.pieces.numbers([x for f in found for x in f])
+        self.pieces.renew()
+        at = self.pieces.table.numbers([x for f in found for x in f])
         self._new_pieces()
-        lens = self.piece_len.view()[at]
-        flat = gather(self.piece_ids.view(), self.piece_start.view()[at], lens)
+        self.pieces.noted(at)
+        lens = self.pieces.len.view()[at]
+        flat = self.pieces.of(at)
         ends = np.concatenate([[0], np.cumsum(lens)])[np.cumsum([0, *map(len, found)])]
-        starts, sizes = ends[:-1] + self.ids.n, np.diff(ends)
-        self.ids.extend(flat)
         odd = [i for i, p in enumerate(plain) if not p and fresh[i]]
-        for i, ids in zip(odd, self._whole([fresh[i] for i in odd]) if odd else [], strict=True):
-            starts[i], sizes[i] = self.ids.n, len(ids)
-            self.ids.extend(ids)
-        self.start.extend(starts)
-        self.len.extend(sizes)
+        if odd:
+            wholes = dict(zip(odd, self._whole([fresh[i] for i in odd]), strict=True))
+            slices = [wholes.get(i, flat[ends[i] : ends[i + 1]]) for i in range(len(fresh))]
+            self.chunks.add(np.concatenate(slices), np.fromiter(map(len, slices), np.int64, len(slices)))
+        else:
+            self.chunks.add(flat, np.diff(ends))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.table.full():
-            self.forget_chunks()
-        if self.pieces.full():
-            self.forget_pieces()
-        numbers = [self.table.numbers(t.replace("\n", " ").split(" ")) for t in texts]
-        if self.table.fresh:
+        self.chunks.renew()
+        numbers = [self.chunks.table.numbers(t.replace("\n", " ").split(" ")) for t in texts]
+        if self.chunks.table.fresh:
             self.learn()
-        ids, start, lens = self.ids.view(), self.start.view(), self.len.view()
-        return [gather(ids, start[at], lens[at]) for at in numbers]
+        if numbers:
+            self.chunks.noted(np.concatenate(numbers))
+        return [self.chunks.of(at) for at in numbers]
+
+
+#: Byte -> the character that stands for it in the vocabulary: printable Latin-1 characters stand for themselves, the
+#: other bytes, in order, for what follows U+0100 (the public byte-level alphabet).
+_SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_ALPHABET = {b: b for b in _SELF} | {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in set(_SELF))}
+
+
+def spelled(piece: str) -> str:
+    return piece.encode().decode("latin-1").translate(BYTE_ALPHABET)
 
 
 @lru_cache(maxsize=2)
@@ -233,10 +221,34 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(part, seq, n_docs, n_ids, image): the file images, written to the shared folder, in ascending order of the key by (part, seq)."""
-    small_batches(docs.sparkSession)
-    parts = max(1, shuffle_parts(docs.sparkSession))
+def _put(folder: str, name: str, data: bytes) -> None:
+    """Write a file under a name of its own, then give it its name, so that it appears whole."""
+    store, base = fs.FileSystem.from_uri(folder)
+    own = f"{base}/.{name}.{uuid.uuid4().hex}"
+    with store.open_output_stream(own) as out:
+        out.write(data)
+    try:
+        store.move(own, f"{base}/{name}")
+    except OSError:  # a store that doesn't replace: an earlier run of this task has written the same
+        if store.get_file_info(f"{base}/{name}").type != fs.FileType.File:
+            raise
+        store.delete_file(own)
+
+
+def _make_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+
+
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(part, seq, n_docs, n_ids): the files that the executors wrote to the shared folder as part-seq.pfor, in ascending order of the key.
+
+    folder: a URI of a store that the executors' Python can write (file:// on a shared mount, hdfs://, s3://, gs://).
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    _make_folder(spark, folder)
+    parts = max(1, shuffle_parts(spark))
     k = F.col(f"`{key}`").cast("long")
     rows = docs.select(k.alias("id"), text_or_empty(f"`{text}`").alias("t"), range_of(k, key_cuts(docs, key, parts)).alias("part"))
 
@@ -253,60 +265,61 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, key: str = "
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_ids.cache_clear()  # the worker may have encoded before: what it remembers is of no use from here on
-        keys, held, size, part, seq = [], [], 0, None, 0
+        keys, held, size, part, seq, before = [], [], 0, None, 0, 0
 
-        def image() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([size], pa.int64()), pa.array([write_image(keys, held)], pa.binary())], names=["part", "seq", "n_docs", "n_ids", "image"])
+        def written() -> pa.RecordBatch:
+            _put(folder, f"{part:06d}-{seq:06d}.pfor", write_image(keys, held, before))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([size], pa.int64())], names=["part", "seq", "n_docs", "n_ids"])
 
         for batch in batches:
             for id_, at, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 ids = np.frombuffer(raw, "<u2" if raw[0] == 2 else "<u4", offset=1)
                 if keys and (at != part or size + len(ids) > IMAGE):
-                    yield image()
-                    seq = seq + 1 if at == part else 0
+                    yield written()
+                    seq, before = (seq + 1, before + size) if at == part else (0, 0)
                     keys, held, size = [], [], 0
                 part = at
                 keys.append(id_)
                 held.append(ids)
                 size += len(ids)
         if keys:
-            yield image()
+            yield written()
 
     encoded = rows.mapInArrow(encode, "id long, part int, ids binary")
-    sorted_ = encoded.repartition(parts, "part").sortWithinPartitions("part", F.col("id").asc_nulls_first(), "ids")
-    return materialize(sorted_.mapInArrow(build, "part int, seq int, n_docs long, n_ids long, image binary"))
+    # a range of keys is a partition, whatever its number hashes to
+    sorted_ = encoded.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("id").asc_nulls_first(), "ids")
+    return materialize(sorted_.mapInArrow(build, "part int, seq int, n_docs long, n_ids long"))
 
 
-def read_token_files(images: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, start, n_tokens, ids_crc32) from the images: one task row a file; starts by a prefix sum over the files' counts."""
-    small_batches(images.sparkSession)
-    before = W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)
-    starts = images.select("part", "seq", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
+def read_token_files(files: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
+    """(key, start, n_tokens, ids_crc32) from the files of a folder, told by `files` of write_token_files.
+
+    A file knows its place in its part; the driver adds up one count a part, so no file is shuffled.
+    """
+    spark = files.sparkSession
+    small_batches(spark)
+    first, starts = 0, []
+    counts = {r["part"]: r["n"] for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}  # a row a part
+    for part in range(max(counts, default=0) + 1):
+        starts.append(first)
+        first += counts.get(part, 0)
+    part = F.regexp_extract("path", r"(\d+)-\d+\.pfor$", 1).cast("int")
+    images = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder).select("content", F.element_at(F.array(*map(F.lit, starts)).cast("array<long>"), part + 1).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_ids.cache_clear()
         for batch in batches:
             for data, first in zip(batch.column(0), batch.column(1), strict=True):
                 keys, at, ids = read_image(data.as_py())
-                raw = memoryview(ids.astype("<u4").tobytes())
-                crc = [zlib.crc32(raw[4 * int(a) : 4 * int(b)]) for a, b in zip(at[:-1], at[1:], strict=True)]
+                raw, own = memoryview(ids.astype("<u4").tobytes()), at - at[0]
+                crc = [zlib.crc32(raw[4 * int(a) : 4 * int(b)]) for a, b in zip(own[:-1], own[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(at[:-1] + first.as_py(), pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], names=[key, "start", "n_tokens", "ids_crc32"])
 
-    return images.join(starts, ["part", "seq"]).select("image", "first").mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
-
-
-def export_images(images: DataFrame, folder: str) -> list[str]:
-    """Write each image as folder/part-seq.pfor, one at a time; for a folder the driver can write."""
-    os.makedirs(folder, exist_ok=True)
-    out = []
-    for row in images.select("part", "seq", "image").orderBy("part", "seq").toLocalIterator():
-        out.append(os.path.join(folder, f"{row['part']:06d}-{row['seq']:06d}.pfor"))
-        with open(out[-1], "wb") as f:
-            f.write(row["image"])
-    return out
+    return images.mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_pfor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return read_token_files(write_token_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2))
+    folder = scratch_path(spark)
+    return read_token_files(write_token_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2, folder), folder)
