@@ -1,20 +1,24 @@
-"""Substring dedup by minimiser-keyed window counting, in place of a relative Lempel-Ziv parse.
+"""Substring dedup by relative Lempel-Ziv parsing, with the corpus itself as the reference.
 
-No document is factored greedily against a reference: that walk needs the reference in one place, and here it
-is the whole corpus. What it is for, the words of windows that stand elsewhere, is counted by key instead.
 Texts are cut by their own content into blocks: every window of WINDOW words is governed by the least hash
 among its GRAM-word grams, and the run of windows one gram governs is a block. Equal windows are governed by
-equal grams at equal offsets, so a window can recur only in blocks under its gram. A block that stands
-elsewhere word for word goes as a whole; a block that shares its gram but not all its words with another is
-checked window by window; windows that touch or overlap are joined to spans. The result is exact, up to
-collisions of 128 bits.
+equal grams at equal offsets, so a window can recur only in blocks under its gram. The index holds every
+block of every text with the first and the last place it stands at; a place is a text and a word of it.
+
+A document is parsed from left to right: a block that stands elsewhere opens a factor at its place there, and
+the factor goes on greedily while the next block continues the text at that place; where it doesn't, the
+factor ends and the next begins. At factor boundaries, where a block shares its gram but not all its words
+with another, its windows are looked up one by one, so a match that starts or ends within a block is found to
+the word. Every factor is a window or longer, which makes it a duplicate span; factors overlap at boundaries
+by less than a window. The words covered are exact, up to collisions of 128 bits.
 
 Only hashes are shuffled while the index is built; block hashes that are equal collapse, so a passage in
-many documents is checked once; texts meet their spans once, and the texts with blocks to check once more.
+many documents is checked once; texts meet their factors once, and the texts with blocks to check once more.
 
 Words are runs of anything but ASCII white space and stay unchanged. A null or empty text has no words; a
 text shorter than a window loses nothing; repeated rows are occurrences of each other, and so are the copies
-within one text; extra columns are left aside.
+within one text; a null id is an id like any other; an empty table gives an empty result; a very long text is
+parsed whole, in one task; extra columns are left aside, whatever they are called.
 """
 
 from __future__ import annotations
@@ -25,10 +29,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm.common import WordTable, documents, materialize, mix64, signed, small_batches, text_or_empty
+from sediment.llm.common import WordTable, documents, materialize, mix64, release, signed, small_batches, text_or_empty
 
 WINDOW = 35
 GRAM = 10
@@ -145,35 +149,72 @@ def _windows(rows: DataFrame, kind: str) -> DataFrame:
     return rows.select("id", "th", "t", "asked").mapInArrow(run, f"gram long, window long, id {kind}, th long, a int, c long")
 
 
-def factors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, th, spans array<(a, m)>): the parts of each document's parse that stand elsewhere, as runs of m windows from word a."""
+def _place(word: str = "a") -> Column:
+    """Where a window stands: 40 bits that tell the row by its id and text, 24 of the word. Words beyond 2^24 count as another row's."""
+    far = F.shiftright(word, 24).cast("long")
+    return F.shiftleft(F.col("th").bitwiseXOR(far), 24).bitwiseOR(F.col(word).cast("long").bitwiseAND((1 << 24) - 1))
+
+
+def text_place(text_hash: int) -> int:
+    """The place of a row's first word, from xxhash64(id, text)."""
+    low = text_hash << 24 & (1 << 64) - 1
+    return low - (1 << 64) if low >> 63 else low
+
+
+FIRST_LAST = (F.min, F.max)
+
+
+def matches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, th, found array<(a, m, first, last)>): each document's blocks and windows that stand elsewhere, m windows from word a, with the first and last place of all they stand at."""
     small_batches(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
+    kind, made = docs.schema[key].dataType.simpleString(), []
     rows = _keyed(docs, key, text)
-    index = materialize(_index(rows, kind))
+    index = materialize(_index(rows, kind), made)
+    ends = [f(_place()).alias(n) for f, n in zip(FIRST_LAST, ("first", "last"), strict=True)]
     # grams that govern blocks in two places or more, and whether these blocks are all one
     # written out, so that the join back is between two plain exchanges and a hot gram's rows can be split
-    shared = materialize(index.groupBy("gram").agg(F.count("*").alias("n"), (F.min("block") == F.max("block")).alias("one")).where("n > 1").select("gram", "one"))
-    hits = materialize(index.join(shared, "gram"))
-    several = hits.where("not one")
-    blocks = materialize(several.groupBy("gram", "block").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "a", "m")).alias("at")))
-    again = several.join(blocks.where("c > 1").select("gram", "block"), ["gram", "block"], "left_semi")
-    # factor ends: each distinct block under a shared gram is checked window by window
+    shared = index.groupBy("gram").agg(F.count("*").alias("n"), (F.min("block") == F.max("block")).alias("one"), *ends)
+    shared = materialize(shared.where("n > 1").select("gram", "one", "first", "last"), made)
+    hits = materialize(index.join(shared, "gram"), made)
+    several = hits.where("not one").drop("first", "last")
+    blocks = materialize(several.groupBy("gram", "block").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "a", "m")).alias("at"), *ends), made)
+    again = several.join(blocks.where("c > 1").select("gram", "block", "first", "last"), ["gram", "block"])
+    # factor boundaries: each distinct block under a shared gram is checked window by window, at one of its places
     asked = blocks.select(F.col("at.id").alias("id"), F.col("at.th").alias("th"), F.struct("gram", "block", F.col("at.a").alias("a"), F.col("at.m").alias("m"), "c").alias("b"))
     asked = asked.groupBy("id", "th").agg(F.collect_list("b").alias("asked"))
     texts = rows.join(asked.select(F.col("id").alias("i"), F.col("th").alias("h"), "asked"), F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")))
-    windows = materialize(_windows(texts, kind).distinct())
-    twice = materialize(windows.groupBy("gram", "window").agg(F.sum("c").alias("n")).where("n > 1").select("gram", "window"))
-    single = windows.where("c = 1").join(twice, ["gram", "window"], "left_semi").select("id", "th", "a", F.lit(1).alias("m"))
-    spans = hits.where("one").select("id", "th", "a", "m").unionByName(again.select("id", "th", "a", "m")).unionByName(single)
-    return materialize(spans.groupBy("id", "th").agg(F.collect_set(F.struct("a", "m")).alias("spans")))
+    windows = materialize(_windows(texts, kind).distinct(), made)
+    twice = materialize(windows.groupBy("gram", "window").agg(F.sum("c").alias("n"), *ends).where("n > 1").select("gram", "window", "first", "last"), made)
+    single = windows.where("c = 1").join(twice, ["gram", "window"]).withColumn("m", F.lit(1))
+    names = ["id", "th", "a", "m", "first", "last"]
+    found = hits.where("one").select(names).unionByName(again.select(names)).unionByName(single.select(names))
+    out = materialize(found.groupBy("id", "th").agg(F.collect_set(F.struct(*names[2:])).alias("found")))
+    release(made)
+    return out
+
 
+def parse(text_hash: int, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """Greedy factors (first word, end, place of the first word elsewhere) from matches (a, m, first, last) of one text.
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Factors as word ranges: runs of windows that touch or overlap are one."""
+    A match goes on with the open factor if it begins in or right behind its windows and one of its places
+    continues the factor's; else it opens a factor at a place other than its own.
+    """
+    out: list[list[int]] = []
+    for a, m, *places in sorted(found):
+        if out:
+            start, end, place = out[-1]
+            if a <= end - WINDOW + 1 and place + a - start in places:
+                out[-1][1] = max(end, a + m + WINDOW - 1)
+                continue
+        own = text_place(text_hash ^ (a >> 24)) + (a & (1 << 24) - 1)
+        out.append([a, a + m + WINDOW - 1, next((p for p in places if p != own), own)])
+    return [tuple(f) for f in out]
+
+
+def covered(factors: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Factors as word ranges: those that touch or overlap are one."""
     out: list[tuple[int, int]] = []
-    for a, m in sorted(spans):
-        b = a + m + WINDOW - 1
+    for a, b, _ in factors:
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -182,18 +223,20 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_words, n_removed, removed array<(first, end)>, kept): the word ranges that stand elsewhere, and the other words."""
+    """(key, n_words, n_removed, factors array<(first, end, place)>, removed array<(first, end)>, kept): the parse, the word ranges it covers, and the other words."""
     kind = docs.schema[key].dataType.simpleString()
-    found = factors(docs, key, text).select(F.col("id").alias("i"), F.col("th").alias("h"), "spans")
+    found = matches(docs, key, text).select(F.col("id").alias("i"), F.col("th").alias("h"), "found")
     rows = _keyed(docs, key, text).join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")), "left")
     span = pa.struct([("first", pa.int32()), ("end", pa.int32())])
+    factor = pa.struct([("first", pa.int32()), ("end", pa.int32()), ("place", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, gone, ranges, kept = [], [], [], []
-            for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            counts, gone, parsed, ranges, kept = [], [], [], [], []
+            for t, th, some in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 words = t.encode().split()
-                parts = merged([(s["a"], s["m"]) for s in spans or []])
+                factors = parse(th, [tuple(x.values()) for x in some or []])
+                parts = covered(factors)
                 left, at = [], 0
                 for a, b in parts:
                     left += words[at:a]
@@ -201,11 +244,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 left += words[at:]
                 counts.append(len(words))
                 gone.append(len(words) - len(left))
+                parsed.append([{"first": a, "end": b, "place": p} for a, b, p in factors])
                 ranges.append([{"first": a, "end": b} for a, b in parts])
                 kept.append(b" ".join(left))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(ranges, pa.list_(span)), pa.array(kept, pa.binary()).cast(pa.string())], names=[key, "n_words", "n_removed", "removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(parsed, pa.list_(factor)), pa.array(ranges, pa.list_(span)), pa.array(kept, pa.binary()).cast(pa.string())], names=[key, "n_words", "n_removed", "factors", "removed", "kept"])
 
-    return rows.select("id", "t", "spans").mapInArrow(run, f"`{key}` {kind}, n_words long, n_removed long, removed array<struct<first: int, end: int>>, kept string")
+    return rows.select("id", "t", "th", "found").mapInArrow(run, f"`{key}` {kind}, n_words long, n_removed long, factors array<struct<first: int, end: int, place: long>>, removed array<struct<first: int, end: int>>, kept string")
 
 
 def op8_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +257,6 @@ def op8_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-
 OP8_SQL = rf"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
