@@ -8,8 +8,10 @@ the cut is a hash value a source, so the rows themselves need no shuffle to lear
 
 Whole documents are taken: the one on the cut is in if more than half of it is inside the budget. Rows
 alike in id and text share a place and are in or out together. A null text has size 0; a null source is a
-source of its own, ranked last; an empty table gives an empty mix. Reruns agree: nothing depends on the
-order or the partition of rows.
+source of its own, ranked last; an empty table gives an empty mix. A document larger than what is left of its
+source's budget is in if more than half of it fits, so a source misses its target by half a document at most.
+Reruns agree: nothing depends on the order or the partition of rows. Extra columns pass through, whatever
+they are called.
 """
 
 from __future__ import annotations
@@ -18,13 +20,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sediment.llm.common import documents, materialize, text_or_empty
+from sediment.llm.common import documents, materialize, release, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
-#: Hex digits of the hash that make a range: 4096 ranges a source.
-PREFIX = 3
+#: Rows of a range, or fewer, on which a source's rows are sorted one by one, were all rows of one source.
+RANGE_ROWS = 20_000
+
+
+def digits_for(rows: int) -> int:
+    """Hex digits of the hash that make a range: they grow with the logarithm of the rows."""
+    return next(d for d in range(3, 32) if RANGE_ROWS * 16**d >= rows)
 
 
 def words(text: Column) -> Column:
@@ -56,26 +63,28 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def cuts(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """(source, source_size, target, epochs, cut): each source's whole epochs, and the last place its part epoch takes."""
+    digits, made = digits_for(df.count()), []
     body = text_or_empty(f"`{text}`")
     rows = df.select(F.col(f"`{source}`").alias("source"), body.alias("t"), place(F.col(f"`{key}`"), body).alias("place"))
-    ranges = materialize(rows.groupBy("source", F.substring("place", 1, PREFIX).alias("range")).agg(F.sum(words(F.col("t"))).alias("size")))
+    ranges = materialize(rows.groupBy("source", F.substring("place", 1, digits).alias("range")).agg(F.sum(words(F.col("t"))).alias("size")), made)
     per_source = targets(ranges.groupBy("source").agg(F.sum("size").alias("source_size")), **how)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    per_source = materialize(per_source.withColumn("epochs", whole).withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size")))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
+    per_source = materialize(per_source.withColumn("epochs", whole).withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size")), made)
     r, s = ranges.alias("r"), per_source.alias("s")
     ended = r.join(s, F.col("r.source").eqNullSafe(F.col("s.source"))).select("s.source", "range", "size", "left")
     ended = ended.withColumn("end", F.sum("size").over(W.partitionBy("source").orderBy("range")))
     # the range in which the budget ends: what lies before it is in, what lies behind it is out
-    edge = materialize(ended.where((F.col("end") - F.col("size") < F.col("left")) & (F.col("end") >= F.col("left"))).groupBy("source").agg(F.min("range").alias("range"), F.min_by(F.col("left") - (F.col("end") - F.col("size")), "range").alias("room")))
+    edge = materialize(ended.where((F.col("end") - F.col("size") < F.col("left")) & (F.col("end") >= F.col("left"))).groupBy("source").agg(F.min("range").alias("range"), F.min_by(F.col("left") - (F.col("end") - F.col("size")), "range").alias("room")), made)
     e = edge.select(F.col("source").alias("e_source"), F.col("range").alias("e_range"), "room")
-    near = rows.join(e, rows["source"].eqNullSafe(F.col("e_source")) & (F.substring("place", 1, PREFIX) == F.col("e_range")))
+    near = rows.join(e, rows["source"].eqNullSafe(F.col("e_source")) & (F.substring("place", 1, digits) == F.col("e_range")))
     near = near.groupBy("source", "e_range", "room", "place").agg(F.sum(words(F.col("t"))).alias("size"))
     near = near.withColumn("end", F.sum("size").over(W.partitionBy("source").orderBy("place")))
     last = near.groupBy("source", "e_range").agg(F.max(F.when(F.col("end") - F.col("size") / 2 < F.col("room"), F.col("place"))).alias("place"))
     last = last.select(F.col("source").alias("l_source"), F.coalesce("place", "e_range").alias("cut"))
     out = per_source.join(last, per_source["source"].eqNullSafe(F.col("l_source")), "left")
-    return materialize(out.select("source", "source_size", "target", "epochs", F.coalesce("cut", F.when(F.col("left") > 0, F.lit("g")).otherwise(F.lit(""))).alias("cut")))
+    out = materialize(out.select("source", "source_size", "target", "epochs", F.coalesce("cut", F.when(F.col("left") > 0, F.lit("g")).otherwise(F.lit(""))).alias("cut")))
+    release(made)
+    return out
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:

@@ -7,7 +7,8 @@ fixed number of times. Base kinds (email, ip, card, phone) equal a leftmost non-
 patterns; the cues add url, secret, iban, ssn and account.
 
 A null text counts as empty and has no spans; repeated rows give repeated rows; spans of different kinds may
-overlap and come by start, then kind; a text of any length is read whole.
+overlap and come by start, then kind; a text of any length is read whole; an empty table gives an empty
+result; extra columns are left aside, whatever they are called.
 """
 
 from __future__ import annotations
@@ -276,5 +277,3 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
-
-

@@ -10,7 +10,9 @@ alone; only a script with hardly a label has a fixed band. Entropy is bounded by
 count, so its floor goes by length: one for each doubling of the tokens.
 
 A null text counts as empty; an empty or very short text fails the base rule (under 50 words) and is not
-kept; a null language goes by script; repeated rows are judged alike; a very long text is measured whole.
+kept; a null language goes by script; repeated rows are judged alike; a very long text is measured whole, up
+to 2^31 different words; an empty table gives an empty result; extra columns pass through keep_good and are
+left aside elsewhere, whatever they are called.
 """
 
 from __future__ import annotations
@@ -84,7 +86,11 @@ def repeat_words(numbers: np.ndarray) -> int:
     n = len(numbers)
     if n < 4:
         return 0
-    windows = (numbers[:-2] << np.int64(42)) | (numbers[1:-1] << np.int64(21)) | numbers[2:]
+    if numbers.max() >> 21 == 0:
+        windows = (numbers[:-2] << np.int64(42)) | (numbers[1:-1] << np.int64(21)) | numbers[2:]
+    else:  # three numbers don't fit into 64 bits: the pairs are numbered first
+        pairs = np.unique(numbers[:-2] << np.int64(32) | numbers[1:-1], return_inverse=True)[1]
+        windows = pairs << np.int64(32) | numbers[2:]
     order = np.argsort(windows, kind="stable")
     ranked = windows[order]
     same = np.zeros(n - 1, bool)

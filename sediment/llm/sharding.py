@@ -9,7 +9,8 @@ without harm to the balance is packed as PIECES buckets of its rows.
 The law is `bytes`: sizes are near equal, and tokens and rows as near as the same packing brings them. Slots
 number a shard's rows without a gap, by ranges of hashes whose counts are summed up before the rows are
 numbered, so no task sees a whole shard. A null text has size 1; rows alike in id and text share a shard;
-null ids, ties and extra columns do no harm; an empty table gives empty shards.
+null ids, ties and extra columns do no harm, whatever these are called; a text larger than a shard makes its
+shard the largest; an empty table gives empty shards.
 """
 
 from __future__ import annotations

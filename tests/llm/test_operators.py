@@ -114,12 +114,18 @@ def test_bpe_rows(docs, none):
 def test_lines(spark, none):
     rows = [(i, f"own {i}\nmenu\n \nmenu\n{'rare' if i == 1 else 'x%d' % i}", "en", None if i % 2 else "h", 1) for i in range(40)]
     rows += [(50, None, "en", "h", 1), (51, "", "en", "h", 1), (52, "menu", "en", "small", 1)] + [(60 + i, "copied page\nof two lines", "en", "h", 1) for i in range(30)]
-    out = lines.drop_boilerplate(frame(spark, rows), F.col("source")).select("row.doc_id", "row.text", "row.size", "n_lines", "n_dropped").collect()
+    rows += [(100 + i, f"same\nanother {i}", "en", "three", 1) for i in range(3)] + [(110, "same\n" + LONG, "en", "three", 1)]
+    out = lines.drop_boilerplate(frame(spark, rows), F.col("source"), different=True).select("row.doc_id", "row.text", "row.size", "n_lines", "n_dropped").collect()
     got = {r["doc_id"]: r for r in out}
     assert got[1]["text"] == "own 1\n \nrare" and (got[1]["n_lines"], got[1]["n_dropped"]) == (4, 2)
     assert got[50]["text"] is None and got[51]["text"] == "" and got[51]["n_lines"] == 0
     assert got[52]["text"] == "menu" and got[60]["text"] == "copied page\nof two lines"
+    assert got[100]["text"] == "another 0" and got[110]["text"] == LONG
     assert len(out) == len(rows)
+    every = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(frame(spark, rows), F.col("source")).select("row.*").collect()}
+    assert every[60] == "" and every[52] == "menu" and every[1] == got[1]["text"] and every[102] == "another 2"
+    lenient = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(frame(spark, rows), F.col("source"), min_pages=5).select("row.*").collect()}
+    assert lenient[102] == "same\nanother 2"
     assert lines.drop_boilerplate(none, F.col("source")).count() == 0
 
 
@@ -177,9 +183,24 @@ def test_cues_in_any_spelling():
     assert len(pii.lowered("İAé日B😀")) == 6 and not pii.spans_of("token" + " " * 100_000 + "password" + "number " * 10_000)
 
 
-def test_pii_rows(docs, none):
-    assert sorted(str(r[0]) for r in pii.find_spans(docs).collect()) == sorted(str(r[0]) for r in EDGE)
+def test_pii_rows(docs, none, spark, tmp_path):
+    told = [(20, "mail a.b@c-d.org, +49 (30) 1234-5678 or 10.0.0.256 and 10.0.0.255", "en", "a", 1), (21, "card 4111 1111 1111 1111 é😀 x@y.zz see https://a.b/c", "en", "a", 1)]
+    rows = EDGE + told
+    got = pii.find_spans(frame(spark, rows)).collect()
+    want = Counter((r[0], tuple((k, a, b) for a, b, k in slow_spans(text(r)))) for r in rows)
+    assert Counter((r["doc_id"], tuple(tuple(s) for s in r["spans"] if s["kind"] in pii.BASE)) for r in got) == want
     assert pii.find_spans(none).count() == 0
+    # the registered query, over a table of these rows
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = pii.op3_pii(spark, str(tmp_path)).collect()
+    expected = Counter()
+    for r in rows:
+        spans = slow_spans(text(r))
+        spelled = ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
+        expected[r[0], *(sum(s[2] == k for s in spans) for k in pii.BASE), hashlib.sha256(spelled.encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in out) == expected
+    whole = next(r["spans"] for r in out if r["doc_id"] == 21)
+    assert whole.split(",")[0] == "card:5:24" and "url:" in whole
 
 
 # ---------------------------------------------------------------- 4
@@ -200,6 +221,26 @@ def test_shards(docs, none, spark):
     assert len(out) == 8 and max(sizes) < 1.02 * min(sizes) and max(counts) < 1.02 * min(counts) and all(r["m"] == r["n"] - 1 for r in out)
 
 
+def test_packing_takes_the_highest_dot_product():
+    rng = np.random.default_rng(4)
+    vectors = rng.random((60, 3)) * [100, 20, 1]
+    left, total = [[0.25] * 3 for _ in range(4)], vectors.sum(0)
+    share = (vectors / total).tolist()
+    got = sharding.pack(vectors, 4)
+    for i in sorted(range(60), key=lambda i: -max(share[i])):
+        fits = [s for s in range(4) if all(left[s][d] >= share[i][d] - 1e-12 for d in range(3))] or list(range(4))
+        dots = {s: sum(left[s][d] * share[i][d] for d in range(3)) for s in fits}
+        assert dots[got[i]] == pytest.approx(max(dots.values()))
+        left[got[i]] = [left[got[i]][d] - share[i][d] for d in range(3)]
+
+
+def test_shard_query(spark, tmp_path):
+    spark.createDataFrame(EDGE, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = sharding.op4_vector_shards(spark, str(tmp_path))
+    assert {r["law"] for r in out.collect()} == {"bytes"} and out.where("grown_shard is not null").count() == 0
+    assert dict(out.dtypes) | {"tokens": ""} == {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int", "tokens": ""}
+
+
 def test_shards_written(docs, tmp_path, spark):
     sharding.write_shards(docs.drop("shard"), str(tmp_path / "s"), shards=3)
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(EDGE)
@@ -359,6 +400,35 @@ def test_likeness():
     assert f("") == "" and fingerprints.likeness("", "") == 1 and fingerprints.likeness("", f(a)) == 0 and f("ab") != f("ac")
 
 
+def slow_likeness(a, b):
+    """The longest run in one order over all anchors, by dynamic programming."""
+    def anchors(t):
+        points, found = np.frombuffer(t.encode("utf-32-le"), np.uint32), {}
+        for h, p in zip(*(x.tolist() for x in fingerprints.syncmers(points)), strict=True):
+            found.setdefault(h >> 16, p)
+        return found
+    x, y = anchors(a), anchors(b)
+    if a == b:
+        return 1.0
+    common = [y[h] for h in sorted(x.keys() & y.keys(), key=x.get)]
+    best = []
+    for i, p in enumerate(common):
+        best.append(1 + max([best[j] for j in range(i) if common[j] < p], default=0))
+    return max(best, default=0) / len(x | y) if x and y else 0.0
+
+
+def test_likeness_equals_brute_force(spark):
+    rows = [(i, sentence(f"like {i // 2}", 60 + i) + (" tail " + sentence(f"t{i}", i % 7 * 10)), "en", "a", 1) for i in range(24)]
+    rows.append((30, " ".join(reversed(rows[3][1].split())), "en", "a", 1))
+    got = {r["doc_id"]: r for r in fingerprints.compare_with_next(frame(spark, rows), kept=None).collect()}
+    near = {r["doc_id"]: r for r in fingerprints.compare_with_next(frame(spark, rows)).collect()}
+    order = sorted(rows, key=lambda r: -r[0])
+    for r, n in zip(order, order[1:] + order[:1], strict=True):
+        want = slow_likeness(r[1], fingerprints.edited(r[1], n[1])), slow_likeness(r[1], n[1])
+        assert (got[r[0]]["near_edited"], got[r[0]]["near_next"]) == pytest.approx(want)
+        assert (near[r[0]]["near_edited"], near[r[0]]["near_next"]) == pytest.approx(want, abs=0.2)
+
+
 def test_next_documents(docs, none):
     rows = fingerprints.compare_with_next(docs).collect()
     order = sorted(EDGE, key=lambda r: (r[0] is None, -(r[0] or 0), text(r)))
@@ -394,12 +464,24 @@ def test_word_ids_equal_the_library():
     assert [x.tolist() for x in got] == [e.ids for e in tk.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_token_files(docs, none, tmp_path, monkeypatch):
+def test_word_ids_forget_what_is_rare(monkeypatch):
+    path = P.path("word_bpe_49k.json")
+    want = Tokenizer.from_file(path)
+    monkeypatch.setattr(pfor, "REMEMBERED", 60)
+    made, texts = pfor.WordIds(path), [sentence(i, 30) + " the same é words, again! 日本" for i in range(20)]
+    for t in texts:
+        assert made.encode([t])[0].tolist() == want.encode(t, add_special_tokens=False).ids
+        assert len(made.chunks.table) <= 60 + 40
+    assert "again!" in made.chunks.table and sentence(0, 30).split()[0] not in made.chunks.table
+
+
+def test_token_files(docs, none, tmp_path):
     path = P.path("word_bpe_49k.json")
     tk = Tokenizer.from_file(path)
     tk.encode_special_tokens = True
-    images = pfor.write_token_files(docs, path, 2)
-    rows = pfor.read_token_files(images).collect()
+    folder = f"file://{tmp_path}/tokens"
+    files = pfor.write_token_files(docs, path, 2, folder)
+    rows = pfor.read_token_files(files, folder).collect()
     order = sorted(rows, key=lambda r: r["start"])
     assert [r["doc_id"] for r in order] == sorted((r[0] for r in EDGE), key=lambda x: (x is not None, x or 0))
     at = 0
@@ -411,9 +493,19 @@ def test_token_files(docs, none, tmp_path, monkeypatch):
         ids = np.array([*tk.encode(text(r), add_special_tokens=False).ids, 2], "<u4")
         want[r[0], len(ids), zlib.crc32(ids.tobytes())] += 1
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows) == want
-    written = pfor.export_images(images, str(tmp_path))
-    assert sum(len(pfor.read_image(open(p, "rb").read())[0]) for p in written) == len(EDGE)
-    assert pfor.read_token_files(pfor.write_token_files(none, path, 2)).count() == 0
+    written = sorted((tmp_path / "tokens").glob("*.pfor"))
+    assert sum(len(pfor.read_image(p.read_bytes())[0]) for p in written) == len(EDGE) and files.count() == len(written)
+    assert pfor.read_token_files(pfor.write_token_files(none, path, 2, folder + "0"), folder + "0").count() == 0
+
+
+def test_token_files_of_many_images(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pfor, "IMAGE", 500)
+    rows = [(i, sentence(i, 40), "en", "a", 1) for i in range(200)]
+    folder = f"file://{tmp_path}/t"
+    files = pfor.write_token_files(frame(spark, rows), P.path("word_bpe_49k.json"), 2, folder)
+    got = sorted(pfor.read_token_files(files, folder).collect(), key=lambda r: r["doc_id"])
+    assert files.count() > 20
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
 
 
 # ---------------------------------------------------------------- 8
@@ -441,6 +533,33 @@ def test_removal_equals_brute_force(docs, none, spark):
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == slow_removal(rows)
 
 
+def test_factors_are_greedy_matches(spark):
+    rng = random.Random(5)
+    passages = [sentence(f"f{i}", rng.randint(40, 160)) for i in range(10)]
+    cut = lambda p: " ".join(p.split()[rng.randint(0, 15) : rng.randint(60, 200)])
+    rows = [(i, " ".join(x for k in range(rng.randint(1, 5)) for x in (sentence(f"f{i} {k}", rng.randint(0, 40)), cut(rng.choice(passages)))), "en", "a", 1) for i in range(80)]
+    rows += [(90, passages[0] + " " + passages[1], "en", "a", 1), (91, passages[0] + " " + passages[1], "en", "a", 1), (92, "y " * 100, "en", "a", 1)]
+    docs = frame(spark, rows)
+    hashes = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h")).collect()}
+    at = {substrings.text_place(hashes[r[0]]) >> 24: WORD.findall(r[1]) for r in rows}
+    long_ones = 0
+    for r in substrings.remove_repeats(docs).collect():
+        own = next(x[1] for x in rows if x[0] == r["doc_id"])
+        words, end, place = WORD.findall(own), 0, None
+        for f in r["factors"]:
+            length, there = f["end"] - f["first"], at[f["place"] >> 24]
+            long_ones += length > substrings.WINDOW
+            low = f["place"] & (1 << 24) - 1
+            assert length >= substrings.WINDOW and words[f["first"] : f["end"]] == there[low : low + length]
+            assert f["place"] != substrings.text_place(hashes[r["doc_id"]]) + f["first"]
+            # a factor that follows at once doesn't continue the one before
+            assert place is None or f["first"] > end - substrings.WINDOW + 1 or f["place"] - place != f["first"] - first
+            first, end, place = f["first"], f["end"], f["place"]
+        assert [(x["first"], x["end"]) for x in r["removed"]] == substrings.covered([tuple(f) for f in r["factors"]])
+    assert long_ones > 100
+    assert substrings.parse(7, [(0, 10, 100, 900), (10, 5, 910, 110), (15, 1, 500, 600)]) == [(0, 49, 100), (15, 50, 500)]
+
+
 # ---------------------------------------------------------------- 9
 
 
@@ -494,6 +613,12 @@ def slow_counts(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dups, len(covered)
 
 
+def test_repeats_in_a_text_of_many_different_words():
+    n = 4_500_000
+    assert quality.repeat_words(np.arange(n)) == 0
+    assert quality.repeat_words(np.append(np.arange(n), [5, 6, 7])) == 6
+
+
 def test_counts_equal_brute_force(docs, none):
     model = quality.production_model()
     rng = random.Random(6)
