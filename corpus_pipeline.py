@@ -15,6 +15,9 @@ from sediment.llm import bpe, jaccard, lines, mixing, quality
 from sediment.llm.common import documents, materialize
 from sediment.session import prepare
 
+#: Texts of a source that must share a line before it can go: copies, which a later stage removes, make no boilerplate.
+MIN_TEXTS = 5
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or leave their language's fertility bands go."""
@@ -26,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that a source repeats on many of its documents go; n_chars follows the text, every document stays."""
-    out = lines.drop_boilerplate(docs, F.col("source")).select("row.*")
+    out = lines.drop_boilerplate(docs, F.col("source"), min_pages=MIN_TEXTS, different=True).select("row.*")
     if "n_chars" not in docs.columns:
         return out
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
