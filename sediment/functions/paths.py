@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sediment.functions.profiles import EXTENSIONS, OFFICE_PARTS, PROFILES
+from sediment.functions import probe
+from sediment.functions.media_type import profile_of_essence
+from sediment.functions.profiles import EXTENSIONS, OFFICE_PARTS, OOXML, PROFILES, ZIP, registry
 
 # The longest path and extension.
 MAX_PATH, MAX_EXTENSION = 4096, 8
@@ -55,6 +57,17 @@ def container_kind(prefix: Column) -> Column:
     return F.when(F.substring(first, 1, 4) == "1F8B", "gzip").when(first.isin("504B0304", "504B0506"), "zip").when(tar, "tar")
 
 
+def member_type(path: Column, prefix: Column) -> Column:
+    """struct<media_type, container> of a member by its path and first bytes, as the decomposer infers it."""
+    named, kind, listed = media_type_of_name(path), container_kind(prefix), registry(2)
+    holders = [e for e in sorted(set(EXTENSIONS.values())) if listed.get(e) in (ZIP, OOXML) or e in ("application/x-tar", "application/gzip")]
+    holds = F.coalesce(named.isin(*holders), F.lit(False)) | is_wrapped_tar(path)
+    inside = kind.isNotNull() & (holds | named.isNull())
+    # a name types the bytes unless they show a profile other than the one its type has
+    stands = probe.reconciled(probe.detected(prefix), profile_of_essence(named)).isNotNull()
+    return F.struct(F.when(inside | (named.isNotNull() & stands), named).alias("media_type"), F.when(inside, kind).alias("container"))
+
+
 def set_bits(names: Column) -> Column:
     """A set of profiles as bits in registry order, for bit_or over groups."""
     out = F.lit(0)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,80 +54,81 @@ def ratio(part: Column, total: Column) -> Column:
 
 
 def human(size: Column) -> Column:
-    """Bytes below 1 KiB, else KiB or MiB with one decimal."""
-    return F.when(size < 1024, F.format_string("%d B", size.cast("long"))).when(size < 1 << 20, F.format_string("%.1f KiB", size / 1024)).otherwise(F.format_string("%.1f MiB", size / (1 << 20)))
+    """Bytes below 1 KiB, else KiB or MiB with one decimal, ties to even."""
+    shown = lambda unit, name: F.format_string(f"%.1f {name}", F.bround(size / unit, 1))
+    return F.when(size < 1024, F.format_string("%d B", size.cast("long"))).when(size < 1 << 20, shown(1 << 10, "KiB")).otherwise(shown(1 << 20, "MiB"))
 
 
 def analyse(files: DataFrame, path: str = "path", content: str = "content", declared: str | None = None, digest: str = "sha256") -> DataFrame:
     """The chunks of files: containers by their members, others by profile, and what is refused as generic.
 
-    (path, route, reason, container, member, profile, ordinal, start, end, length, digest). A file that its
-    container reader or its profile refuses is cut whole as generic under the route `opaque`; a member that
-    its profile refuses is cut as generic under `opaque` as well. An empty file has one row without a chunk.
+    (file, path, input_bytes, route, reason, container, members, member, profile, ordinal, start, end, length,
+    digest). `file` tells rows of one path apart; `members` counts those of all container levels. A file that
+    its container reader or its profile refuses is cut whole as generic under the route `opaque`; a member
+    that its profile refuses is cut as generic under `opaque` as well. An empty file, or one without content,
+    has one row without a chunk. A file without a path goes by its bytes alone.
     """
-    source = files.select(F.col(f"`{path}`").alias("path"), F.col(f"`{content}`").alias("content"), (F.col(f"`{declared}`") if declared else F.lit(None).cast("string")).alias("declared"))
+    source = files.select(F.monotonically_increasing_id().alias("file"), F.col(f"`{path}`").cast("string").alias("path"), F.col(f"`{path}`").cast("string").alias("name"), F.col(f"`{content}`").cast("binary").alias("content"), (F.col(f"`{declared}`") if declared else F.lit(None)).cast("string").alias("declared"))
     api.few(files)
     hashed = api.DIGESTS[digest]
     listed = registry(2)
-    names = ["path", "route", "reason", "container", "member", "profile", "ordinal", "start", "end", "length", "digest"]
-    types = [pa.string()] * 4 + [pa.binary(), pa.string()] + [pa.int64()] * 4 + [pa.string()]
+    fields = [("input_bytes", pa.int64()), ("route", pa.string()), ("reason", pa.string()), ("container", pa.string()), ("members", pa.int64()), ("member", pa.binary()), ("profile", pa.string())]
+    fields += [(n, pa.int64()) for n in ("ordinal", "start", "end", "length")] + [("digest", pa.string())]
+    no_chunk = (None,) * 5
 
     def cut(head: tuple, profile: str, data: bytes) -> list[tuple]:
         form, ends = chunkers.canonical_form(profile, data), chunkers.boundaries(profile, data)
         starts = [0, *ends][: len(ends)]
         return [(*head, profile, k, a, b, b - a, hashed(form[a:b])) for k, (a, b) in enumerate(zip(starts, ends, strict=True))]
 
-    def refused(name: str, why: str, container: str | None, member: bytes | None, data: bytes) -> list[tuple]:
-        head = (name, "opaque", why, container, member)
-        return cut(head, GENERIC, data) or [(*head, GENERIC, *(None,) * 5)]
+    def refused(size: int, why: str, container: str | None, members: int | None, member: bytes | None, data: bytes) -> list[tuple]:
+        head = (size, "opaque", why, container, members, member)
+        return cut(head, GENERIC, data) or [(*head, GENERIC, *no_chunk)]
 
-    def file_rows(name: str, data: bytes, told: str | None) -> list[tuple]:
-        media, kind = infer_member(name.rsplit("/", 1)[-1].encode(), data[:PROBE_BYTES])
-        if kind:
-            out = []
+    def taken_apart(size: int, data: bytes) -> list[tuple]:
+        try:
+            found = decompose(data)
+        except Opaque as e:
+            return refused(size, str(e), None, None, None, data)
+        outer, out = found[0].container, []
+        members = sum(e.members for e in found if e.kind == "container_end")
+        for e in found:
+            if e.kind != "member_end" or e.nested:
+                continue
+            profile = listed.get(e.media_type, GENERIC)
             try:
-                found = decompose(data)
-            except Opaque as e:
-                return refused(name, str(e), None, None, data)
-            outer = found[0].container
-            for e in found:
-                if e.kind != "member_end" or e.nested:
-                    continue
-                profile = listed.get(e.media_type, GENERIC)
-                head = (name, "decomposed", None, outer, e.path)
-                try:
-                    out += cut(head, profile, e.content)
-                except Rejected as why:
-                    out += refused(name, why.detail, outer, e.path, e.content)
-            return out or [(name, "decomposed", None, outer, *(None,) * 7)]
+                out += cut((size, "decomposed", None, outer, members, e.path), profile, e.content)
+            except Rejected as why:
+                out += refused(size, why.detail, outer, members, e.path, e.content)
+        return out or [(size, "decomposed", None, outer, members, None, None, *no_chunk)]
+
+    def rows_of(name: str | None, data: bytes | None, told: str | None) -> list[tuple]:
+        data = data or b""
+        media, kind = infer_member((name or "").rsplit("/", 1)[-1].encode(), data[:PROBE_BYTES])
+        if kind:
+            return taken_apart(len(data), data)
         profile = listed.get(parse(told).essence if told else media, GENERIC)
-        head = (name, "chunked", None, None, None)
+        head = (len(data), "chunked", None, None, None, None)
         try:
-            return cut(head, profile, data) or [(*head, profile, *(None,) * 5)]
+            return cut(head, profile, data) or [(*head, profile, *no_chunk)]
         except Rejected as why:
-            return refused(name, why.detail, None, None, data)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data, told in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                rows = file_rows(name, data.as_py() or b"", told)
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+            return refused(len(data), why.detail, None, None, None, data)
 
-    return source.mapInArrow(run, "path string, route string, reason string, container string, member binary, profile string, ordinal long, start long, end long, length long, digest string")
+    return source.mapInArrow(lambda batches: api.tabled(batches, 2, fields, rows_of), "file long, path string, input_bytes long, route string, reason string, container string, members long, member binary, profile string, ordinal long, start long, end long, length long, digest string")
 
 
 def corpus_report(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """A row a file: its size, route, members, chunks and stored bytes. The bytes themselves don't reach the shuffle."""
+    """A row a file, paths that repeat too: its size, route, members of all levels, chunks and stored bytes; order by path. The bytes themselves don't reach the shuffle."""
     cut = analyse(files, path, content)
-    whole = F.max(F.when(F.col("member").isNull() & (F.col("route") == "opaque"), F.lit(True)))
-    per = cut.groupBy("path").agg(
-        F.when(F.max("container").isNotNull(), "decomposed").when(whole, "opaque").otherwise(F.first("profile")).alias("route"),
-        F.count_distinct("member").alias("members"),
+    whole = F.col("member").isNull() & (F.col("route") == "opaque")
+    per = cut.groupBy("file", "path", "input_bytes").agg(
+        F.when(F.max("container").isNotNull(), "decomposed").when(F.max(whole), "opaque").otherwise(F.first("profile")).alias("route"),
+        F.max(F.when(whole, F.col("reason"))).alias("reason"),
+        F.coalesce(F.max("members"), F.lit(0)).alias("members"),
         F.count("digest").alias("chunks"),
         F.coalesce(F.sum("length"), F.lit(0)).alias("stored_bytes"),
     )
-    sizes = files.select(F.col(f"`{path}`").alias("path"), F.octet_length(F.col(f"`{content}`")).cast("long").alias("input_bytes"))
-    return sizes.join(per, "path").withColumn("stored", human(F.col("stored_bytes")))
+    return per.drop("file").withColumns({"size": human(F.col("input_bytes")), "stored": human(F.col("stored_bytes"))})
 
 
 def inspect(found: DataFrame) -> DataFrame:

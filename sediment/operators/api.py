@@ -7,7 +7,7 @@ A chunk row carries its digest and length; its bytes travel only when asked for.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sediment.functions import media_type, probe
 from sediment.functions.blake3 import blake3
-from sediment.functions.profiles import GENERIC, IDS, Rejected, known
+from sediment.functions.profiles import GENERIC, IDS, OOXML, Rejected, known
 from sediment.operators import chunkers, office
 from sediment.operators.decompose import Opaque, decompose
 
@@ -24,8 +24,12 @@ CHUNK_FIELDS = "profile string, ordinal long, start long, end long, length long,
 EVENT_FIELDS = "seq long, kind string, depth int, container string, path binary, ordinal long, size long, mode long, mtime long, media_type string, nested boolean, content binary, entry string, target binary, members long, entries long, office string"
 
 
-def few(df: DataFrame, rows: int = 256) -> None:
-    """Values can be large: few of them, and a bounded number of bytes, to a batch."""
+#: Bytes of rows that are made before they leave as a batch.
+HELD_BYTES = 32 << 20
+
+
+def few(df: DataFrame, rows: int = 2048) -> None:
+    """Values can be large: a bounded number of rows and bytes to a batch. The setting is the session's."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
@@ -34,6 +38,26 @@ def _schema(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
 
+def tabled(batches: Iterator[pa.RecordBatch], keep: int, fields: list[tuple[str, pa.DataType]], rows_of: Callable[..., list[tuple]]) -> Iterator[pa.RecordBatch]:
+    """The first `keep` columns beside the rows that rows_of makes of the others: a batch out for a batch in, more where rows hold many bytes."""
+    for batch in batches:
+        kept_names, index, rows, held = batch.schema.names[:keep], [], [], 0
+
+        def made() -> pa.RecordBatch:
+            kept = [batch.column(k).take(pa.array(index, pa.int64())) for k in range(keep)]  # noqa: B023
+            return pa.RecordBatch.from_arrays([*kept, *(pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(fields))], names=[*kept_names, *(n for n, _ in fields)])  # noqa: B023
+
+        for i in range(batch.num_rows):
+            new = rows_of(*(batch.column(k)[i].as_py() for k in range(keep, batch.num_columns)))
+            index += [i] * len(new)
+            rows += new
+            held += sum(len(x) for r in new for x in r if isinstance(x, bytes))
+            if held >= HELD_BYTES:
+                yield made()
+                index, rows, held = [], [], 0
+        yield made()
+
+
 # ---------------------------------------------------------------- routes
 
 
@@ -106,36 +130,24 @@ def chunk(
     fields += [("data", pa.binary())] * with_data + [("error", pa.string()), ("offset", pa.int64())]
     schema = f"{_schema(df, keep_list)}{', ' if keep_list else ''}route string, {CHUNK_FIELDS}{', data binary' if with_data else ''}, error string, offset long"
 
-    def rows_of(profile: str | None, data: bytes | None) -> Iterator[tuple]:
+    def rows_of(profile: str | None, data: bytes | None) -> list[tuple]:
         blank = (None,) * (5 + with_data)
         if data is None or profile is None:
-            yield ("rejected", profile, *blank, "value is missing" if data is None else "no profile fits what is declared and detected", None)
-            return
+            return [("rejected", profile, *blank, "value is missing" if data is None else "no profile fits what is declared and detected", None)]
         try:
             form, ends, way = chunkers.canonical_form(profile, data), chunkers.boundaries(profile, data, expected), "structured"
         except Rejected as e:
             if on_reject == "error":
-                yield ("rejected", profile, *blank, e.detail, e.offset)
-                return
+                return [("rejected", profile, *blank, e.detail, e.offset)]
             form, ends, profile, way = data, chunkers.boundaries(GENERIC, data), GENERIC, "opaque"
-        at = 0
+        out, at = [], 0
         for k, end in enumerate(ends):
             body = form[at:end]
-            yield (way, profile, k, at, end, end - at, hashed(body), *([body] if with_data else []), None, None)
+            out.append((way, profile, k, at, end, end - at, hashed(body), *([body] if with_data else []), None, None))
             at = end
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, values = batch.column(len(keep_list)).to_pylist(), batch.column(len(keep_list) + 1)
-            for i in range(batch.num_rows):
-                rows = list(rows_of(names[i], values[i].as_py()))
-                if not rows:
-                    continue
-                kept = [batch.column(k).slice(i, 1).take(pa.array([0] * len(rows))) for k in range(len(keep_list))]
-                columns = [pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(fields)]
-                yield pa.RecordBatch.from_arrays([*kept, *columns], names=[*keep_list, *(n for n, _ in fields)])
-
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lambda batches: tabled(batches, len(keep_list), fields, rows_of), schema)
 
 
 def with_route(df: DataFrame, declared: str | None = None, content: str = "content", registry_version: int = 2) -> DataFrame:
@@ -151,24 +163,25 @@ def profile_ids(profile: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in IDS.items() for x in pair]), profile)
 
 
-def package_members(df: DataFrame, content: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The members of canonical packages: `keep`, ordinal, name, offset of the header in the canonical form, size; no row for what isn't one."""
+def package_members(df: DataFrame, content: str = "content", keep: tuple[str, ...] = (), profile: str = OOXML) -> DataFrame:
+    """The members of canonical packages: `keep`, ordinal, name, offset of the header in the canonical form, size; no row for what isn't one.
+
+    Only the canonicalising profile tells members; any other is an error.
+    """
+    if known(profile) != OOXML:
+        raise ValueError(f"{profile} doesn't tell package members; {OOXML} does")
     few(df)
     keep_list = list(keep)
     source = df.select(*[F.col(f"`{n}`") for n in keep_list], F.col(f"`{content}`").alias("__content"))
+    fields = [("ordinal", pa.int64()), ("name", pa.binary()), ("offset", pa.int64()), ("size", pa.int64())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                try:
-                    rows = office.canonical(batch.column(len(keep_list))[i].as_py() or b"").members
-                except Rejected:
-                    continue
-                kept = [batch.column(k).slice(i, 1).take(pa.array([0] * len(rows), pa.int64())) for k in range(len(keep_list))]
-                columns = [pa.array(range(len(rows)), pa.int64()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*kept, *columns], names=[*keep_list, "ordinal", "name", "offset", "size"])
+    def rows_of(data: bytes | None) -> list[tuple]:
+        try:
+            return [(k, *m) for k, m in enumerate(office.canonical(data or b"").members)]
+        except Rejected:
+            return []
 
-    return source.mapInArrow(run, f"{_schema(df, keep_list)}{', ' if keep_list else ''}ordinal long, name binary, offset long, size long")
+    return source.mapInArrow(lambda batches: tabled(batches, len(keep_list), fields, rows_of), f"{_schema(df, keep_list)}{', ' if keep_list else ''}ordinal long, name binary, offset long, size long")
 
 
 # ---------------------------------------------------------------- containers
@@ -180,20 +193,16 @@ def events(df: DataFrame, content: str = "content", keep: tuple[str, ...] = ())
     keep_list = list(keep)
     source = df.select(*[F.col(f"`{n}`") for n in keep_list], F.col(f"`{content}`").alias("__content"))
     types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
-    fields = [tuple(f.split(" ")) for f in (EVENT_FIELDS + ", reason string, detail string").split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                try:
-                    rows = [{"seq": s, **vars(e)} for s, e in enumerate(decompose(batch.column(len(keep_list))[i].as_py() or b""))]
-                except Opaque as e:
-                    rows = [{"seq": 0, "kind": "opaque", "depth": 0, "nested": False, "reason": e.kind, "detail": str(e)}]
-                kept = [batch.column(k).slice(i, 1).take(pa.array([0] * len(rows), pa.int64())) for k in range(len(keep_list))]
-                columns = [pa.array([r.get(n) for r in rows], types[t]) for n, t in fields]
-                yield pa.RecordBatch.from_arrays([*kept, *columns], names=[*keep_list, *(n for n, _ in fields)])
-
-    return source.mapInArrow(run, f"{_schema(df, keep_list)}{', ' if keep_list else ''}{EVENT_FIELDS}, reason string, detail string")
+    fields = [(n, types[t]) for n, t in (f.split(" ") for f in (EVENT_FIELDS + ", reason string, detail string").split(", "))]
+
+    def rows_of(data: bytes | None) -> list[tuple]:
+        try:
+            rows = [{"seq": s, **vars(e)} for s, e in enumerate(decompose(data or b""))]
+        except Opaque as e:
+            rows = [{"seq": 0, "kind": "opaque", "depth": 0, "nested": False, "reason": e.kind, "detail": str(e)}]
+        return [tuple(r.get(n) for n, _ in fields) for r in rows]
+
+    return source.mapInArrow(lambda batches: tabled(batches, len(keep_list), fields, rows_of), f"{_schema(df, keep_list)}{', ' if keep_list else ''}{EVENT_FIELDS}, reason string, detail string")
 
 
 def members(found: DataFrame) -> DataFrame:

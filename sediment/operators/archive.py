@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from sediment.functions.profiles import MIN_CHUNK, Rejected
+from sediment.operators.tape import Reader, Tape
 
 # Fixed values of the ZIP format and the bounds put on it.
 LOCAL, CENTRAL, END, END64, LOCATOR, DESCRIPTOR = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x07\x08"
@@ -116,123 +117,159 @@ def widened(values: list[int], extra: bytes, at: int) -> list[int]:
     return [next(fields) if v == MARK32 else v for v in values]
 
 
-class Walk:
-    """One archive in memory."""
+class Records(Reader):
+    """One archive. Between windows it holds at most the header it reads; payloads of known size are stepped over."""
 
-    def __init__(self, data: bytes) -> None:
-        self.data, self.n = data, len(data)
+    fault = staticmethod(fault)
+    cut_off = "Truncated"
 
-    def need(self, end: int) -> int:
-        if end > self.n:
-            raise fault("Truncated", self.n)
-        return end
+    def __init__(self) -> None:
+        super().__init__()
+        self.members = self.entries = 0
+        self.directory = self.directory_end = self.wide_end = None
+        self.phase = "members"
+        #: The member whose end is awaited, how its descriptor is written, and whether it has one.
+        self.member: Member | None = None
+        self.wide = self.flagged = self.unchecked = False
 
-    def descriptor(self, at: int, wide: bool) -> tuple[int, int, int]:
+    def more(self, tape: Tape) -> bool:
+        return self.unchecked or self.pos < tape.end or self.member is not None and self.pos == tape.end
+
+    def descriptor(self, tape: Tape, at: int) -> tuple[int, int, int]:
         """(crc, compressed, uncompressed) at a position."""
-        return struct.unpack_from("<IQQ" if wide else "<III", self.data, at)
-
-    def known_end(self, m: Member, wide: bool, flagged: bool) -> MemberEnd:
-        end = self.need(m.data + m.compressed)
-        if not flagged or not m.compressed:
-            return MemberEnd(end, end, m.uncompressed, m.crc)
-        body = 20 if wide else 12
-        self.need(end + 4)
-        at = end + 4 if self.data[end : end + 4] == DESCRIPTOR else end
-        after = self.need(at + body)
-        crc, compressed, uncompressed = self.descriptor(at, wide)
+        return struct.unpack("<IQQ", tape.cut(at, at + 20)) if self.wide else struct.unpack("<III", tape.cut(at, at + 12))
+
+    def ended(self, end: MemberEnd) -> list:
+        self.member, self.pos = None, end.at
+        return [end]
+
+    def known_end(self, tape: Tape) -> list:
+        m, end = self.member, self.pos
+        if not self.flagged or not m.compressed:
+            return self.ended(MemberEnd(end, end, m.uncompressed, m.crc))
+        self.reach(tape, end + 4)
+        at = end + 4 if tape.cut(end, end + 4) == DESCRIPTOR else end
+        after = self.reach(tape, at + (20 if self.wide else 12))
+        crc, compressed, uncompressed = self.descriptor(tape, at)
         if compressed != m.compressed:
             raise fault("DescriptorSizeMismatch", after)
         check_sizes(m.method, compressed, uncompressed, after)
-        return MemberEnd(end, after, uncompressed, crc)
+        return self.ended(MemberEnd(end, after, uncompressed, crc))
 
-    def scanned_end(self, m: Member, wide: bool) -> MemberEnd:
+    def scanned_end(self, tape: Tape) -> list | None:
         """The first signed descriptor that counts exactly the bytes before it."""
-        body, at = 20 if wide else 12, m.data
-        while (at := self.data.find(DESCRIPTOR, at)) >= 0:
-            after = self.need(at + 4 + body)
-            crc, compressed, uncompressed = self.descriptor(at + 4, wide)
+        m, body = self.member, 20 if self.wide else 12
+        while (at := tape.find(DESCRIPTOR, self.pos)) >= 0:
+            self.pos = at
+            if not tape.final and at + 4 + body > tape.end:
+                return None
+            after = self.reach(tape, at + 4 + body)
+            crc, compressed, uncompressed = self.descriptor(tape, at + 4)
             if compressed == at - m.data:
                 check_sizes(m.method, compressed, uncompressed, after)
-                return MemberEnd(at, after, uncompressed, crc)
-            at += 1
-        raise fault("Truncated", self.n)
+                return self.ended(MemberEnd(at, after, uncompressed, crc))
+            self.pos = at + 1
+        if tape.final:
+            raise fault("Truncated", tape.end)
+        self.pos = max(self.pos, tape.end - 3)
+        return None
+
+    def step(self, tape: Tape) -> list | None:
+        if self.unchecked:  # a step of its own: who gets the member may refuse it first
+            self.unchecked, m = False, self.member
+            check_sizes(m.method, m.compressed, m.uncompressed, m.data)
+            return []
+        if self.member is not None:
+            return self.scanned_end(tape) if self.member.compressed is None else self.known_end(tape)
+        start = self.pos
+        if self.phase == "complete":
+            raise fault("TrailingBytes", start + 1)
+        out: list = [Unit(start)] if self.phase == "members" else []
+        pos = self.reach(tape, start + 4)
+        kind = tape.cut(start, pos)
+        if kind not in FIXED:
+            raise fault("UnknownSignature", pos)
+        if kind == LOCAL:
+            if self.phase != "members":
+                raise fault("MemberAfterCentralDirectory", pos)
+        elif not (kind == LOCATOR and self.phase == "end64" or kind == END and self.phase in ("members", "central", "locator") or kind in (CENTRAL, END64) and self.phase in ("members", "central")):
+            raise fault("RecordOutOfSequence", pos)
+        elif kind != LOCATOR and self.phase in ("members", "central"):
+            if self.phase == "members":
+                self.directory = start
+                out.append(Directory(start))
+            if kind != CENTRAL:
+                self.directory_end = start
+            self.phase = {CENTRAL: "central", END64: "end64"}.get(kind, self.phase)
+        after = self.reach(tape, pos + FIXED[kind])
+        fixed, pos = tape.cut(pos, after), after
+        if kind == LOCAL:
+            return out + self.local(tape, start, fixed, pos)
+        if kind == CENTRAL:
+            pos = self.central(tape, fixed, pos)
+        elif kind == END64:
+            size = struct.unpack_from("<Q", fixed)[0]
+            if size < 44:
+                raise fault("CentralDirectoryGeometry", pos)
+            self.wide_end = struct.unpack_from("<QQQ", fixed, 28)
+            pos += size - 44
+        elif kind == LOCATOR:
+            self.phase = "locator"
+        else:
+            told = list(struct.unpack_from("<HII", fixed, 6))
+            if self.wide_end is not None:
+                told = [w if t == mark else t for t, w, mark in zip(told, self.wide_end, (MARK16, MARK32, MARK32), strict=True)]
+            if not told[0] == self.entries == self.members:
+                raise fault("EntryCountMismatch", pos)
+            if told[2] != self.directory or told[1] != self.directory_end - self.directory:
+                raise fault("CentralDirectoryGeometry", pos)
+            pos = self.reach(tape, pos + struct.unpack_from("<H", fixed, 16)[0])
+            self.phase = "complete"
+        self.pos = pos
+        return out
+
+    def local(self, tape: Tape, start: int, fixed: bytes, pos: int) -> list:
+        flags, method = struct.unpack_from("<HH", fixed, 2)
+        crc, compressed, uncompressed, name_len, extra_len = struct.unpack_from("<IIIHH", fixed, 10)
+        head, pos = tape.cut(pos, pos + name_len + extra_len), self.reach(tape, pos + name_len + extra_len)
+        self.members += 1
+        self.wide, self.flagged = MARK32 in (compressed, uncompressed), bool(flags & 8)
+        m = Member(start, pos, head[:name_len], method, bool(flags & 0x800), bool(flags & 1), None, None, 0)
+        self.member, self.pos = m, pos
+        if not (self.flagged and compressed == 0):
+            m.uncompressed, m.compressed = widened([uncompressed, compressed], head[name_len:], pos)
+            m.crc = crc
+            self.pos, self.unchecked = pos + m.compressed, True
+        return [m]
+
+    def central(self, tape: Tape, fixed: bytes, pos: int) -> int:
+        method = struct.unpack_from("<H", fixed, 6)[0]
+        compressed, uncompressed, name_len, extra_len, comment_len = struct.unpack_from("<IIHHH", fixed, 16)
+        offset = struct.unpack_from("<I", fixed, 38)[0]
+        self.entries += 1
+        head, pos = tape.cut(pos, pos + name_len + extra_len), self.reach(tape, pos + name_len + extra_len + comment_len)
+        uncompressed, compressed, offset = widened([uncompressed, compressed, offset], head[name_len:], pos)
+        check_sizes(method, compressed, uncompressed, pos)
+        if offset >= self.directory:
+            raise fault("CentralOffsetOutOfRange", pos)
+        return pos
+
+    def finish(self, n: int) -> None:
+        if self.phase != "complete" or self.pos > n:
+            raise fault("Truncated", n)
+
+
+class Walk:
+    """One archive in memory."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
 
     def records(self) -> Iterator[Unit | Member | MemberEnd | Directory]:
-        data, pos = self.data, 0
-        members = entries = 0
-        directory = directory_end = wide_end = None
-        phase = "members"
-        while pos < self.n:
-            if phase == "complete":
-                raise fault("TrailingBytes", pos + 1)
-            if phase == "members":
-                yield Unit(pos)
-            start, pos = pos, self.need(pos + 4)
-            kind = data[start:pos]
-            if kind not in FIXED:
-                raise fault("UnknownSignature", pos)
-            if kind == LOCAL:
-                if phase != "members":
-                    raise fault("MemberAfterCentralDirectory", pos)
-            elif not (kind == LOCATOR and phase == "end64" or kind == END and phase in ("members", "central", "locator") or kind in (CENTRAL, END64) and phase in ("members", "central")):
-                raise fault("RecordOutOfSequence", pos)
-            elif kind != LOCATOR and phase in ("members", "central"):
-                if phase == "members":
-                    directory = start
-                    yield Directory(start)
-                if kind != CENTRAL:
-                    directory_end = start
-                phase = {CENTRAL: "central", END64: "end64"}.get(kind, phase)
-            fixed, pos = data[pos : pos + FIXED[kind]], self.need(pos + FIXED[kind])
-            if kind == LOCAL:
-                flags, method = struct.unpack_from("<HH", fixed, 2)
-                crc, compressed, uncompressed, name_len, extra_len = struct.unpack_from("<IIIHH", fixed, 10)
-                members += 1
-                head, pos = data[pos : pos + name_len + extra_len], self.need(pos + name_len + extra_len)
-                wide = MARK32 in (compressed, uncompressed)
-                unknown = bool(flags & 8) and compressed == 0
-                m = Member(start, pos, head[:name_len], method, bool(flags & 0x800), bool(flags & 1), None, None, 0)
-                if unknown:
-                    yield m
-                    end = self.scanned_end(m, wide)
-                else:
-                    m.uncompressed, m.compressed = widened([uncompressed, compressed], head[name_len:], pos)
-                    m.crc = crc
-                    yield m
-                    check_sizes(method, m.compressed, m.uncompressed, pos)
-                    end = self.known_end(m, wide, bool(flags & 8))
-                yield end
-                pos = end.at
-            elif kind == CENTRAL:
-                method = struct.unpack_from("<H", fixed, 6)[0]
-                compressed, uncompressed, name_len, extra_len, comment_len = struct.unpack_from("<IIHHH", fixed, 16)
-                offset = struct.unpack_from("<I", fixed, 38)[0]
-                entries += 1
-                head, pos = data[pos : pos + name_len + extra_len], self.need(pos + name_len + extra_len + comment_len)
-                uncompressed, compressed, offset = widened([uncompressed, compressed, offset], head[name_len:], pos)
-                check_sizes(method, compressed, uncompressed, pos)
-                if offset >= directory:
-                    raise fault("CentralOffsetOutOfRange", pos)
-            elif kind == END64:
-                size = struct.unpack_from("<Q", fixed)[0]
-                if size < 44:
-                    raise fault("CentralDirectoryGeometry", pos)
-                wide_end = struct.unpack_from("<QQQ", fixed, 28)
-                pos = self.need(pos + size - 44)
-            elif kind == LOCATOR:
-                phase = "locator"
-            else:
-                told = list(struct.unpack_from("<HII", fixed, 6))
-                if wide_end is not None:
-                    told = [w if t == mark else t for t, w, mark in zip(told, wide_end, (MARK16, MARK32, MARK32), strict=True)]
-                if not told[0] == entries == members:
-                    raise fault("EntryCountMismatch", pos)
-                if told[2] != directory or told[1] != directory_end - directory:
-                    raise fault("CentralDirectoryGeometry", pos)
-                pos = self.need(pos + struct.unpack_from("<H", fixed, 16)[0])
-                phase = "complete"
-        if phase != "complete":
-            raise fault("Truncated", self.n)
+        reader, tape = Records(), Tape(self.data)
+        while reader.more(tape):
+            yield from reader.step(tape)
+        reader.finish(len(self.data))
 
 
 def units(data: bytes) -> list[tuple]:

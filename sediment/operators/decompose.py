@@ -159,10 +159,10 @@ def zip_items(data: bytes) -> Iterator[Item]:
                 member = r
             elif isinstance(r, archive.MemberEnd) and member is not None:
                 raw = data[member.data : r.data_end]
-                body, why = (raw, None) if member.method == archive.STORED else inflate(raw)
-                if why:
+                body, why = (raw, None) if member.method == archive.STORED else inflate(raw, r.uncompressed)
+                if why in ("malformed", "geometry"):
                     raise malformed("zip member deflate stream is malformed" if why == "malformed" else "zip member deflate stream ends out of step")
-                if len(body) != r.uncompressed:
+                if why or len(body) != r.uncompressed:
                     raise malformed("zip member inflates to a size other than declared")
                 yield Item(member.name, member.uncompressed, body=body)
     except Rejected as e:

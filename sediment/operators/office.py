@@ -17,6 +17,8 @@ from sediment.operators.cuts import assemble
 CONTENT_TYPES = b"[Content_Types].xml"
 SIGNATURES = b"_xmlsignatures/"
 MAX_MEMBERS, MAX_NAME_BYTES = 100_000, 8 << 20
+#: Bytes inflated at a time.
+INFLATED = 1 << 20
 STRICT_SEAMS, SOFT_SEAMS = b"\n>", b'\t\r ,;.}])"'
 PLAIN_VERSION, WIDE_VERSION = 20, 45
 TEXTS = {
@@ -60,14 +62,25 @@ class Package:
             raise fault("UnrecognizedPackage", at)
 
 
-def inflate(raw: bytes) -> tuple[bytes | None, str | None]:
-    """(bytes, None), or (None, why not): broken, or not ending where its bytes end."""
-    decoder = zlib.decompressobj(-15)
+def inflate(raw: bytes, declared: int | None = None) -> tuple[bytes | None, str | None]:
+    """(bytes, None), or (None, why not): broken, not ending where its bytes end, or longer than declared.
+
+    Of a stream that is longer than declared no more than that and a window is held.
+    """
+    decoder, out, size, rest = zlib.decompressobj(-15), [], 0, raw
     try:
-        out = decoder.decompress(raw) + decoder.flush()
+        while rest:
+            piece, rest = decoder.decompress(rest, INFLATED), decoder.unconsumed_tail
+            size += len(piece)
+            if declared is None or size <= declared:
+                out.append(piece)
+        out.append(decoder.flush())
     except zlib.error:
         return None, "malformed"
-    return (out, None) if decoder.eof and not decoder.unused_data else (None, "geometry")
+    size += len(out[-1])
+    if not decoder.eof or decoder.unused_data:
+        return None, "geometry"
+    return (None, "size") if declared is not None and size > declared else (b"".join(out), None)
 
 
 @dataclass
@@ -115,6 +128,70 @@ def directory(entries: list[Entry], offset: int) -> bytes:
     return b"".join(out)
 
 
+class Packer:
+    """An archive's records -> the canonical form, piece by piece: members in their order and under their names,
+    stored, with zeroed metadata."""
+
+    def __init__(self, package: Package) -> None:
+        self.package, self.entries, self.names, self.at = package, [], 0, 0
+        self.member, self.header_at = None, 0
+        #: (name, where its header stands, size) of each member.
+        self.members: list[tuple[bytes, int, int]] = []
+
+    def put(self, data: bytes, is_text: bool = False) -> tuple:
+        self.at += len(data)
+        return ("bytes", data, is_text)
+
+    def is_text(self) -> bool:
+        return self.member.name.lower().endswith((b".xml", b".rels"))
+
+    def take(self, r, cut) -> list[tuple]:
+        """What a record adds: ("unit", at), ("large", at, header) and ("bytes", data, is_text). cut(a, b): the archive's bytes."""
+        if isinstance(r, archive.Member):
+            return self.begin(r)
+        if isinstance(r, archive.MemberEnd):
+            return self.end(r, cut(self.member.data, r.data_end))
+        if isinstance(r, archive.Directory):
+            return [("unit", self.at), self.put(directory(self.entries, self.at))]
+        return []
+
+    def begin(self, r: archive.Member) -> list[tuple]:
+        if r.encrypted:
+            raise fault("UnsupportedMethod", r.data)
+        self.package.member(r.name, r.data)
+        if self.package.signed:
+            raise fault("SignedPackage", r.data)
+        if len(self.entries) >= MAX_MEMBERS or self.names + len(r.name) > MAX_NAME_BYTES:
+            raise fault("MetadataOverBound", r.data)
+        if r.method not in (archive.STORED, archive.DEFLATE):
+            raise fault("UnsupportedMethod", r.data)
+        self.names += len(r.name)
+        self.member, self.header_at = r, self.at
+        out = [("unit", self.at), self.put(local_header(r.name, r.utf8, r.crc, r.uncompressed), self.is_text())]
+        if r.uncompressed is None or r.uncompressed >= DOCUMENT_UNIT_MIN:
+            out.append(("large", self.at, self.at - self.header_at))
+        return out
+
+    def end(self, r: archive.MemberEnd, raw: bytes) -> list[tuple]:
+        m = self.member
+        body, why = (raw, None) if m.method == archive.STORED else inflate(raw, r.uncompressed)
+        if why:
+            raise fault({"malformed": "MalformedDeflate", "geometry": "DeflateGeometry", "size": "InflatedSizeMismatch"}[why], r.at)
+        crc, unknown = zlib.crc32(body), m.uncompressed is None
+        if len(body) != r.uncompressed:
+            raise fault("InflatedSizeMismatch", r.at)
+        if crc != r.crc or not unknown and crc != m.crc:
+            raise fault("CrcMismatch", r.at)
+        out = [self.put(body, self.is_text())]
+        if unknown:
+            if len(body) > archive.MARK32:
+                raise fault("UnknownSizeMemberTooLarge", r.at)
+            out.append(self.put(descriptor(crc, len(body)), self.is_text()))
+        self.members.append((m.name, self.header_at, len(body)))
+        self.entries.append(Entry(m.name, m.utf8, crc, len(body), self.header_at, unknown))
+        return out
+
+
 @dataclass
 class Canonical:
     """The canonical bytes, the events and text ranges of their assembly, and the members in them."""
@@ -127,72 +204,46 @@ class Canonical:
 
 
 def canonical(data: bytes, expected: str | None = None) -> Canonical:
-    """Members in their order and under their names, stored, with zeroed metadata."""
     package, out, parts, at = Package(expected), Canonical(), [], 0
-    entries: list[Entry] = []
-    names = 0
-    member = header_at = None
-
-    def put(piece: bytes) -> None:
-        nonlocal at
-        parts.append(piece)
-        at += len(piece)
-
+    packer = Packer(package)
     for r in archive.Walk(data).records():
-        if isinstance(r, archive.Member):
-            if r.encrypted:
-                raise fault("UnsupportedMethod", r.data)
-            package.member(r.name, r.data)
-            if package.signed:
-                raise fault("SignedPackage", r.data)
-            if len(entries) >= MAX_MEMBERS or names + len(r.name) > MAX_NAME_BYTES:
-                raise fault("MetadataOverBound", r.data)
-            if r.method not in (archive.STORED, archive.DEFLATE):
-                raise fault("UnsupportedMethod", r.data)
-            names += len(r.name)
-            member, header_at = r, at
-            out.units.append(("unit", at))
-            put(local_header(r.name, r.utf8, r.crc, r.uncompressed))
-            if r.uncompressed is None or r.uncompressed >= DOCUMENT_UNIT_MIN:
-                out.units.append(("large", at, at - header_at))
-        elif isinstance(r, archive.MemberEnd):
-            raw = data[member.data : r.data_end]
-            body, why = (raw, None) if member.method == archive.STORED else inflate(raw)
-            if why:
-                raise fault("MalformedDeflate" if why == "malformed" else "DeflateGeometry", r.at)
-            put(body)
-            crc, unknown = zlib.crc32(body), member.uncompressed is None
-            if len(body) != r.uncompressed:
-                raise fault("InflatedSizeMismatch", r.at)
-            if crc != r.crc or not unknown and crc != member.crc:
-                raise fault("CrcMismatch", r.at)
-            if unknown:
-                if len(body) > archive.MARK32:
-                    raise fault("UnknownSizeMemberTooLarge", r.at)
-                put(descriptor(crc, len(body)))
-            if member.name.lower().endswith((b".xml", b".rels")):
-                out.text.append((header_at, at))
-            out.members.append((member.name, header_at, len(body)))
-            entries.append(Entry(member.name, member.utf8, crc, len(body), header_at, unknown))
-        elif isinstance(r, archive.Directory):
-            out.units.append(("unit", at))
-            put(directory(entries, at))
+        for made in packer.take(r, lambda a, b: data[a:b]):
+            if made[0] != "bytes":
+                out.units.append(made)
+                continue
+            parts.append(made[1])
+            if made[2]:
+                out.text.append((at, at + len(made[1])))
+            at += len(made[1])
     package.close(len(data))
-    out.data, out.kinds = b"".join(parts), package.kinds
+    out.data, out.members, out.kinds = b"".join(parts), packer.members, package.kinds
     return out
 
 
+_CLASSES = np.zeros(256, np.uint8)
+_CLASSES[list(SOFT_SEAMS)], _CLASSES[list(STRICT_SEAMS)] = 1, 2
+
+
+def seams_at(body: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Strict and relaxed ends among the seams at `places`."""
+    h = hashes_at(body, OOXML, places)
+    return places[((h & np.uint64(TEXT_MASKS[0])) == 0) & (_CLASSES[body[places]] == 2)] + 1, places[(h & np.uint64(TEXT_MASKS[1])) == 0] + 1
+
+
+def text_seams(body: np.ndarray, before: int, since: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ends in a text range that begins at `since`; `before` bytes precede body."""
+    places = np.flatnonzero(_CLASSES[body] > 0)
+    strict, relaxed = seams_at(body, places[places >= since - before])
+    return strict + before, relaxed + before
+
+
 def seam_cuts(data: bytes, text: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Cut candidates: any byte outside the text ranges, seams inside them."""
     body = np.frombuffer(data, np.uint8)
     inside = np.zeros(len(body), bool)
     for a, b in text:
         inside[a:b] = True
-    classes = np.zeros(256, np.uint8)
-    classes[list(SOFT_SEAMS)], classes[list(STRICT_SEAMS)] = 1, 2
-    places = np.flatnonzero(inside & (classes[body] > 0))
-    h = hashes_at(body, OOXML, places)
-    seams = (places[((h & np.uint64(TEXT_MASKS[0])) == 0) & (classes[body[places]] == 2)] + 1, places[(h & np.uint64(TEXT_MASKS[1])) == 0] + 1)
+    seams = seams_at(body, np.flatnonzero(inside & (_CLASSES[body] > 0)))
     return tuple(np.union1d(c[~inside[c - 1]], s) for c, s in zip(low_cuts(body, OOXML, GENERIC_MASKS), seams, strict=True))
 
 

@@ -1,15 +1,22 @@
-"""Queries that cut the test tables: documents one by one, and each language's or source's texts as one stream."""
+"""Queries that cut the test tables: documents one by one, and each language's or source's texts as one stream.
+
+A stream is fed document by document, in order of doc_id, through a state of two chunks at most; no task holds
+a stream, whatever its size.
+"""
 
 from __future__ import annotations
 
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sediment.functions import sql
 from sediment.functions.gear import table
 from sediment.functions.profiles import GENERIC, TEXT
 from sediment.operators import analysis, api
+from sediment.plans.routing import _detect_sql
 from sediment.streaming.feed import chunk_windows, windows_of
 
 
@@ -17,20 +24,24 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
 
 
-#: Documents of a stream: a corpus is cut into streams that a task can hold, whatever its size.
-STREAM_IDS = 4096
+def stream_windows(docs: DataFrame, by: str) -> DataFrame:
+    """(stream_id, seq, window, is_last): the texts of each value of `by`, in order of doc_id, joined by line ends; a document a window."""
+    whole = W.partitionBy(by)
+    rows = docs.select(by, "text", F.row_number().over(whole.orderBy("doc_id")).alias("at"), F.count("*").over(whole).alias("n"))
+    body = F.concat(F.when(F.col("at") > 1, F.lit("\n")).otherwise(F.lit("")), F.coalesce("text", F.lit("")))
+    return rows.select(F.col(by).alias("stream_id"), (F.col("at") - 1).alias("seq"), F.encode(body, "UTF-8").alias("window"), (F.col("at") == F.col("n")).alias("is_last"))
 
 
-def corpus_streams(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
-    """(name, content): the texts of each value of `by` and range of STREAM_IDS ids, in order of doc_id, joined by a line end."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    name = F.concat_ws("/", F.col(by), F.floor(F.col("doc_id") / STREAM_IDS).cast("string"))
-    rows = docs.groupBy(name.alias("name")).agg(F.sort_array(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
-    return rows.select("name", F.encode(F.array_join(F.transform("t", lambda x: x["text"]), "\n"), "UTF-8").alias("content"))
+def _stream_chunks(spark: SparkSession, sf_dir: str, by: str, profile: str, keep_first: bool = True) -> DataFrame:
+    """The chunks of each stream; without keep_first its first document is left out."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", by, "text")
+    if not keep_first:
+        docs = docs.withColumn("least", F.min("doc_id").over(W.partitionBy(by))).where("doc_id > least")
+    return chunk_windows(stream_windows(docs, by), profile).withColumnRenamed("stream_id", "name")
 
 
-def _lang_chunks(spark: SparkSession, sf_dir: str, with_digest: bool = True) -> DataFrame:
-    return api.chunk(corpus_streams(spark, sf_dir, "lang"), api.by_profile(TEXT), keep=("name",), digest="sha256" if with_digest else None)
+def _lang_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream_chunks(spark, sf_dir, "lang", TEXT)
 
 
 def generic_boundaries_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,16 +49,20 @@ def generic_boundaries_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "ordinal", "start", "end")
 
 
+def generic_boundaries_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream_chunks(spark, sf_dir, "source", GENERIC).select("name", "ordinal", "start", "end")
+
+
 def text_boundaries_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lang_chunks(spark, sf_dir, False).select("name", "ordinal", "start", "end")
+    return _lang_chunks(spark, sf_dir).select("name", "ordinal", "start", "end")
 
 
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.stats(_lang_chunks(spark, sf_dir, False), "name")
+    return analysis.stats(_lang_chunks(spark, sf_dir), "name")
 
 
 def chunk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.histogram(_lang_chunks(spark, sf_dir, False))
+    return analysis.histogram(_lang_chunks(spark, sf_dir))
 
 
 def chunk_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,11 +79,24 @@ def dedup_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.shared_pairs(_doc_chunks(spark, sf_dir), "source").select("base", "other", "shared_chunks", "shared_bytes", "total_bytes", F.round("percent", 9).alias("percent"))
 
 
+def dedup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a source's stream still shares with itself when its first document is gone: cuts fall into step again behind it."""
+    keyed = lambda df: df.where("digest is not null").select(F.col("name").alias("source"), "digest", "length")
+    base, other = keyed(_stream_chunks(spark, sf_dir, "source", GENERIC)), keyed(_stream_chunks(spark, sf_dir, "source", GENERIC, False))
+    known = base.select(F.col("source").alias("s"), F.col("digest").alias("d")).distinct()
+    hit = other.join(known, F.col("source").eqNullSafe(F.col("s")) & (F.col("digest") == F.col("d")), "left")
+    shared = F.col("d").isNotNull()
+    out = hit.groupBy("source").agg(F.count("*").alias("chunks"), F.count_if(shared).alias("shared_chunks"), F.sum("length").alias("total_bytes"), F.coalesce(F.sum(F.when(shared, F.col("length"))), F.lit(0)).alias("shared_bytes"))
+    return out.withColumn("percent", F.round(analysis.ratio(F.col("shared_bytes"), F.col("total_bytes")), 9))
+
+
 def new_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By source, the chunks that the first source in order doesn't have."""
+    """By source, the document chunks that the first source in order doesn't have."""
     chunks = _doc_chunks(spark, sf_dir)
-    base = chunks.where(F.col("source") == "src0")
-    return analysis.new_chunks(base, chunks.where(F.col("source") != "src0")).groupBy("source").agg(F.count("*").alias("chunks"), F.sum("length").alias("bytes"))
+    first = spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.min("source").alias("first"))
+    marked = chunks.join(first, chunks["source"] == first["first"], "left")
+    base, rest = marked.where("first is not null"), marked.where("first is null")
+    return analysis.new_chunks(base, rest).groupBy("source").agg(F.count("*").alias("chunks"), F.sum("length").alias("bytes"))
 
 
 def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,15 +106,28 @@ def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files without a name: size, route, chunks and stored bytes."""
+    """Documents as files: size, route, chunks and stored bytes."""
     docs = _documents(spark, sf_dir).select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "content")
-    return analysis.corpus_report(docs).select("path", "input_bytes", "route", "members", "chunks", "stored_bytes")
+    return analysis.corpus_report(docs).select("path", "input_bytes", "route", "members", "chunks", "stored_bytes", "stored")
 
 
 def streaming_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents fed in windows of 4096 bytes give the same ends as whole documents."""
-    out = chunk_windows(windows_of(_documents(spark, sf_dir), "doc_id", "content", 4096), GENERIC)
-    return out.select(F.col("stream_id").alias("doc_id"), "ordinal", "start", "end")
+    """Documents fed in windows of 256 bytes: each chunk, and how many windows were pushed when the last of a document was certain."""
+    out = chunk_windows(windows_of(_documents(spark, sf_dir), "doc_id", "content", 256), GENERIC)
+    return out.select(F.col("stream_id").alias("doc_id"), "ordinal", "start", "end", F.max("pushed").over(W.partitionBy("stream_id")).alias("pushed"))
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detection, cuts and chunk rows of the documents, asked for in SQL."""
+    sql.register(spark)
+    return spark.sql(
+        """
+        SELECT d.doc_id, array_join(cdc_detect(d.content), ', ') AS detected, size(cdc_boundaries(d.content, 'generic-cdc-v1').ends) AS ends,
+               count(c.ordinal) AS chunks, coalesce(sum(c.length), 0) AS bytes, count_if(sha2(c.data, 256) = sha2(substring(d.content, c.start + 1, c.length), 256)) AS equal
+        FROM {docs} d, LATERAL cdc_chunks(d.content, 'generic-cdc-v1') c
+        GROUP BY d.doc_id, d.content""",
+        docs=_documents(spark, sf_dir).where(F.octet_length("content") > 0),
+    )
 
 
 # ---------------------------------------------------------------- SQL
@@ -147,16 +188,51 @@ cand AS (
 {_greedy_sql("name")}"""
 
 
-TEXT_LANG = _text_sql(f"SELECT concat_ws('/', lang, doc_id // {STREAM_IDS}) AS name, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY 1")
+TEXT_LANG = _text_sql("SELECT lang AS name, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY lang")
 TEXT_DOCS = _text_sql("SELECT 'doc' || doc_id || '.md' AS name, coalesce(text, '') AS t FROM documents")
 
+
+# the low 18 bits of 64 decide, so 32 bytes do
+def _generic_sql(streams: str) -> str:
+    return f"""
+WITH RECURSIVE g AS ({_gear_sql(GENERIC)}),
+s AS (SELECT name, t, octet_length(encode(t)) AS n, hex(encode(t)) AS h FROM ({streams})),
+bytes AS (SELECT name, unnest(range(1, n + 1)) AS p, unnest(regexp_extract_all(h, '..')) AS byte FROM s),
+h0 AS (SELECT name, p, byte, v FROM bytes JOIN g USING (byte)),
+{_doubling_sql(5)},
+cand AS (SELECT name, p AS e, v % 262144 = 0 AS strict, true AS relaxed FROM h5 WHERE v % 16384 = 0),
+{_greedy_sql("name")}"""
+
+
+GENERIC_SOURCE = _generic_sql("SELECT source AS name, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY source")
+# each source's stream twice: whole, and without its first document
+GENERIC_TWICE = _generic_sql("""SELECT source || '/whole' AS name, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY source
+  UNION ALL SELECT source || '/rest', string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) FROM documents d
+  WHERE doc_id > (SELECT min(doc_id) FROM documents x WHERE x.source = d.source) GROUP BY source""")
+
 _PER = f"""{GENERIC_DOCS},
 named AS (SELECT d.source, c."end" - c."start" AS length, sha256(encode(coalesce(d.text, ''))[c."start" + 1 : c."end"]) AS digest FROM chunks c JOIN documents d USING (doc_id))"""
 
-QUERIES = {f.__name__: f for f in (generic_boundaries_docs, text_boundaries_lang, chunk_stats, chunk_histogram, chunk_digests, dedup_ratio, new_chunks, exact_copies, corpus_report, streaming_parity)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        generic_boundaries_docs, generic_boundaries_source, text_boundaries_lang, chunk_stats, chunk_histogram, chunk_digests,
+        dedup_ratio, dedup_pairs, new_chunks, exact_copies, corpus_report, streaming_parity, sql_functions,
+    )
+}
 ORACLES = {
     "generic_boundaries_docs": f"{GENERIC_DOCS} SELECT * FROM chunks",
-    "streaming_parity": f"{GENERIC_DOCS} SELECT * FROM chunks",
+    "generic_boundaries_source": f"{GENERIC_SOURCE} SELECT * FROM chunks",
+    "streaming_parity": f'{GENERIC_DOCS} SELECT c.doc_id, c.ordinal, c."start", c."end", ((s.n + 255) // 256)::BIGINT AS pushed FROM chunks c JOIN s USING (doc_id)',
+    "sql_functions": f"""{GENERIC_DOCS}, {_detect_sql("documents", "doc_id", "text").strip().removeprefix("WITH ").replace("SELECT doc_id, array_to_string", ", found AS (SELECT doc_id, array_to_string") + ")"}
+SELECT c.doc_id, any_value(f.detected) AS detected, count(*)::INTEGER AS ends, count(*) AS chunks, sum(c."end" - c."start")::BIGINT AS bytes, count(*) AS equal
+FROM chunks c JOIN found f USING (doc_id) GROUP BY c.doc_id""",
+    "dedup_pairs": f"""{GENERIC_TWICE},
+named AS (SELECT string_split(c.name, '/')[1] AS source, c.name LIKE '%/whole' AS base, c."end" - c."start" AS length, sha256(encode(s.t)[c."start" + 1 : c."end"]) AS digest FROM chunks c JOIN s ON s.name = c.name),
+hit AS (SELECT o.*, EXISTS (SELECT 1 FROM named b WHERE b.base AND b.source = o.source AND b.digest = o.digest) AS shared FROM named o WHERE NOT o.base)
+SELECT source, count(*) AS chunks, count(*) FILTER (shared) AS shared_chunks, sum(length)::BIGINT AS total_bytes, coalesce(sum(length) FILTER (shared), 0)::BIGINT AS shared_bytes,
+       round(100.0::DOUBLE * coalesce(sum(length) FILTER (shared), 0)::DOUBLE / sum(length)::DOUBLE, 9) AS percent
+FROM hit GROUP BY source""",
     "text_boundaries_lang": f"{TEXT_LANG} SELECT * FROM chunks",
     "chunk_stats": f'{TEXT_LANG} SELECT name, count(*) AS chunks, sum("end" - "start")::BIGINT AS bytes, min("end" - "start") AS min_length, max("end" - "start") AS max_length FROM chunks GROUP BY name',
     "chunk_histogram": f'{TEXT_LANG} SELECT (("end" - "start") // 16384 * 16384)::BIGINT AS from_length, count(*) AS chunks, sum("end" - "start")::BIGINT AS bytes FROM chunks GROUP BY 1',
@@ -167,9 +243,13 @@ totals AS (SELECT source, sum(b)::BIGINT AS total_bytes FROM per GROUP BY source
 SELECT x.source AS base, y.source AS other, sum(y.n)::BIGINT AS shared_chunks, sum(y.b)::BIGINT AS shared_bytes, any_value(t.total_bytes) AS total_bytes,
        round(100.0::DOUBLE * sum(y.b)::DOUBLE / any_value(t.total_bytes)::DOUBLE, 9) AS percent
 FROM per x JOIN per y ON x.digest = y.digest AND x.source <> y.source JOIN totals t ON t.source = y.source GROUP BY x.source, y.source""",
-    "new_chunks": f"{_PER} SELECT source, count(*) AS chunks, sum(length)::BIGINT AS bytes FROM named WHERE source <> 'src0' AND digest NOT IN (SELECT digest FROM named WHERE source = 'src0') GROUP BY source",
-    "corpus_report": f"""{TEXT_DOCS}
-SELECT s.name AS path, any_value(s.n) AS input_bytes, 'structured-text-v1' AS route, 0::BIGINT AS members, count(c.ordinal) AS chunks, coalesce(sum(c."end" - c."start"), 0)::BIGINT AS stored_bytes
-FROM s LEFT JOIN chunks c ON c.name = s.name GROUP BY s.name""",
+    "new_chunks": f"{_PER} SELECT source, count(*) AS chunks, sum(length)::BIGINT AS bytes FROM named WHERE source <> (SELECT min(source) FROM documents) AND digest NOT IN (SELECT digest FROM named WHERE source = (SELECT min(source) FROM documents)) GROUP BY source",
+    "corpus_report": f"""{TEXT_DOCS},
+per AS (
+  SELECT s.name AS path, any_value(s.n) AS input_bytes, count(c.ordinal) AS chunks, coalesce(sum(c."end" - c."start"), 0)::BIGINT AS stored_bytes
+  FROM s LEFT JOIN chunks c ON c.name = s.name GROUP BY s.name)
+SELECT path, input_bytes, 'structured-text-v1' AS route, 0::BIGINT AS members, chunks, stored_bytes,
+       CASE WHEN stored_bytes < 1024 THEN stored_bytes || ' B' ELSE printf('%.1f KiB', stored_bytes / 1024.0::DOUBLE) END AS stored
+FROM per""",
     "exact_copies": "SELECT sha256(coalesce(text, '')) AS digest, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
 }

@@ -1,15 +1,20 @@
-"""Queries over synthetic streams of each format: frozen boundaries, rejections, decomposition, rebuilding."""
+"""Queries over synthetic streams of each format: frozen boundaries, whole and window by window, cuts that follow
+from the layout, rejections, decomposition, reports, rebuilding."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import gzip
+import io
+import tarfile
+import zipfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sediment.operators import api, writers
-from sediment.operators.decompose import decompose
-from sediment.operators.office import canonical
+from sediment.operators import analysis, api, chunkers, push, writers
 from sediment.plans import synthetic as s
 from sediment.plans.routing import values
 
@@ -90,21 +95,93 @@ def _streams(spark: SparkSession, cases: list[tuple[str, str, bytes]]) -> DataFr
     return spark.createDataFrame([(n, p, bytearray(b)) for n, p, b in cases], "name string, profile string, content binary")
 
 
+def _frozen(spark: SparkSession, ends_of: Callable[[str, bytes], list[int]]) -> DataFrame:
+    """Each format's frozen stream: its chunk count and the digest of its ends. Workers make the streams, one a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cases = {name: (profile, make) for name, profile, make, _, _ in GOLDENS}
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                profile, make = cases[name]
+                ends = ends_of(profile, make())
+                yield pa.RecordBatch.from_pylist([{"name": name, "profile": profile, "chunks": len(ends), "digest": s.digest(ends)}])
+
+    names = spark.createDataFrame([(n,) for n, *_ in GOLDENS], "name string").repartition(len(GOLDENS), "name")
+    return names.mapInArrow(run, "name string, profile string, chunks long, digest string")
+
+
 def format_goldens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each format's frozen stream: its chunk count and the digest of its ends. Workers make the streams."""
-    makers = {name: make for name, _, make, _, _ in GOLDENS}
+    return _frozen(spark, chunkers.boundaries)
+
+
+def pushed_ends(profile: str, data: bytes, size: int = 10_007) -> list[int]:
+    """Ends of a value that is pushed in windows of `size` bytes."""
+    stream = push.opened(profile)
+    found = [x for a in range(0, len(data), size) for x in stream.push(data[a : a + size])]
+    return [start + len(body) for start, body in found + stream.push(b"", True)]
+
+
+def pushed_goldens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frozen streams again, window by window."""
+    return _frozen(spark, pushed_ends)
+
+
+#: Members of one byte each, over and over, in which no hash cuts: the layout alone decides.
+SIZES = (20_000, 5_000, 17_000, 300, 40_000)
+LAYOUT = [(f"part{i}.bin", b"\0" * n) for i, n in enumerate(SIZES)]
+STORED = s.zip_archive([(n, b, False, "plain") for n, b in LAYOUT])
+BOOK = [("[Content_Types].xml", b"\0" * 5_000), ("xl/workbook.xml", b"\0" * 9_000), ("xl/media/a.png", b"\0" * 3_000), ("xl/media/b.png", b"\0" * 30_000)]
+STORED_BOOK = s.zip_archive([(n, b, False, "plain") for n, b in BOOK])
+PACKED_BOOK = s.zip_archive([(n, b, True, "plain") for n, b in BOOK])
+PAPER_OBJECTS = (6_000, 2_000, 30_000)
 
-    @F.udf("binary")
-    def made(name: str) -> bytes:
-        return makers[name]()
 
-    @F.udf("string")
-    def digest(ends: list[int]) -> str:
-        return s.digest(ends)
+def paper() -> tuple[bytes, list[int]]:
+    """A PDF whose objects hold strings of the given sizes, and where each object begins."""
+    out, at = b"%PDF-1.7\n", []
+    for i, n in enumerate(PAPER_OBJECTS):
+        at.append(len(out))
+        out += b"%d 0 obj\n(" % (i + 1) + b"\0" * n + b")\nendobj\n"
+    return out + b"trailer\n<< /Size 4 >>\n%%EOF\n", at
 
-    names = spark.createDataFrame([(n, p) for n, p, *_ in GOLDENS], "name string, profile string").repartition(len(GOLDENS), "name")
-    found = names.withColumn("content", made("name")).withColumn("b", api.boundaries_udf()("content", "profile"))
-    return found.select("name", "profile", F.size("b.ends").cast("long").alias("chunks"), digest("b.ends").alias("digest"))
+
+def layout_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ends of an archive, a package in both forms and a PDF, whose contents give no cut of their own."""
+    rows = _streams(spark, [("archive", "zip-v1", STORED), ("package", "ooxml-v1", PACKED_BOOK), ("package_bytes", "ooxml-ber-v1", STORED_BOOK), ("paper", "pdf-v1", paper()[0])])
+    found = rows.withColumn("b", api.boundaries_udf()("content", "profile"))
+    return found.select("name", F.posexplode("b.ends").alias("ordinal", "end")).withColumn("ordinal", F.col("ordinal").cast("long"))
+
+
+def _layout_ends(starts: list[int], size: int, least: int) -> list[int]:
+    """Where units begin -> ends, by the rules on units: a unit closes a chunk of `least` bytes or more, a smaller rest
+    joins the chunk before it while both fit into 256 KiB, and the last chunk takes what is left."""
+    ends, start = [], 0
+    for at in [x for x in starts if x]:
+        if at - start >= least:
+            ends.append(at)
+            start = at
+        elif ends and at - (ends[-2] if len(ends) > 1 else 0) <= 256 * 1024:
+            ends[-1] = start = at
+    return [*ends, size] if start < size else ends
+
+
+def _record_starts(members: list[tuple[str, bytes]]) -> list[int]:
+    out = [0]
+    for name, body in members:
+        out.append(out[-1] + 30 + len(name) + len(body))
+    return out
+
+
+def _layout_rows() -> list[tuple]:
+    body, objects = paper()
+    trailer, mark = len(body) - len(b"trailer\n<< /Size 4 >>\n%%EOF\n"), len(body) - len(b"%%EOF\n")
+    cases = {
+        "archive": (_record_starts(LAYOUT), len(STORED), 16 * 1024),
+        "package": (_record_starts(BOOK), len(STORED_BOOK), 4 * 1024),
+        "package_bytes": (_record_starts(BOOK), len(STORED_BOOK), 4 * 1024),
+        "paper": ([*objects, trailer, mark], len(body), 4 * 1024),
+    }
+    return [(name, i, end) for name, (starts, size, least) in cases.items() for i, end in enumerate(_layout_ends(starts, size, least))]
 
 
 def malformed_details(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,33 +190,67 @@ def malformed_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TEXT = s.prose("text", 9000)
-INNER = _zip(("inner/leaf.txt", TEXT, True, "plain"))
+NOTES = s.gzip(TEXT, b"")
+INNER = s.zip_archive([("pkg/Main.toml", TEXT, True, "plain"), ("pkg/notes.txt.gz", NOTES, False, "plain")])
+RAW = s.noise("raw", 2500)
 CONTAINERS = [
-    ("zip", _zip(("docs/readme.md", TEXT, True, "plain"), ("assets/", b"", False, "plain"), ("assets/blob.bin", s.noise("blob", 3000), False, "plain"))),
-    ("office", _zip(("[Content_Types].xml", b"<Types/>", True, "signed"), ("word/document.xml", b"<d/>" * 500, True, "signed"))),
-    ("tar", s.tar([(b"deep/", b"", b"5", b""), (b"deep/a.txt", TEXT, b"0", b""), (b"deep/link", b"", b"2", b"a.txt"), (b"deep/" * 30 + b"leaf.txt", TEXT, b"0x", b""), (b"deep/" * 30 + b"leaf.txt", TEXT, b"0L", b"")])),
-    ("targz", s.gzip(s.tar([(b"data/file.txt", TEXT, b"0", b"")]), b"data.tar")),
-    ("gz", s.gzip(TEXT, b"report.csv")),
-    ("gz_joined", s.gzip(TEXT[:4000]) + s.gzip(TEXT[4000:])),
-    ("nested", s.tar([(b"bundle.zip", INNER, b"0", b""), (b"plain.txt", TEXT, b"0", b"")])),
-    ("misnamed", s.tar([(b"snapshot.png", INNER, b"0", b"")])),
+    ("zip", s.zip_archive([("letters/one.csv", TEXT, True, "plain"), ("pictures/", b"", False, "plain"), ("pictures/raw.dat", RAW, False, "plain")])),
+    ("office", s.zip_archive([("[Content_Types].xml", b"<Types/>", True, "signed"), ("xl/workbook.xml", b"<w/>" * 700, True, "signed")])),
+    ("tar", s.tar([(b"logs/", b"", b"5", b""), (b"logs/today.yaml", TEXT, b"0", b""), (b"logs/latest", b"", b"2", b"today.yaml"), (b"logs/same", b"", b"1", b"logs/today.yaml"), (b"years/" * 25 + b"all.json", TEXT, b"0x", b""), (b"years/" * 25 + b"all.json", TEXT, b"0L", b"")])),
+    ("targz", s.gzip(s.tar([(b"src/style.css", TEXT, b"0", b"")]), b"src.tar")),
+    ("gz", s.gzip(TEXT, b"table.tsv")),
+    ("gz_joined", s.gzip(TEXT[:2500]) + s.gzip(TEXT[2500:])),
+    ("nested", s.tar([(b"outer.jar", INNER, b"0", b""), (b"read.md", TEXT, b"0", b"")])),
+    ("misnamed", s.tar([(b"movie.mp4", INNER, b"0", b"")])),
 ]
 
 
-def _nine() -> bytes:
+def _deep(levels: int) -> bytes:
     body = TEXT
-    for i in range(9):
-        body = _zip((f"level{i}.zip" if i else "leaf.txt", body, False, "plain"))
+    for i in range(levels):
+        body = s.tar([(b"d%d.tar" % i if i else b"leaf", body, b"0", b"")])
     return body
 
 
+def _broken_member() -> bytes:
+    """A deflated member whose bytes are no deflate stream."""
+    made = s.zip_archive([("bad.txt", b"words " * 30, True, "plain")])
+    at = 30 + len("bad.txt")
+    return made[:at] + b"\xff" * 8 + made[at + 8 :]
+
+
+PLAIN_GZ, PLAIN_TAR = s.gzip(b"words", b"w.txt"), s.tar([(b"a", b"x", b"0", b"")])
+# Why each container is opaque.
 OPAQUE = [
-    ("not_a_container", b"plain words", "input is not a recognized container"),
+    ("not_a_container", b"just some words", "input is not a recognized container"),
     ("encrypted", PLAIN[:6] + b"\1" + PLAIN[7:], "encrypted without a supplied key"),
-    ("escaping", _zip(("../x.txt", b"x", False, "plain")), "member path is absolute or escapes the root"),
-    ("absolute", s.tar([(b"/etc/x", b"x", b"0", b"")]), "member path is absolute or escapes the root"),
-    ("nine_deep", _nine(), "container nesting exceeds the depth cap"),
-    ("sparse", s.tar([(b"x", b"", b"S", b"")]), "unsupported feature: sparse tar member"),
+    ("escaping", s.zip_archive([("up/../../y", b"x", False, "plain")]), "member path is absolute or escapes the root"),
+    ("absolute", s.tar([(b"/srv/y", b"x", b"0", b"")]), "member path is absolute or escapes the root"),
+    ("nine_deep", _deep(9), "container nesting exceeds the depth cap"),
+    ("sparse", s.tar([(b"holes", b"", b"S", b"")]), "unsupported feature: sparse tar member"),
+]
+# Details of broken containers.
+BROKEN = [
+    ("gzip_cut", PLAIN_GZ[:-2], "gzip stream is truncated"),
+    ("gzip_flags", b"\x1f\x8b\x08\x20" + bytes(12), "reserved gzip flag bits set"),
+    ("gzip_crc", PLAIN_GZ[:-8] + bytes(4) + PLAIN_GZ[-4:], "gzip CRC mismatch"),
+    ("gzip_size", PLAIN_GZ[:-4] + b"\xff\0\0\0", "gzip ISIZE mismatch"),
+    ("gzip_body", PLAIN_GZ[:16] + b"\xff" * 20, "gzip deflate body is malformed"),
+    ("gzip_second", PLAIN_GZ + b"not one more", "not a gzip header"),
+    ("tar_cut", PLAIN_TAR[:800], "tar archive is truncated"),
+    ("tar_padding", PLAIN_TAR[:520] + b"y" + PLAIN_TAR[521:], "nonzero tar padding"),
+    ("tar_checksum", PLAIN_TAR[:10] + b"z" + PLAIN_TAR[11:], "tar header checksum mismatch"),
+    ("tar_behind", PLAIN_TAR + b"more".ljust(512, b"\0"), "bytes after the tar end marker"),
+    ("tar_lone", PLAIN_TAR[:1024] + bytes(512) + PLAIN_TAR[:1024] + bytes(1024), "lone zero block inside the archive"),
+    ("tar_type", s.tar([(b"a", b"", b"Z", b"")]), "unknown tar entry type"),
+    ("tar_payload", s.tar([(b"a", b"x", b"5", b"")]), "tar metadata entry declares a payload"),
+    ("pax_newline", s.tar([(b"p", b"9 path=ab", b"x", b"")]), "pax record does not end in newline"),
+    ("pax_length", s.tar([(b"p", b"x path=a\n", b"x", b"")]), "pax record length is not decimal"),
+    ("pax_range", s.tar([(b"p", b"99 path=a\n", b"x", b"")]), "pax record length out of range"),
+    ("pax_equals", s.tar([(b"p", b"9 pathab\n", b"x", b"")]), "pax record has no '='"),
+    ("pax_size", s.tar([(b"p", b"10 size=x\n", b"x", b"")]), "pax size is not decimal"),
+    ("zip_directory", s.zip_archive([("dir/", b"x", False, "plain")]), "zip directory entry declares a payload"),
+    ("zip_deflate", _broken_member(), "zip member deflate stream is malformed"),
 ]
 
 
@@ -166,64 +277,146 @@ def decompose_opaque(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, [(n, b) for n, b, _ in OPAQUE]).where("kind = 'opaque'").select("name", "detail")
 
 
-def canonical_roundtrips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers rebuilt in their canonical form and taken apart again give the same members."""
+def broken_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What broken gzip, tar and zip containers are refused for; the text before the detail is the same for all."""
+    found = _events(spark, [(n, b) for n, b, _ in BROKEN]).where("kind = 'opaque'")
+    return found.select("name", "reason", F.regexp_extract("detail", "(?s)^(?:.*?: )?([^:]*?)(?: at byte [0-9]+)?$", 1).alias("detail"))
+
+
+def inspect_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = analysis.inspect(_events(spark, [c for c in CONTAINERS if c[0] in ("zip", "nested")]))
+    return lines.select("name", (F.row_number().over(W.partitionBy("name").orderBy("seq")) - 1).alias("line_no"), "line")
+
+
+#: Files of a corpus: containers with paths that repeat and levels within, files of one name and of none, and broken ones.
+FILES = [
+    ("in/all.zip", CONTAINERS[0][1]),
+    ("in/twice.tar", s.tar([(b"same.md", b"one\n", b"0", b""), (b"same.md", b"two two\n", b"0", b""), (b"b.jar", s.zip_archive([("x.md", b"x\n", False, "plain"), ("y.md", b"yy\n", False, "plain")]), b"0", b"")])),
+    ("dup.md", b"a" * 30),
+    ("dup.md", b"b" * 40),
+    ("late/dup.md", b"\xff" * 50),
+    (None, b"\0\1" * 60),
+    ("bad.zip", b"PK\3\4" + bytes(20)),
+    ("void.tar", bytes(0)),
+]
+
+
+def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(p, bytearray(b)) for p, b in FILES], "path string, content binary")
+    return analysis.corpus_report(rows).select("path", "input_bytes", "route", "reason", "members", "chunks", "stored_bytes", "stored")
+
 
-    @F.udf("struct<tar: boolean, zip: boolean, gzip: boolean, stable: boolean>")
-    def rebuilt(path: str, body: bytes):
-        entries = [("directory", b"d/", b""), ("member", path.encode(), bytes(body)), ("member", b"long/" * 40 + b"name.bin", b"x" * 700)]
-        want = [(p, b) for k, p, b in entries if k == "member"]
-        got = lambda data: [(e.path, e.content) for e in decompose(data) if e.kind == "member_end"]
-        return got(writers.tar(entries)) == want, got(writers.zip_(entries)) == want, got(writers.gzip(bytes(body))) == [(b"", bytes(body))], writers.tar(entries) == writers.tar(entries) and writers.zip_(entries) == writers.zip_(entries)
+def rebuilt_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers rebuilt in their canonical form, as the standard library reads them."""
 
-    rows = spark.createDataFrame([("a.bin", bytearray(s.noise("a", 3000))), ("b.bin", bytearray(b"")), ("c.bin", bytearray(b"y" * 512))], "path string, body binary")
-    return rows.withColumn("r", rebuilt("path", "body")).select("path", "r.*")
+    def read(kind: str, data: bytes) -> list[tuple]:
+        if kind == "tar":
+            with tarfile.open(fileobj=io.BytesIO(data)) as t:
+                return [(m.name, t.extractfile(m).read()) for m in t.getmembers() if m.isfile()]
+        if kind == "zip":
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                return [(n, z.read(n)) for n in z.namelist() if not n.endswith("/")]
+        return [("", gzip.decompress(data))]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        write = {"tar": writers.tar, "zip": writers.zip_, "gzip": lambda entries: writers.gzip(entries[1][2])}
+        for batch in batches:
+            for kind in batch.column(0).to_pylist():
+                found = read(kind, write[kind](REBUILT))
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(found)), pa.array([p for p, _ in found]), pa.array([b for _, b in found], pa.binary())], names=["container", "path", "content"])
 
-def package_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A package stored and deflated has one canonical form, which is its own canonical form."""
+    out = spark.createDataFrame([("tar",), ("zip",), ("gzip",)], "container string").mapInArrow(run, "container string, path string, content binary")
+    return out.select("container", "path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("digest"))
 
-    @F.udf("struct<same: boolean, fixed: boolean, members: bigint>")
-    def forms(stored: bytes, packed: bytes):
-        a, b = canonical(bytes(stored)), canonical(bytes(packed))
-        return a.data == b.data, canonical(a.data).data == a.data, len(a.members)
 
-    body, image = s.xml("doc", 60_000), s.noise("image", 100_000)
-    rows = spark.createDataFrame([(bytearray(s.docx(body, image, False)), bytearray(s.docx(body, image)))], "stored binary, packed binary")
-    return rows.withColumn("r", forms("stored", "packed")).select("r.*")
+REBUILT = [("directory", b"d", b""), ("member", b"d/letters.txt", b"abc" * 300), ("member", b"long/" * 40 + b"name.bin", b"x" * 700), ("member", b"empty", b"")]
 
 
-LONG = "deep/" * 30 + "leaf.txt"
+def package_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package stored and deflated has one canonical form, in which each member stands where its header says."""
+    rows = spark.createDataFrame([("stored", bytearray(STORED_BOOK)), ("packed", bytearray(PACKED_BOOK))], "form string, content binary")
+    chunks = api.chunk(rows, api.by_profile("ooxml-v1"), keep=("form",), with_data=True)
+    whole = chunks.groupBy("form").agg(F.sort_array(F.collect_list(F.struct("ordinal", F.hex("data").alias("data")))).alias("c"))
+    whole = whole.select("form", F.unhex(F.array_join(F.transform("c", lambda x: x["data"]), "")).alias("data"))
+    found = api.package_members(rows, keep=("form",)).join(whole, "form")
+    start = (F.col("offset") + 30 + F.octet_length("name") + 1).cast("int")
+    return found.select("form", "ordinal", F.col("name").cast("string").alias("name"), "offset", "size", F.sha2(F.substr("data", start, F.col("size").cast("int")), 256).alias("digest"))
+
+
+LONG = "years/" * 25 + "all.json"
 MEMBER_ROWS = [
-    ("zip", 0, 0, "docs/readme.md", 9000, "text/markdown", False, True),
-    ("zip", 0, 2, "assets/blob.bin", 3000, None, False, False),
+    ("zip", 0, 0, "letters/one.csv", 9000, "text/csv", False, True),
+    ("zip", 0, 2, "pictures/raw.dat", 2500, None, False, False),
     ("office", 0, 0, "[Content_Types].xml", 8, "application/xml", False, False),
-    ("office", 0, 1, "word/document.xml", 2000, "application/xml", False, False),
-    ("tar", 0, 1, "deep/a.txt", 9000, "text/plain", False, True),
-    ("tar", 0, 3, LONG, 9000, "text/plain", False, True),
-    ("tar", 0, 4, LONG, 9000, "text/plain", False, True),
-    ("targz", 0, 0, "data/file.txt", 9000, "text/plain", False, True),
-    ("gz", 0, 0, "report.csv", 9000, "text/csv", False, True),
+    ("office", 0, 1, "xl/workbook.xml", 2800, "application/xml", False, False),
+    ("tar", 0, 1, "logs/today.yaml", 9000, "application/yaml", False, True),
+    ("tar", 0, 4, LONG, 9000, "application/json", False, True),
+    ("tar", 0, 5, LONG, 9000, "application/json", False, True),
+    ("targz", 0, 0, "src/style.css", 9000, "text/css", False, True),
+    ("gz", 0, 0, "table.tsv", 9000, "text/tab-separated-values", False, True),
     ("gz_joined", 0, 0, "", 9000, None, False, True),
-    ("nested", 0, 0, "bundle.zip", len(INNER), "application/zip", True, None),
-    ("nested", 1, 0, "inner/leaf.txt", 9000, "text/plain", False, True),
-    ("nested", 0, 1, "plain.txt", 9000, "text/plain", False, True),
-    ("misnamed", 0, 0, "snapshot.png", len(INNER), "image/png", False, False),
+    ("nested", 0, 0, "outer.jar", len(INNER), "application/java-archive", True, None),
+    ("nested", 1, 0, "pkg/Main.toml", 9000, "application/toml", False, True),
+    ("nested", 1, 1, "pkg/notes.txt.gz", len(NOTES), "application/gzip", True, None),
+    ("nested", 2, 0, "", 9000, None, False, True),
+    ("nested", 0, 1, "read.md", 9000, "text/markdown", False, True),
+    ("misnamed", 0, 0, "movie.mp4", len(INNER), None, False, False),
 ]
 CONTAINER_ROWS = [
-    ("zip", 0, "zip", 2, 1, None), ("office", 0, "zip", 2, 0, "word"), ("tar", 0, "tar", 3, 2, None), ("targz", 0, "tar+gzip", 1, 0, None), ("gz", 0, "gzip", 1, 0, None),
-    ("gz_joined", 0, "gzip", 1, 0, None), ("nested", 0, "tar", 2, 0, None), ("nested", 1, "zip", 1, 0, None), ("misnamed", 0, "tar", 1, 0, None),
+    ("zip", 0, "zip", 2, 1, None), ("office", 0, "zip", 2, 0, "excel"), ("tar", 0, "tar", 3, 3, None), ("targz", 0, "tar+gzip", 1, 0, None), ("gz", 0, "gzip", 1, 0, None), ("gz_joined", 0, "gzip", 1, 0, None),
+    ("nested", 0, "tar", 2, 0, None), ("nested", 1, "zip", 2, 0, None), ("nested", 2, "gzip", 1, 0, None), ("misnamed", 0, "tar", 1, 0, None),
 ]
-ENTRY_ROWS = [("zip", "assets/", "directory", None, -1, -1), ("tar", "deep/", "directory", None, 0o640, 1234), ("tar", "deep/link", "symlink", "a.txt", 0o640, 1234)]
+ENTRY_ROWS = [("zip", "pictures/", "directory", None, -1, -1), ("tar", "logs/", "directory", None, 0o640, 1234), ("tar", "logs/latest", "symlink", "today.yaml", 0o640, 1234), ("tar", "logs/same", "hardlink", "logs/today.yaml", 0o640, 1234)]
+LINES = [
+    ("zip", ["[zip]", "letters/one.csv  8.8 KiB  text/csv", "pictures/  (directory)", "pictures/raw.dat  2.4 KiB  -", "= 2 members, 1 entries"]),
+    ("nested", ["[tar]", "  [zip]", "  pkg/Main.toml  8.8 KiB  application/toml", "    [gzip]", "      8.8 KiB  -", "    = 1 members, 0 entries", f"  pkg/notes.txt.gz  {len(NOTES) / 1024:.1f} KiB  application/gzip", "  = 2 members, 0 entries", f"outer.jar  {len(INNER) / 1024:.1f} KiB  application/java-archive", "read.md  8.8 KiB  text/markdown", "= 2 members, 0 entries"]),
+]
+FILE_ROWS = [
+    ("in/all.zip", len(FILES[0][1]), "decomposed", None, 2, 2, 11_500, "11.2 KiB"),
+    ("in/twice.tar", len(FILES[1][1]), "decomposed", None, 5, 4, 4 + 8 + 2 + 3, "17 B"),
+    ("dup.md", 30, "structured-text-v1", None, 0, 1, 30, "30 B"),
+    ("dup.md", 40, "structured-text-v1", None, 0, 1, 40, "40 B"),
+    ("late/dup.md", 50, "generic-cdc-v1", None, 0, 1, 50, "50 B"),
+    (None, 120, "generic-cdc-v1", None, 0, 1, 120, "120 B"),
+    ("bad.zip", 24, "opaque", "malformed at byte 24: archive ends inside a record or before its end record", 0, 1, 24, "24 B"),
+    ("void.tar", 0, "generic-cdc-v1", None, 0, 0, 0, "0 B"),
+]
+
+
+def _book_sql() -> str:
+    """Offsets are sums of 30 bytes of header, the name and the bytes of what comes before."""
+    rows = values([(i, n, len(b)) for i, (n, b) in enumerate(BOOK)], "ordinal, name, size")
+    return f"""SELECT form, ordinal::BIGINT AS ordinal, name, coalesce(sum(30 + length(name) + size) OVER (PARTITION BY form ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
+       size::BIGINT AS size, sha256(unhex(repeat('00', size))) AS digest
+FROM ({rows}) m, (VALUES ('stored'), ('packed')) f(form)"""
+
+
+def _rebuilt_sql() -> str:
+    made = " UNION ALL ".join(f"SELECT '{p.decode()}' AS path, repeat('{b.decode()[:3] if p.startswith(b'd/') else b.decode()[:1]}', {300 if p.startswith(b'd/') else len(b)}) AS t" for k, p, b in REBUILT if k == "member")
+    return f"""WITH m AS ({made})
+SELECT container, path, length(t)::BIGINT AS size, sha256(t) AS digest FROM m, (VALUES ('tar'), ('zip')) c(container)
+UNION ALL SELECT 'gzip', '', length(t)::BIGINT, sha256(t) FROM m WHERE path = 'd/letters.txt'"""
+
 
-QUERIES = {f.__name__: f for f in (format_goldens, malformed_details, decompose_members, decompose_containers, decompose_entries, decompose_opaque, canonical_roundtrips, package_convergence)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        format_goldens, pushed_goldens, layout_cuts, malformed_details, decompose_members, decompose_containers, decompose_entries,
+        decompose_opaque, broken_details, inspect_lines, corpus_files, rebuilt_containers, package_geometry,
+    )
+}
 ORACLES = {
     "format_goldens": values([(n, p, c, d) for n, p, _, c, d in GOLDENS], "name, profile, chunks, digest"),
+    "pushed_goldens": values([(n, p, c, d) for n, p, _, c, d in GOLDENS], "name, profile, chunks, digest"),
+    "layout_cuts": values(_layout_rows(), 'name, ordinal, "end"'),
     "malformed_details": values([(n, p, d) for n, p, _, d in MALFORMED], "name, profile, detail"),
     "decompose_members": values(MEMBER_ROWS, "name, depth, ordinal, path, size, media_type, nested, is_text"),
     "decompose_containers": values(CONTAINER_ROWS, "name, depth, container, members, entries, office"),
     "decompose_entries": values(ENTRY_ROWS, "name, path, entry, target, mode, mtime"),
     "decompose_opaque": values([(n, d) for n, _, d in OPAQUE], "name, detail"),
-    "canonical_roundtrips": values([(f"{c}.bin", True, True, True, True) for c in "abc"], "path, tar, zip, gzip, stable"),
-    "package_convergence": values([(True, True, 5)], "same, fixed, members"),
+    "broken_details": values([(n, "Malformed", d) for n, _, d in BROKEN], "name, reason, detail"),
+    "inspect_lines": values([(n, i, x) for n, lines in LINES for i, x in enumerate(lines)], "name, line_no, line"),
+    "corpus_files": values(FILE_ROWS, "path, input_bytes, route, reason, members, chunks, stored_bytes, stored"),
+    "rebuilt_containers": _rebuilt_sql(),
+    "package_geometry": _book_sql(),
 }

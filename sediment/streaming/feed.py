@@ -1,98 +1,115 @@
-"""Cutting streams that arrive as windows: rows (stream_id, seq, window, is_last) in any split.
+"""Cutting streams that arrive as windows: rows (stream_id, seq, window, is_last) in any split, for every profile.
 
-Cuts depend on content alone, so what has arrived can be cut as far as no later byte can change it. The state
-of a stream is the open bytes and the offset at which they begin; a stream ends with the row marked is_last.
-A profile that reads structure needs its stream's records from the start, so such streams are held until
-their end; generic and text streams keep at most one chunk and a window.
+The windows of a stream count from 0; the last is marked is_last. Each window is pushed through the profile's
+stream (operators.push), whose state is bounded; a batch table and a streaming query use the same state. A
+window that comes before its turn waits for it, one that comes again is passed over, and a stream that ends
+with a window missing says so. Once its profile has refused a stream, every later window gives an error row.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sediment.functions.profiles import GENERIC, MAX_CHUNK, TEXT, Rejected
-from sediment.operators import chunkers
-
-OUT = "stream_id long, ordinal long, start long, end long, length long, digest string, error string"
-STATE = "open binary, at long, ordinal long, rejected boolean"
-NAMES = ["stream_id", "ordinal", "start", "end", "length", "digest", "error"]
-
-
-def _settled(profile: str, data: bytes, final: bool) -> tuple[list[int], bytes]:
-    """Ends that later bytes can't move, and the bytes behind the last of them."""
-    if final:
-        ends = chunkers.boundaries(profile, data)
-        return ends, b""
-    if profile not in (GENERIC, TEXT) or len(data) < MAX_CHUNK:
-        return [], data
-    whole = data
-    if profile == TEXT:  # a scalar may be cut off by the window: leave its bytes open
-        for k in range(1, 4):
-            if len(data) >= k and data[-k] >= 0xC0:
-                need = 2 if data[-k] < 0xE0 else 3 if data[-k] < 0xF0 else 4
-                whole = data[:-k] if need > k else data
-                break
-            if len(data) >= k and data[-k] < 0x80:
-                break
-    ends = chunkers.boundaries(profile, whole)[:-1]
-    return ends, data[ends[-1] :] if ends else data
-
-
-def _feed(profile: str, stream: int, windows: list[tuple[bytes, bool]], held: tuple) -> tuple[list[tuple], tuple]:
-    data, at, ordinal, rejected = held
-    rows = []
-    for k, (window, last) in enumerate(windows):
-        if rejected:
-            break
-        data += window or b""
-        if not last and k + 1 < len(windows):
-            continue
+from sediment.functions.profiles import GENERIC, Rejected, known
+from sediment.operators import push
+
+OUT = "ordinal long, start long, end long, length long, digest string, error string, pushed long"
+NAMES = ["stream_id", "ordinal", "start", "end", "length", "digest", "error", "pushed"]
+TYPES = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+
+
+class Feed:
+    """One stream: what it has been fed, and what waits for its turn."""
+
+    def __init__(self, profile: str, stream_id) -> None:
+        self.profile, self.stream_id, self.stream = profile, stream_id, push.opened(profile)
+        self.next_seq, self.ordinal, self.rejected, self.over = 0, 0, False, False
+        self.waiting: dict[int, tuple[bytes, bool]] = {}
+
+    def error(self, detail: str) -> tuple:
+        return (self.stream_id, None, None, None, None, None, detail, self.next_seq)
+
+    def take(self, seq: int, window: bytes | None, last: bool) -> list[tuple]:
+        """The rows that a window, and those that waited for it, make certain."""
+        out: list[tuple] = []
+        if seq >= self.next_seq and not self.over:
+            self.waiting.setdefault(int(seq), (bytes(window or b""), bool(last)))
+        while self.next_seq in self.waiting and not self.over:
+            out += self.pushed(*self.waiting.pop(self.next_seq))
+        return out
+
+    def pushed(self, window: bytes, last: bool) -> list[tuple]:
+        self.next_seq, self.over = self.next_seq + 1, last
+        if self.rejected:
+            return [self.error(f"chunking profile {self.profile} already rejected this stream")]
         try:
-            ends, rest = _settled(profile, data, last)
+            found = self.stream.push(window, last)
         except Rejected as e:
-            rows.append((stream, None, None, None, None, None, e.detail))
-            rejected, data = True, b""
-            break
-        start = 0
-        for end in ends:
-            rows.append((stream, ordinal, at + start, at + end, end - start, hashlib.sha256(data[start:end]).hexdigest(), None))
-            ordinal, start = ordinal + 1, end
-        at, data = at + start, rest
-    return rows, (data, at, ordinal, rejected)
+            self.rejected, self.stream = True, None
+            return [self.error(e.detail)]
+        out = []
+        for start, data in found:
+            out.append((self.stream_id, self.ordinal, start, start + len(data), len(data), hashlib.sha256(data).hexdigest(), None, self.next_seq))
+            self.ordinal += 1
+        return out
+
+    def ended(self) -> list[tuple]:
+        """What there is to say when no more windows will come."""
+        return [self.error(f"window {self.next_seq} is missing")] if self.waiting and not self.over else []
 
 
 def chunk_windows(windows: DataFrame, profile: str = GENERIC) -> DataFrame:
-    """A streaming or batch table of windows -> chunk rows. A batch is fed through the same state, a stream to a group."""
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else (b"", 0, 0, False)
-        arrived = pd.concat(list(frames)).sort_values("seq")
-        rows, held = _feed(profile, key[0], list(zip(arrived["window"], arrived["is_last"], strict=True)), tuple(held))
-        if arrived["is_last"].any():
-            state.remove()
-        else:
-            state.update(held)
-        yield pd.DataFrame(rows, columns=NAMES).astype({n: "Int64" for n in NAMES[1:5]})
-
-    grouped = windows.select("stream_id", "seq", "window", "is_last").groupBy("stream_id")
+    """A streaming or batch table of windows -> chunk rows, with the number of windows pushed when each was certain. stream_id is of any type."""
+    known(profile)
+    schema = f"stream_id {windows.schema['stream_id'].dataType.simpleString()}, {OUT}"
+    source = windows.select("stream_id", F.col("seq").cast("long").alias("seq"), "window", "is_last")
     if windows.isStreaming:
-        return grouped.applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
-
-    def whole(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq")
-        rows, _ = _feed(profile, int(key[0]), list(zip(frame["window"], frame["is_last"], strict=True)), (b"", 0, 0, False))
-        return pd.DataFrame(rows, columns=NAMES).astype({n: "Int64" for n in NAMES[1:5]})
 
-    return grouped.applyInPandas(whole, OUT)
+        def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+            feed = pickle.loads(state.get[0]) if state.exists else Feed(profile, key[0])
+            rows: list[tuple] = []
+            for frame in frames:
+                for seq, window, last in frame.sort_values("seq")[["seq", "window", "is_last"]].itertuples(index=False):
+                    rows += feed.take(seq, window, last)
+            if feed.over:
+                state.remove()
+            else:
+                state.update((pickle.dumps(feed),))
+            yield pd.DataFrame(rows, columns=NAMES).astype({n: "Int64" for n in (*NAMES[1:5], "pushed")})
+
+        return source.groupBy("stream_id").applyInPandasWithState(step, schema, "feed binary", "append", GroupStateTimeout.NoTimeout)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        feed: Feed | None = None
+        for batch in batches:
+            kind, rows = batch.schema.field(0).type, []
+            for i, (stream_id, seq, last) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if feed is None or stream_id != feed.stream_id:
+                    rows += feed.ended() if feed else []
+                    feed = Feed(profile, stream_id)
+                rows += feed.take(seq, batch.column(2)[i].as_py(), last)
+            yield made(kind, rows)
+        if feed and (rows := feed.ended()):
+            yield made(kind, rows)
+
+    # a task goes through its streams window by window: it holds one stream's state, not the stream
+    return source.repartition("stream_id").sortWithinPartitions("stream_id", "seq").mapInArrow(run, schema)
+
+
+def made(kind: pa.DataType, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([kind, *TYPES])], names=NAMES)
 
 
 def windows_of(df: DataFrame, stream_id: str, content: str, size: int) -> DataFrame:
     """Values as windows of `size` bytes: what a feed of them would carry."""
     data = F.col(f"`{content}`")
     count = F.greatest(F.ceil(F.octet_length(data) / size), F.lit(1)).cast("int")
-    return df.select(F.col(f"`{stream_id}`").cast("long").alias("stream_id"), data.alias("d"), count.alias("n"), F.explode(F.sequence(F.lit(0), count - 1)).alias("seq")).select("stream_id", F.col("seq").cast("long").alias("seq"), F.substr("d", F.col("seq") * size + 1, F.lit(size)).alias("window"), (F.col("seq") == F.col("n") - 1).alias("is_last"))
+    return df.select(F.col(f"`{stream_id}`").alias("stream_id"), data.alias("d"), count.alias("n"), F.explode(F.sequence(F.lit(0), count - 1)).alias("seq")).select("stream_id", F.col("seq").cast("long").alias("seq"), F.substr("d", F.col("seq") * size + 1, F.lit(size)).alias("window"), (F.col("seq") == F.col("n") - 1).alias("is_last"))

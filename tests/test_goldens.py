@@ -4,32 +4,15 @@ import pytest
 
 from sediment.functions.blake3 import blake3
 from sediment.operators.chunkers import boundaries
-from sediment.plans import synthetic as f
+from sediment.plans.formats import GOLDENS, pushed_ends
+from sediment.plans.synthetic import digest
 
-FOUR = 4 << 20
-# Fixed values.
-GOLDENS = [
-    ("generic-cdc-v1", lambda: f.noise("els05/golden", FOUR), 59, "805772eed894132f"),
-    ("structured-text-v1", lambda: f.markdown("els06/golden", FOUR), 64, "8bb01e8519dba671"),
-    ("structured-text-v1", lambda: f.minified_json("els06/golden", FOUR), 50, "58fb93728ae7c51b"),
-    ("structured-text-v1", lambda: f.xml("els06/golden", FOUR), 81, "72521c0a749656ee"),
-    ("isobmff-v1", lambda: f.mp4("els08/golden", f.noise("els08/golden/mdat", FOUR)), 57, "091f2af912cc26de"),
-    ("isobmff-v1", lambda: f.fragmented_mp4("els08/golden", [f.noise(f"els08/golden/frag{i}", 300 << 10) for i in range(6)]), 28, "e5f9471e459dd763"),
-    ("isobmff-v1", lambda: f.heif("els08/golden", f.noise("els08/golden/pic", 1 << 20)), 16, "aeec3468ab8ecb7f"),
-    ("matroska-v1", lambda: f.mkv("els09/golden", [f.cluster(f"els09/golden/cluster{i}", 400 << 10) for i in range(6)], f.element(0x1254C367, f.noise("els09/golden/tags", 500))), 36, "eb8d0bd1ad053967"),
-    ("matroska-v1", lambda: f.streamed_webm("els09/golden", 5), 25, "7668bea86707a34e"),
-    ("mpegts-v1", lambda: f.ts_stream("els10/golden", 20000, 40), 51, "aa45efe720954891"),
-    ("framed-audio-v1", lambda: f.tagged_mp3("els11/golden/tag", "els11/golden", 4000), 28, "23f3a3ab1c28450f"),
-    ("framed-audio-v1", lambda: f.adts_frames("els11/golden", 3000), 27, "2f48b1924f436110"),
-    ("framed-audio-v1", lambda: f.flac("els11/golden", 60 << 10, 2 << 20), 30, "fa9ea9387cb542f5"),
-]
 
-
-@pytest.mark.parametrize("case", range(len(GOLDENS)))
-def test_golden(case):
-    profile, make, count, want = GOLDENS[case]
-    ends = boundaries(profile, make())
-    assert (len(ends), f.digest(ends)) == (count, want)
+@pytest.mark.parametrize("name, profile, make, count, want", GOLDENS, ids=[g[0] for g in GOLDENS])
+def test_golden(name, profile, make, count, want):
+    data = make()
+    for ends in (boundaries(profile, data), pushed_ends(profile, data)):
+        assert (len(ends), digest(ends)) == (count, want)
 
 
 @pytest.mark.parametrize("n, start", [(0, "af1349b9f5f9a1a6"), (1024, "42214739f095a406"), (1025, "d00278ae47eb27b3"), (2048, "e776b6028c7cd22a")])

@@ -12,7 +12,7 @@ from sediment.operators.chunkers import boundaries
 from sediment.plans import catalogue
 from sediment.plans import synthetic as s
 from sediment.sources import files
-from sediment.streaming.feed import chunk_windows, windows_of
+from sediment.streaming.feed import Feed, chunk_windows, windows_of
 
 PACKAGE = s.docx(s.xml("t", 30_000), s.noise("t", 50_000))
 VALUES = [(1, "a.bin", s.noise("t", 200_000), "application/x-unknown"), (2, "b.md", s.markdown("t", 200_000), "text/markdown"), (3, "c.docx", PACKAGE, None), (4, "d.txt", b"words \xff broken", "text/plain"), (5, "e", b"", "video/mp4"), (6, "f", None, None)]
@@ -52,6 +52,11 @@ def test_package_members_stand_where_they_say(table):
         assert form[r["offset"] + 30 : r["offset"] + 30 + len(r["name"])] == bytes(r["name"])
 
 
+def test_members_are_told_by_one_profile_only(table):
+    with pytest.raises(ValueError):
+        api.package_members(table, profile="zip-v1")
+
+
 def test_report(table):
     rows = {r["path"]: r for r in analysis.corpus_report(table.where("content is not null")).collect()}
     assert (rows["c.docx"]["route"], rows["c.docx"]["members"]) == ("decomposed", 5)
@@ -76,6 +81,22 @@ def test_reuse(spark):
     assert pair["percent"] == pytest.approx(100 * hit["shared_bytes"] / total)
 
 
+def test_rows_of_many_values_come_in_one_batch(spark):
+    from sediment.operators.api import tabled
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([b"ab", b"", b"c"])], names=["k", "v"])
+    out = list(tabled(iter([batch]), 1, [("x", pa.int64())], lambda v: [(b,) for b in v]))
+    assert [b.to_pydict() for b in out] == [{"k": [1, 1, 3], "x": [97, 98, 99]}]
+
+
+def test_sizes_for_people(spark):
+    sizes = [0, 1023, 1024, 1280, 1382, 1 << 20, (1 << 20) + (1 << 18)]
+    rows = spark.createDataFrame([(x,) for x in sizes], "n long").select(analysis.human(F.col("n"))).collect()
+    assert [r[0] for r in rows] == ["0 B", "1023 B", "1.0 KiB", "1.2 KiB", "1.3 KiB", "1.0 MiB", "1.2 MiB"]
+
+
 @pytest.mark.parametrize("profile", [GENERIC, TEXT, "ooxml-v1"])
 @pytest.mark.parametrize("size", [997, 40_000])
 def test_windows_give_the_same_chunks(table, profile, size):
@@ -85,16 +106,36 @@ def test_windows_give_the_same_chunks(table, profile, size):
     assert [r["end"] for r in rows] == boundaries(profile, VALUES[data - 1][2])
 
 
-def test_structured_streaming(spark, tmp_path, table):
-    data = s.noise("stream", 600_000)
+@pytest.mark.parametrize("profile", [GENERIC, "zip-v1", "pdf-v1"])
+def test_structured_streaming(spark, tmp_path, profile):
+    data = {GENERIC: lambda: s.noise("stream", 600_000), "zip-v1": lambda: s.zip_archive([("a", s.noise("z", 250_000), False, "plain"), ("b.txt", s.prose("z", 300_000), True, "signed")]), "pdf-v1": lambda: s.pdf(s.prose("t", 60_000), s.noise("i", 450_000))}[profile]()
     feed = windows_of(spark.createDataFrame([(7, bytearray(data))], "id long, content binary"), "id", "content", 100_000)
     for k in range(6):
         feed.where(F.col("seq") == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = chunk_windows(source, GENERIC).writeStream.format("memory").queryName("fed").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    query = chunk_windows(source, profile).writeStream.format("memory").queryName("fed").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
     query.processAllAvailable()
     query.stop()
-    assert [r["end"] for r in spark.table("fed").orderBy("ordinal").collect()] == boundaries(GENERIC, data)
+    assert [r["end"] for r in spark.table("fed").orderBy("ordinal").collect()] == boundaries(profile, data)
+
+
+def test_windows_out_of_turn_wait_and_repeats_are_passed_over(spark):
+    data = s.noise("turn", 300_000)
+    cut = [(5, k, bytearray(data[k * 50_000 : (k + 1) * 50_000]), k == 5) for k in range(6)]
+    schema = "stream_id long, seq long, window binary, is_last boolean"
+    feed = Feed(GENERIC, 5)
+    rows = [r for k in (1, 0, 0, 3, 2, 5, 1, 4) for r in feed.take(k, cut[k][2], cut[k][3])]
+    assert [r[3] for r in rows] == boundaries(GENERIC, data) and feed.over and not feed.ended()
+    got = chunk_windows(spark.createDataFrame([cut[k] for k in (4, 1, 1, 0, 5, 2, 3)], schema), GENERIC).orderBy("ordinal").collect()
+    assert [r["end"] for r in got] == boundaries(GENERIC, data) and got[-1]["pushed"] == 6
+    lacking = chunk_windows(spark.createDataFrame([cut[k] for k in (0, 1, 3)], schema), GENERIC).where("error is not null").collect()
+    assert [r["error"] for r in lacking] == ["window 2 is missing"]
+
+
+def test_a_refused_stream_says_so_at_every_window(spark):
+    rows = [(1, k, bytearray(b"abc \xff" if k == 1 else b"words "), k == 3) for k in range(4)]
+    out = chunk_windows(spark.createDataFrame(rows, "stream_id long, seq long, window binary, is_last boolean"), TEXT).orderBy("pushed").collect()
+    assert [r["error"] for r in out] == ["invalid UTF-8 lead byte"] + [f"chunking profile {TEXT} already rejected this stream"] * 2
 
 
 def test_files_in_ranges(spark, tmp_path):
