@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sediment.operators.office import Entry, descriptor, directory, local_header
 
@@ -13,6 +20,8 @@ FILE_MODE, DIRECTORY_MODE = 0o644, 0o755
 PAX_NAME, NAME_BYTES = b"@PaxHeader", 100
 GZIP_HEADER = bytes.fromhex("1f8b08000000000000ff")
 GZIP_LEVEL = 6
+#: (kind, path, body or link target)
+Entries = tuple[str, bytes, bytes]
 TAR_FLAGS = {"directory": b"5", "symlink": b"2", "hardlink": b"1", "member": b"0"}
 
 
@@ -36,20 +45,22 @@ def _filled(body: bytes) -> bytes:
     return body + bytes(-len(body) % BLOCK)
 
 
-def tar(entries: list[tuple[str, bytes, bytes]]) -> bytes:
-    """entries: (kind, path, body or link target) in order. Long names go to a record of their own before the entry."""
-    out = []
+def tar_pieces(entries: Iterable[Entries]) -> Iterator[bytes]:
+    """A piece an entry and the end. Long names go to a record of their own before the entry."""
     for kind, path, body in entries:
         link = body if kind in ("symlink", "hardlink") else b""
         long = b"".join(_pax(k, v) for k, v in ((b"path", path), (b"linkpath", link)) if len(v) > NAME_BYTES)
-        if long:
-            out += [_tar_block(PAX_NAME, len(long), FILE_MODE, b"x", b""), _filled(long)]
+        before = _tar_block(PAX_NAME, len(long), FILE_MODE, b"x", b"") + _filled(long) if long else b""
         size = len(body) if kind == "member" else 0
         flag = TAR_FLAGS.get(kind) or body  # another kind carries its own flag
-        out.append(_tar_block(path, size, DIRECTORY_MODE if kind == "directory" else FILE_MODE, flag, link))
-        if size:
-            out.append(_filled(body))
-    return b"".join(out) + bytes(2 * BLOCK)
+        block = _tar_block(path, size, DIRECTORY_MODE if kind == "directory" else FILE_MODE, flag, link)
+        yield before + block + (_filled(body) if size else b"")
+    yield bytes(2 * BLOCK)
+
+
+def tar(entries: list[Entries]) -> bytes:
+    """entries: (kind, path, body or link target) in order."""
+    return b"".join(tar_pieces(entries))
 
 
 def is_utf8(name: bytes) -> bool:
@@ -60,21 +71,61 @@ def is_utf8(name: bytes) -> bool:
     return True
 
 
-def zip_(entries: list[tuple[str, bytes, bytes]]) -> bytes:
-    """entries: (kind, path, body); members are stored behind a header that leaves the sizes to a descriptor."""
-    out, listed, at = [], [], 0
+def zip_pieces(entries: Iterable[Entries]) -> Iterator[bytes]:
+    """A piece an entry and the directory; members are stored behind a header that leaves the sizes to a descriptor."""
+    listed, at = [], 0
     for kind, path, body in entries:
         if kind == "directory":
             path, body = path if path.endswith(b"/") else path + b"/", b""
         crc, utf8 = zlib.crc32(body), is_utf8(path)
         piece = local_header(path, utf8) + body + descriptor(crc, len(body))
         listed.append(Entry(path, utf8, crc, len(body), at, True))
-        out.append(piece)
         at += len(piece)
-    return b"".join(out) + directory(listed, at)
+        yield piece
+    yield directory(listed, at)
+
+
+def zip_(entries: list[Entries]) -> bytes:
+    """entries: (kind, path, body)."""
+    return b"".join(zip_pieces(entries))
+
+
+def gzip_pieces(bodies: Iterable[bytes]) -> Iterator[bytes]:
+    """One member without name or time, from its bytes in pieces."""
+    packer, crc, size = zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, -15), 0, 0
+    yield GZIP_HEADER
+    for body in bodies:
+        crc, size = zlib.crc32(body, crc), size + len(body)
+        yield packer.compress(body)
+    yield packer.flush() + struct.pack("<II", crc, size & 0xFFFFFFFF)
 
 
 def gzip(body: bytes) -> bytes:
-    """One member without name or time."""
-    packer = zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, -15)
-    return GZIP_HEADER + packer.compress(body) + packer.flush() + struct.pack("<II", zlib.crc32(body), len(body) & 0xFFFFFFFF)
+    return b"".join(gzip_pieces([body]))
+
+
+def containers(entries: DataFrame, kind: str) -> DataFrame:
+    """(container, seq, data): each container rebuilt as `kind` (tar, zip or gzip); its pieces in order of seq are its bytes.
+
+    entries: (container, ordinal, kind, path, content), in order of ordinal; a link's content is its target. A
+    task holds an entry at a time. gzip joins the contents of a container's members to one.
+    """
+    make = {"tar": tar_pieces, "zip": zip_pieces, "gzip": lambda found: gzip_pieces(body for _, _, body in found)}[kind]
+    id_kind = entries.schema["container"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flat() -> Iterator[tuple]:
+            for batch in batches:
+                columns = [batch.column(c) for c in range(4)]
+                for i in range(batch.num_rows):
+                    key, what, path, body = (c[i].as_py() for c in columns)
+                    yield key, (what, bytes(path or b""), body or b"")
+
+        for key, found in itertools.groupby(flat(), key=lambda r: r[0]):
+            for seq, piece in enumerate(make(e for _, e in found)):
+                yield pa.RecordBatch.from_pydict({"container": [key], "seq": [seq], "data": [piece]}, schema=pa.schema([("container", types), ("seq", pa.int64()), ("data", pa.binary())]))
+
+    types = to_arrow_type(entries.schema["container"].dataType)
+    sorted_ = entries.repartition("container").sortWithinPartitions("container", "ordinal")
+    source = sorted_.select("container", "kind", F.col("path").cast("binary").alias("path"), F.col("content").cast("binary").alias("content"))
+    return source.mapInArrow(run, f"container {id_kind}, seq long, data binary")

@@ -1,14 +1,16 @@
 """Chunk, member and report tables; streams in windows; files in ranges; SQL."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from sediment.functions import sql
-from sediment.functions.profiles import GENERIC, TEXT
-from sediment.operators import analysis, api
+from sediment.functions.profiles import GENERIC, TEXT, Rejected
+from sediment.operators import analysis, api, writers
 from sediment.operators.chunkers import boundaries
+from sediment.operators.content import check_utf8
 from sediment.plans import catalogue
 from sediment.plans import synthetic as s
 from sediment.sources import files
@@ -145,8 +147,63 @@ def test_files_in_ranges(spark, tmp_path):
     rows = files.generic_ranges(spark, str(tmp_path), 100_000).collect()
     for name, body in data.items():
         assert sorted(r["end"] for r in rows if os.path.basename(r["path"]) == name) == boundaries(GENERIC, body)
-    whole = files.read_files(spark, str(tmp_path))
+    whole = files.read_files(spark, str(tmp_path), in_order=True)
     assert files.prefixes(whole).select(F.max(F.octet_length("content"))).first()[0] == 512
+    assert [os.path.basename(r["path"]) for r in whole.select("path").collect()] == ["x", "y"]  # Spark leaves empty files out
+
+
+def test_text_files_in_ranges(spark, tmp_path):
+    data = {"a.md": s.markdown("ranges", 700_000), "wide": ("日本😀é" * 70_000).encode(), "bad": s.markdown("bad", 90_000) + b"\xe6\x97" + s.markdown("bad", 90_000), "cut": b"words " * 9000 + b"\xe6", "low": b"x" * 40_000 + b"\x80"}
+    for name, body in data.items():
+        (tmp_path / name).write_bytes(body)
+    for size in (10_007, 64_000):
+        rows = files.file_ranges(spark, str(tmp_path), size, TEXT).collect()
+        for name, body in data.items():
+            own = [r for r in rows if os.path.basename(r["path"]) == name]
+            try:
+                assert sorted(r["end"] for r in own) == boundaries(TEXT, body)
+            except Rejected as e:
+                assert [r["error"] for r in own] == [e.detail]
+    with pytest.raises(ValueError):
+        files.file_ranges(spark, str(tmp_path), profile="zip-v1")
+
+
+def test_faults_of_ranges_are_those_of_the_whole():
+    rng = random.Random(3)
+    for _ in range(3000):
+        data = bytearray(("aé日😀" * 4)[: rng.randint(1, 14)].encode())
+        for _ in range(rng.randint(0, 2)):
+            data[rng.randrange(len(data))] = rng.choice([0x41, 0x80, 0xBF, 0xC3, 0xE6, 0xF0, 0xFF])
+        data, step = bytes(data), rng.randint(4, 9)
+        found = []
+        for a in range(0, len(data), step):
+            b, lead = min(a + step, len(data)), min(files.LEAD, a)
+            fault = files.range_fault(data[a - lead : b + 3], lead, a, b, len(data))
+            found += [fault] if fault else []
+        try:
+            check_utf8(data)
+            assert not found, data
+        except Rejected as e:
+            assert found and (found[0].detail, found[0].offset) == (e.detail, e.offset), (data, step)
+
+
+def test_files_in_windows(spark, tmp_path):
+    data = {"a.zip": s.zip_archive([("a", s.noise("w", 500_000), False, "plain"), ("b", s.prose("w", 90_000), True, "signed")]), "empty.zip": b"", "b.zip": s.zip_archive([("c", b"x", False, "plain")])}
+    for name, body in data.items():
+        (tmp_path / name).write_bytes(body)
+    rows = chunk_windows(files.read_windows(spark, str(tmp_path), 50_000), "zip-v1").collect()
+    for name in ("a.zip", "b.zip"):
+        assert sorted(r["end"] for r in rows if r["stream_id"].endswith("/" + name)) == boundaries("zip-v1", data[name])
+    assert [r["error"] for r in rows if r["stream_id"].endswith("empty.zip")] == ["archive ends inside a record or before its end record"]
+
+
+def test_containers_are_rebuilt_in_pieces(spark):
+    entries = [("directory", b"d", b""), ("member", b"d/a", b"words"), ("symlink", b"l", b"d/a"), ("member", b"n" * 150, b"y" * 5000)]
+    rows = [(c, i, k, bytearray(p), bytearray(b)) for c in ("one", "two") for i, (k, p, b) in enumerate(entries)]
+    table = spark.createDataFrame(rows, "container string, ordinal long, kind string, path binary, content binary")
+    for kind, want in (("tar", writers.tar(entries)), ("zip", writers.zip_(entries)), ("gzip", writers.gzip(b"".join(b for _, _, b in entries)))):
+        made = writers.containers(table, kind).orderBy("container", "seq").collect()
+        assert {c: b"".join(bytes(r["data"]) for r in made if r["container"] == c) for c in ("one", "two")} == {"one": want, "two": want}
 
 
 def test_sql_functions(spark, table):
