@@ -681,3 +681,20 @@ def test_entropy_floor_goes_by_length(spark):
     kind = "doc_id long, lang string, script string, base_failed boolean, n_tokens long, chars_per_token double, byte_share double, entropy double"
     bands = quality.bands_of(spark.createDataFrame(good, kind), spark.createDataFrame([(r[0], 1) for r in good], "doc_id long, quality int"))
     assert {r["doc_id"]: r["kept"] for r in quality.judged(spark.createDataFrame(asked, kind), bands).collect()} == {2000: True, 2001: False, 2002: True, 2003: False}
+
+
+# ---------------------------------------------------------------- the registered queries
+
+
+def test_registered_queries_on_edge_rows(spark, tmp_path):
+    from sediment.llm import queries
+
+    spark.createDataFrame(EDGE, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], 1, 0) for r in EDGE if r[0] is not None], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    pages = [(1, "http://a.example/x", "<p>menu</p><p>one</p>"), (2, "http://a.example/y", "<p>menu</p><p>two</p>"), (3, None, "<p>x</p>"), (4, "nonsense", None), (None, "http://b.example", "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    for name, query in queries.QUERIES.items():
+        rows = query(spark, str(tmp_path)).collect()
+        assert len(rows) == len(pages if name == "op1_line_dedup" else EDGE), name
+        if name == "op1_line_dedup":
+            assert {r["page_id"]: r["text"] for r in rows} == {1: "one", 2: "two", 3: "x", 4: None, None: ""}
