@@ -66,7 +66,7 @@ def register(spark: SparkSession) -> None:
     spark.udf.register("cdc_media_type", parse_udf())
     spark.udf.register("cdc_detect", F.pandas_udf(detect_prefix, "array<string>"))
     spark.udf.register("cdc_canonical_ooxml", F.pandas_udf(canonical_package, "binary"))
-    spark.udtf.register("cdc_chunks", F.udtf(ChunkRows, returnType="ordinal long, start long, end long, length long, data binary, error string"))
-    spark.udtf.register("cdc_decompose", F.udtf(EventRows, returnType="seq long, kind string, depth int, container string, path binary, size long, media_type string, nested boolean, content binary, detail string"))
+    spark.udtf.register("cdc_chunks", F.udtf(ChunkRows, useArrow=True, returnType="ordinal long, start long, end long, length long, data binary, error string"))
+    spark.udtf.register("cdc_decompose", F.udtf(EventRows, useArrow=True, returnType="seq long, kind string, depth int, container string, path binary, size long, media_type string, nested boolean, content binary, detail string"))
 
 
