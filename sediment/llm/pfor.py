@@ -34,11 +34,11 @@ from sediment.llm.common import Slices, documents, key_cuts, materialize, range_
 BLOCK = 1024
 PERCENTILE = 0.95
 #: Ids of one file image.
-IMAGE = 1 << 21
+IMAGE = 1 << 20
 MAGIC = b"SPFR"
 HEADER = struct.Struct("<4sHHQQQQ")
 #: Chunks and pieces that an encoder remembers, each.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 def bit_widths(values: np.ndarray) -> np.ndarray:

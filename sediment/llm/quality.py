@@ -32,7 +32,7 @@ MAX_REPEAT_PERCENT = 50
 #: Labelled good documents that a language, or a script over all its languages, needs for a band of its own.
 MIN_LABELLED = 50
 #: Share of good labelled documents left out at either end, and the margin by which a band is widened.
-TAIL, MARGIN = 0.005, 0.005
+TAIL, MARGIN = 0.001, 0.005
 #: Decimals of the measures that quantiles are taken of; the margin is far wider.
 DECIMALS = 4
 #: Length classes, by the bits of the token count; the last takes all longer texts.
