@@ -127,13 +127,28 @@ def test_windows_out_of_turn_wait_and_repeats_are_passed_over(spark):
     schema = "stream_id long, seq long, window binary, is_last boolean"
     feed = Feed(GENERIC, 5)
     rows = [r for k in (1, 0, 0, 3, 2, 5, 1, 4) for r in feed.take(k, cut[k][2], cut[k][3])]
-    assert [r[3] for r in rows] == boundaries(GENERIC, data) and feed.over and not feed.ended()
+    assert [r[4] for r in rows] == boundaries(GENERIC, data) and feed.over and not feed.ended()
     got = chunk_windows(spark.createDataFrame([cut[k] for k in (4, 1, 1, 0, 5, 2, 3)], schema), GENERIC).orderBy("ordinal").collect()
     assert [r["end"] for r in got] == boundaries(GENERIC, data) and got[-1]["pushed"] == 6
     lacking = chunk_windows(spark.createDataFrame([cut[k] for k in (0, 1, 3)], schema), GENERIC).where("error is not null").collect()
     assert [r["error"] for r in lacking] == ["window 2 is missing"]
 
 
+def test_the_first_bytes_choose_and_are_not_lost(spark):
+    data = {1: s.zip_archive([("a", s.noise("d", 90_000), False, "plain")]), 2: s.markdown("d", 90_000), 3: b"ID3 is a tag " * 100, 4: b"\x80" * 300, 5: b""}
+    table = spark.createDataFrame([(k, bytearray(v)) for k, v in data.items()], "id long, content binary")
+    rows = chunk_windows(windows_of(table, "id", "content", 100), None).collect()
+    told = {k: {r["profile"] for r in rows if r["stream_id"] == k} for k in data}
+    assert told == {1: {"zip-v1"}, 2: {TEXT}, 3: {None}, 4: {GENERIC}, 5: set()}
+    for k in (1, 2, 4):
+        assert sorted(r["end"] for r in rows if r["stream_id"] == k) == boundaries(*told[k], data[k])
+    first = min((r["pushed"], r["error"]) for r in rows if r["stream_id"] == 3)
+    assert first == (6, f"byte prefix matches several chunking profiles ({TEXT}, framed-audio-v1); declare a media type")
+    said = chunk_windows(windows_of(table.where("id < 3"), "id", "content", 4000), "zip-v1", checked=True).orderBy("pushed").collect()
+    assert [r["end"] for r in said if r["stream_id"] == 1] == boundaries("zip-v1", data[1])
+    assert next(r["error"] for r in said if r["stream_id"] == 2) == f"declared chunking profile zip-v1 but the byte prefix is recognized as {TEXT}"
+
+
 def test_a_refused_stream_says_so_at_every_window(spark):
     rows = [(1, k, bytearray(b"abc \xff" if k == 1 else b"words "), k == 3) for k in range(4)]
     out = chunk_windows(spark.createDataFrame(rows, "stream_id long, seq long, window binary, is_last boolean"), TEXT).orderBy("pushed").collect()
