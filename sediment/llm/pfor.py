@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm.common import Slices, documents, key_cuts, materialize, range_of, scratch_path, shuffle_parts, small_batches, text_or_empty
+from sediment.llm.common import Slices, documents, key_cuts, materialize, scratch_path, shuffle_parts, small_batches, text_or_empty
 
 BLOCK = 1024
 PERCENTILE = 0.95
@@ -250,7 +250,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
     _make_folder(spark, folder)
     parts = max(1, shuffle_parts(spark))
     k = F.col(f"`{key}`").cast("long")
-    rows = docs.select(k.alias("id"), text_or_empty(f"`{text}`").alias("t"), range_of(k, key_cuts(docs, key, parts)).alias("part"))
+    rows, bounds = docs.select(k.alias("id"), text_or_empty(f"`{text}`").alias("t")), np.array(key_cuts(docs, key, parts), np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = word_ids(tokenizer)
@@ -261,7 +261,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
                     whole = np.append(ids, end_id)
                     # two bytes an id while they do: what is shuffled
                     out.append(b"\2" + whole.astype("<u2").tobytes() if whole.max() < 1 << 16 else b"\4" + whole.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=["id", "part", "ids"])
+            # the range of keys, found here: a second Python worker for it would hold its own memory
+            ids = batch.column(0)
+            part = np.where(ids.is_null(), 0, np.searchsorted(bounds, ids.fill_null(0).to_numpy(zero_copy_only=False), "right"))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(part.astype(np.int32)), pa.array(out, pa.binary())], names=["id", "part", "ids"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_ids.cache_clear()  # the worker may have encoded before: what it remembers is of no use from here on
