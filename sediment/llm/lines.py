@@ -65,7 +65,8 @@ def boilerplate(df: DataFrame, host: Column, text: Column, ratio: float = RATIO,
         once = pages.select("host_null", "host_name", F.explode(marked).alias("line"))
     counts = once.groupBy("host_null", "host_name", "line").agg(F.count("*").alias("n"))
     counts = materialize(counts.where((F.col("n") >= min_pages) | F.col("line").isNull()), made)
-    totals = counts.where(F.col("line").isNull()).select("host_null", "host_name", F.col("n").alias("pages"))
+    # a row a host, written out: its size is known, so the lines join it without being dealt by host while it is small
+    totals = materialize(counts.where(F.col("line").isNull()).select("host_null", "host_name", F.col("n").alias("pages")), made)
     often = counts.where(F.col("line").isNotNull()).join(totals, ["host_null", "host_name"])
     often = often.where(F.col("n") > F.lit(ratio) * F.col("pages"))
     return often.groupBy("host_null", "host_name").agg(F.collect_set("line").alias("lines"))
