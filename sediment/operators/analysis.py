@@ -48,6 +48,19 @@ def shared_pairs(chunks: DataFrame, name: str) -> DataFrame:
     return met.join(totals, "other").withColumn("percent", ratio(F.col("shared_bytes"), F.col("total_bytes")))
 
 
+def reuse(chunks: DataFrame, by: str, is_base: Column) -> DataFrame:
+    """By `by`, what the other side shares with its base: (by, chunks, new_chunks, total_bytes, shared_bytes, chunk_percent, byte_percent).
+
+    One row a digest is made on each side before any meet, so a repeat costs nothing; `by` groups needn't fit a task.
+    """
+    side = chunks.where("digest is not null").withColumn("__base", is_base)
+    length = F.when(~F.col("__base"), F.col("length"))
+    per = side.groupBy(by, "digest").agg(F.max("__base").alias("known"), F.count(length).alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("b"))
+    known = lambda c: F.coalesce(F.sum(F.when(F.col("known"), F.col(c))), F.lit(0))
+    out = per.groupBy(by).agg(F.sum("n").alias("chunks"), (F.sum("n") - known("n")).alias("new_chunks"), F.sum("b").alias("total_bytes"), known("b").alias("shared_bytes"))
+    return out.withColumns({"chunk_percent": ratio(F.col("chunks") - F.col("new_chunks"), F.col("chunks")), "byte_percent": ratio(F.col("shared_bytes"), F.col("total_bytes"))})
+
+
 def ratio(part: Column, total: Column) -> Column:
     """Percent; 0 of nothing."""
     return F.when(total == 0, F.lit(0.0)).otherwise(F.lit(100.0) * part / total)

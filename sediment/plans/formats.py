@@ -343,6 +343,84 @@ def package_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("form", "ordinal", F.col("name").cast("string").alias("name"), "offset", "size", F.sha2(F.substr("data", start, F.col("size").cast("int")), 256).alias("digest"))
 
 
+def _tagged(frames: bytes, tag: int) -> bytes:
+    return s.id3v2(f"tag{tag}", tag) + frames
+
+
+def _frames(seed: str, n: int) -> bytes:
+    """MP3 frames of 417 bytes, all without padding."""
+    body = s.noise(seed, 413 * n)
+    return b"".join(b"\xff\xfb\x90\0" + body[413 * i : 413 * (i + 1)] for i in range(n))
+
+
+def _flac(comment: int) -> bytes:
+    return s.flac(f"flac{comment}", comment, 0) + s.noise("flac/audio", 4 << 20)
+
+
+def _rows_xml(n: int, extra: int | None = None) -> bytes:
+    out = [f'<row r="{i}"><c>{i * 2654435761 % (1 << 32):08x}</c></row>\n' for i in range(n)]
+    if extra is not None:
+        out.insert(extra, "<row><c>one more</c></row>\n")
+    return ("<sheet>\n" + "".join(out) + "</sheet>\n").encode()
+
+
+def _movie(info: str) -> bytes:
+    return s.ebml(b"matroska") + s.element(0x18538067, s.element(0x1549A966, s.noise(info, 180)) + b"".join(s.cluster(f"clusters/{i}", 400 << 10) for i in range(4)))
+
+
+def _spliced() -> bytes:
+    packets, at = s.ts_stream("splice", 8000, 40), 4000 * 188
+    fresh = bytearray(s.ts_stream("other", 40, 40))
+    # the packet behind the splice says that the stream is discontinuous: an adaptation field with that flag
+    back = bytearray(packets[at:])
+    fresh[3], fresh[4], fresh[5] = 0x30 | fresh[3] & 15, 1, 0x80
+    back[3], back[4], back[5] = 0x30 | back[3] & 15, 1, 0x80
+    return packets[:at] + bytes(fresh) + bytes(back)
+
+
+_PAGE = b"3 0 obj\n<< /Type /Page /Rotate 90 >>\nendobj\nxref\n3 1\n0000000000 00000 n \ntrailer\n<< /Size 7 >>\nstartxref\n9\n%%EOF\n"
+#: Edits that must leave most chunks as they are: (name, profile, the stream and its edited form, the bound).
+REUSE: list[tuple[str, str, Callable[[], tuple[bytes, bytes]], str]] = [
+    *[(f"shift_{n}", "generic-cdc-v1", lambda n=n: (s.noise("shift", 2 << 20), b"x" * n + s.noise("shift", 2 << 20)), "chunk_percent > 90") for n in (1, 64, 4096, 65536)],
+    *[(f"text_shift_{n}", "structured-text-v1", lambda n=n: (s.markdown("shift", 2 << 20), b"x" * n + s.markdown("shift", 2 << 20)), "chunk_percent > 90") for n in (1, 64, 4096, 65536)],
+    ("text_insert", "structured-text-v1", lambda: (t := s.markdown("insert", 2 << 20), t[: len(t) // 2].rsplit(b"\n", 1)[0] + b"\n" + b"new words\n" * 205 + t[len(t[: len(t) // 2].rsplit(b"\n", 1)[0]) + 1 :]), "chunk_percent > 90"),
+    ("movie_remux", "isobmff-v1", lambda: (s.mp4("one", s.noise("mdat", 2 << 20)), s.mp4("two", s.noise("mdat", 2 << 20))), "new_chunks = 1"),
+    ("movie_metadata", "matroska-v1", lambda: (_movie("info/a"), _movie("info/b")), "new_chunks <= 2"),
+    *[(f"packets_{n}", "mpegts-v1", lambda n=n: (s.ts_stream("lead", 20_000, 40), s.ts_stream("before", n, 40) + s.ts_stream("lead", 20_000, 40)), "chunk_percent > 85") for n in (1, 39, 173)],
+    ("packets_splice", "mpegts-v1", lambda: (s.ts_stream("splice", 8000, 40), _spliced()), "new_chunks <= 3"),
+    ("audio_retag", "framed-audio-v1", lambda: (_tagged(f := _frames("retag", 4000), 2 << 10), _tagged(f, 9 << 10)), "new_chunks <= 4"),
+    ("audio_joined", "framed-audio-v1", lambda: ((a := _frames("first", 3000)) + (b := _frames("second", 3000)) + a, a + b), "new_chunks <= 3"),
+    ("flac_retag", "framed-audio-v1", lambda: (_flac(8 << 10), _flac(20 << 10)), "chunk_percent > 85"),
+    ("package_media", "ooxml-v1", lambda: (s.docx(s.xml("one", 90_000), s.noise("media", 340_000)), s.docx(s.xml("two", 90_000), s.noise("media", 340_000))), "shared_bytes >= 307200"),
+    ("package_row", "ooxml-v1", lambda: (s.docx(_rows_xml(12_000), b"x"), s.docx(_rows_xml(12_000, 6000), b"x")), "byte_percent > 50 and longest < 262144"),
+    ("paper_update", "pdf-v1", lambda: (s.pdf(s.prose("t", 20_000), s.noise("i", 200_000)) + _PAGE, s.pdf(s.prose("t", 20_000), s.noise("i", 200_000))), "new_chunks <= 1"),
+    ("paper_edit", "pdf-v1", lambda: (s.pdf(s.prose("t", 20_000), s.noise("i", 200 << 10)), s.pdf(s.prose("u", 21_000), s.noise("i", 200 << 10))), "byte_percent > 50"),
+    ("json_cuts", "structured-text-v1", lambda: (b"", s.minified_json("forced", 2 << 20)), "forced_percent < 25 and total_bytes / chunks < 131072"),
+]
+
+
+def reuse_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each edit leaves as many chunks or bytes as it must."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cases = {name: (profile, make) for name, profile, make, _ in REUSE}
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                profile, make = cases[name]
+                yield pa.RecordBatch.from_pydict({"name": [name] * 2, "profile": [profile] * 2, "base": [True, False], "content": list(make())})
+
+    names = spark.createDataFrame([(n,) for n, *_ in REUSE], "name string").repartition(len(REUSE), "name")
+    streams = names.mapInArrow(made, "name string, profile string, base boolean, content binary").select("name", F.col("profile").alias("p"), "base", "content")
+    chunks = api.chunk(streams, F.col("p"), keep=("name", "base"))
+    length = F.when(~F.col("base"), F.col("length"))
+    forced = chunks.groupBy("name").agg(F.max(length).alias("longest"), analysis.ratio(F.count_if(length >= 1 << 18), F.count(length)).alias("forced_percent"))
+    found = analysis.reuse(chunks, "name", F.col("base")).join(forced, "name")
+    holds = F.lit(None).cast("boolean")
+    for name, _, _, bound in REUSE:
+        holds = F.when(F.col("name") == name, F.expr(bound)).otherwise(holds)
+    return found.select("name", holds.alias("holds"))
+
+
 LONG = "years/" * 25 + "all.json"
 MEMBER_ROWS = [
     ("zip", 0, 0, "letters/one.csv", 9000, "text/csv", False, True),
@@ -402,7 +480,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         format_goldens, pushed_goldens, layout_cuts, malformed_details, decompose_members, decompose_containers, decompose_entries,
-        decompose_opaque, broken_details, inspect_lines, corpus_files, rebuilt_containers, package_geometry,
+        decompose_opaque, broken_details, inspect_lines, corpus_files, rebuilt_containers, package_geometry, reuse_targets,
     )
 }
 ORACLES = {
@@ -419,4 +497,5 @@ ORACLES = {
     "corpus_files": values(FILE_ROWS, "path, input_bytes, route, reason, members, chunks, stored_bytes, stored"),
     "rebuilt_containers": _rebuilt_sql(),
     "package_geometry": _book_sql(),
+    "reuse_targets": values([(n, True) for n, *_ in REUSE], "name, holds"),
 }
