@@ -6,8 +6,9 @@ leftmost pair of minimum rank. A merge rewrites two leaves and removes one: thre
 logarithmic cost. Short pieces go through the tree many at a time, as columns of one array; long pieces
 one by one. Results equal tiktoken's on every input.
 
-Nulls count as empty texts; an empty text has no tokens; repeated rows give repeated rows; extra columns
-are left aside. A text of any length is encoded whole: its cost is n log n in its longest piece.
+Nulls count as empty texts; an empty text has no tokens; a null id stays null; repeated rows give repeated
+rows; an empty table gives an empty result; extra columns are left aside, whatever they are called. A text of
+any length is encoded whole: its cost is n log n in its longest piece.
 """
 
 from __future__ import annotations
