@@ -1,8 +1,13 @@
 """From raw documents to token ids: quality rules, line dedup, near-duplicate join, mixing, byte-level BPE.
 
 Every stage takes what its predecessor kept, in the columns of documents, and returns it so; the last
-returns one row a document copy with its ids. Nulls, empty texts, repeated rows and empty tables follow the
-operators' own docstrings; extra columns pass through to the last stage.
+returns one row a document copy with its ids.
+
+Stage by stage: a null or empty text fails the quality rules, loses no line, is a class of its own, has size 0
+(its copies follow its source's epochs) and has no tokens. A null source is a source of its own; a null language
+is judged by script; a row without an id is a class of its own and keeps no id. Rows alike in id and text are one
+after the near duplicates. Texts of any length are taken whole. An empty table passes through every stage.
+Columns beyond those of documents pass through all stages but the last, whatever they are called.
 """
 
 from __future__ import annotations
