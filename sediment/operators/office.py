@@ -69,7 +69,7 @@ def inflate(raw: bytes, declared: int | None = None) -> tuple[bytes | None, str
     """
     decoder, out, size, rest = zlib.decompressobj(-15), [], 0, raw
     try:
-        while rest:
+        while rest and not decoder.eof:
             piece, rest = decoder.decompress(rest, INFLATED), decoder.unconsumed_tail
             size += len(piece)
             if declared is None or size <= declared:

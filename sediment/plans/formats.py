@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sediment.functions import paths, sql
 from sediment.operators import analysis, api, chunkers, push, writers
 from sediment.plans import synthetic as s
 from sediment.plans.routing import values
@@ -421,6 +422,38 @@ def reuse_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("name", holds.alias("holds"))
 
 
+def container_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What kind of container each value is by its first bytes; null for none."""
+    plain = [("words", b"words"), ("null", bytes(600)), ("short_tar", PLAIN_TAR[:500])]
+    rows = spark.createDataFrame([(n, bytearray(b)) for n, b in [*CONTAINERS, *plain]], "name string, content binary")
+    return rows.select("name", paths.container_kind(F.col("content")).alias("kind"))
+
+
+def expected_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook under both package profiles, with each Office kind expected of it."""
+    rows = _streams(spark, [("canonical", "ooxml-v1", PACKED_BOOK), ("bytes", "ooxml-ber-v1", PACKED_BOOK)])
+    out = None
+    for kind in ("word", "excel", "powerpoint"):
+        cut = api.chunk(rows, F.col("profile"), keep=("name",), expected=kind, digest=None)
+        one = cut.groupBy("name").agg((F.count("ordinal") > 0).alias("cut"), F.max("error").alias("error")).withColumn("expected", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def sql_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers taken apart, packages rewritten and media types parsed, all in SQL."""
+    sql.register(spark)
+    cases = [*[(n, b, None) for n, b in CONTAINERS], ("book", PACKED_BOOK, "Application/ZIP; v=1"), ("words", b"words", "no type")]
+    rows = spark.createDataFrame([(n, bytearray(b), t) for n, b, t in cases], "name string, content binary, declared string")
+    return spark.sql(
+        """
+        SELECT r.name, count_if(e.kind = 'member_end') AS members, count_if(e.kind = 'entry') AS entries, max(e.detail) AS detail,
+               any_value(octet_length(cdc_canonical_ooxml(r.content))) AS canonical, any_value(cdc_media_type(r.declared)).essence AS essence, any_value(cdc_media_type(r.declared)).error AS error
+        FROM {rows} r, LATERAL cdc_decompose(r.content) e GROUP BY r.name""",
+        rows=rows,
+    )
+
+
 LONG = "years/" * 25 + "all.json"
 MEMBER_ROWS = [
     ("zip", 0, 0, "letters/one.csv", 9000, "text/csv", False, True),
@@ -476,11 +509,27 @@ SELECT container, path, length(t)::BIGINT AS size, sha256(t) AS digest FROM m, (
 UNION ALL SELECT 'gzip', '', length(t)::BIGINT, sha256(t) FROM m WHERE path = 'd/letters.txt'"""
 
 
+def _sql_containers_sql() -> str:
+    rows = []
+    for name in [*dict(CONTAINERS), "book"]:
+        members = sum(r[0] == name for r in MEMBER_ROWS) if name != "book" else len(BOOK)
+        rows.append((name, members, sum(r[0] == name for r in ENTRY_ROWS), None, {"book": len(STORED_BOOK), "office": _office_size()}.get(name), "application/zip" if name == "book" else None, None))
+    rows.append(("words", 0, 0, "input is not a recognized container", None, None, "MissingSlash"))
+    return values(rows, "name, members, entries, detail, canonical, essence, error")
+
+
+def _office_size() -> int:
+    """Headers of 30 bytes with names and bodies, descriptors of 16, directory entries of 46 with names, and an end of 22."""
+    members = [(r[3], r[4]) for r in MEMBER_ROWS if r[0] == "office"]
+    return sum(30 + 2 * len(n) + size + 16 + 46 for n, size in members) + 22
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         format_goldens, pushed_goldens, layout_cuts, malformed_details, decompose_members, decompose_containers, decompose_entries,
         decompose_opaque, broken_details, inspect_lines, corpus_files, rebuilt_containers, package_geometry, reuse_targets,
+        container_kinds, expected_kinds, sql_containers,
     )
 }
 ORACLES = {
@@ -497,5 +546,8 @@ ORACLES = {
     "corpus_files": values(FILE_ROWS, "path, input_bytes, route, reason, members, chunks, stored_bytes, stored"),
     "rebuilt_containers": _rebuilt_sql(),
     "package_geometry": _book_sql(),
+    "container_kinds": values([(n, {"zip": "zip", "office": "zip", "tar": "tar", "targz": "gzip", "gz": "gzip", "gz_joined": "gzip", "nested": "tar", "misnamed": "tar"}.get(n)) for n in [*dict(CONTAINERS), "words", "null", "short_tar"]], "name, kind"),
+    "expected_kinds": values([(n, k == "excel", None if k == "excel" else "declared Office kind's main part is missing", k) for n in ("canonical", "bytes") for k in ("word", "excel", "powerpoint")], "name, cut, error, expected"),
+    "sql_containers": _sql_containers_sql(),
     "reuse_targets": values([(n, True) for n, *_ in REUSE], "name, holds"),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sediment.functions import media_type, paths, probe
 from sediment.functions.profiles import GENERIC, PROFILES
+from sediment.operators import api
 
 # Own inputs: what RFC 6838 and RFC 9110 say of names, parameters and quoted strings, and the formats' own magics.
 MEDIA_TYPES = [
@@ -191,6 +192,15 @@ def detect_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _detect(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html")
 
 
+def checked_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of documents under three declarations, where their first bytes let it stand."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.encode(F.col("text"), "UTF-8").alias("content"))
+    return docs.select("doc_id", *[api.by_checked_declaration(F.lit(t), F.col("content")).alias(n) for n, t in DECLARED.items()])
+
+
+DECLARED = {"as_text": "Text/Markdown; charset=utf-8", "as_pdf": "application/pdf", "as_other": "application/x-own"}
+
+
 def _detect_sql(table: str, key: str, text: str) -> str:
     return rf"""
 WITH p AS (SELECT {key}, hex(encode({text})[1:512]) AS h FROM {table}),
@@ -265,7 +275,7 @@ def detected_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union.select("lang", F.array_join(paths.set_names(F.col("bits")), ", ").alias("profiles"))
 
 
-QUERIES = {f.__name__: f for f in (registry_v1, registry_v2, registry_diff, profile_dim, media_type_parse, media_type_errors, select_profiles, detect_signatures, detect_documents, detect_pages, reconcile_matrix, member_inference, path_predicates, detected_sets)}
+QUERIES = {f.__name__: f for f in (registry_v1, registry_v2, registry_diff, profile_dim, media_type_parse, media_type_errors, select_profiles, detect_signatures, detect_documents, detect_pages, reconcile_matrix, member_inference, path_predicates, detected_sets, checked_declarations)}
 ORACLES = {
     "registry_v1": REGISTRY_1,
     "registry_v2": REGISTRY_2,
@@ -278,6 +288,8 @@ ORACLES = {
     "detect_documents": _detect_sql("documents", "doc_id", "text"),
     "detect_pages": _detect_sql("pages", "page_id", "html"),
     "reconcile_matrix": RECONCILE_SQL,
+    "checked_declarations": f"""SELECT doc_id, CASE WHEN detected = '' OR detected LIKE '%structured-text-v1%' THEN 'structured-text-v1' END AS as_text,
+       CASE WHEN detected = '' OR detected LIKE '%pdf-v1%' THEN 'pdf-v1' END AS as_pdf, 'generic-cdc-v1' AS as_other FROM ({_detect_sql("documents", "doc_id", "text")})""",
     "path_predicates": values(PATHS, "path, extension, media_type, wrapped_tar, safe, xml_part, office"),
     "detected_sets": f"""SELECT lang, concat_ws(', ', CASE WHEN bool_or(detected LIKE '%text%') THEN 'structured-text-v1' END, CASE WHEN bool_or(detected LIKE '%mpegts%') THEN 'mpegts-v1' END,
        CASE WHEN bool_or(detected LIKE '%audio%') THEN 'framed-audio-v1' END, CASE WHEN bool_or(detected LIKE '%pdf%') THEN 'pdf-v1' END) AS profiles

@@ -49,6 +49,26 @@ def test_malformed(data, detail):
     assert e.value.kind == "Malformed" and e.value.detail == detail
 
 
+def test_members_are_bounded(monkeypatch):
+    from sediment.operators import decompose as d
+
+    assert d.MAX_MEMBERS == 1_000_000
+    monkeypatch.setattr(d, "MAX_MEMBERS", 3)
+    many = s.tar([(b"m%d" % i, b"x", b"0", b"") for i in range(4)])
+    assert len([e for e in decompose(s.tar([(b"m%d" % i, b"x", b"0", b"") for i in range(3)])) if e.kind == "member_end"]) == 3
+    with pytest.raises(Opaque) as e:
+        decompose(many)
+    assert e.value.kind == "MetadataOverBound"
+
+
+def test_a_member_larger_than_declared_is_refused_before_it_is_held():
+    from sediment.operators.office import inflate
+
+    raw = s.raw_deflate(bytes(50_000_000))
+    assert inflate(raw, 10) == (None, "size") and inflate(raw[:-1], 10) == (None, "geometry") and inflate(raw + b"x", 10) == (None, "geometry")
+    assert inflate(s.raw_deflate(b"words"), 5) == (b"words", None) and inflate(b"\xff\xff", 5)[1] == "malformed"
+
+
 def test_padding_follows_an_overriding_size():
     """A pax size that differs from the header's field frames the data by the size that holds."""
     body = b"q" * 700
