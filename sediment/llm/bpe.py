@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +23,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm.common import Growing, WordTable, documents, fresh, gather, small_batches, text_or_empty
+from sediment.llm.common import Slices, documents, fresh, gather, remembered, small_batches, text_or_empty
 
 #: Pieces of up to this many bytes go through the batched tree.
 SHORT = 32
 #: Distinct chunks a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 NONE = np.int64(1) << 60
 
 
@@ -192,13 +191,8 @@ class Encoder:
     def __init__(self, vocabulary_path: str, pattern: str) -> None:
         self.vocabulary = Vocabulary(vocabulary_path)
         self.findall = regex.compile(pattern).findall
-        self.reset()
-
-    def reset(self) -> None:
-        self.table, self.pieces = WordTable(REMEMBERED), WordTable(REMEMBERED)
-        #: ids of pieces: where each starts, how many; ids of chunks likewise; chunks that can't stand alone.
-        self.piece_ids, self.piece_start, self.piece_len = Growing(np.int64), Growing(np.int64), Growing(np.int64)
-        self.ids, self.start, self.len, self.odd = Growing(np.int64), Growing(np.int64), Growing(np.int64), Growing(bool)
+        #: A chunk without ids can't stand alone.
+        self.chunks, self.pieces = Slices(REMEMBERED), Slices(REMEMBERED)
 
     def learn(self) -> None:
         """Encode the chunks not seen before.
@@ -207,45 +201,36 @@ class Encoder:
         end; a chunk that begins a text is kept with a mark before it. White space at the edge of a chunk
         touches other white space, so the texts that hold such a chunk are split as a whole.
         """
-        fresh, self.table.fresh = self.table.fresh, []
-        found, odd = [], []
-        for chunk in fresh:
+        found = []
+        for chunk in self.chunks.fresh():
             body = chunk[1:] if chunk[:1] in ("\0", "\n") else chunk
-            odd.append(not body or body[0].isspace() or body[-1].isspace())
-            found.append(() if odd[-1] else self.findall(body if chunk[0] == "\0" else chunk if chunk[0] == "\n" else " " + chunk))
-        at = self.pieces.numbers([p for x in found for p in x])
-        new, self.pieces.fresh = self.pieces.fresh, []
+            odd = not body or body[0].isspace() or body[-1].isspace()
+            found.append(() if odd else self.findall(body if chunk[0] == "\0" else chunk if chunk[0] == "\n" else " " + chunk))
+        self.pieces.renew()
+        at = self.pieces.table.numbers([p for x in found for p in x])
+        new = self.pieces.fresh()
         ids, starts, lens = self.vocabulary.encode_pieces([p.encode() for p in new])
-        self.piece_start.extend(starts + self.piece_ids.n)
-        self.piece_len.extend(lens)
-        self.piece_ids.extend(ids)
-        lens = self.piece_len.view()[at]
-        ends = np.concatenate([[0], np.cumsum(lens)])[np.cumsum([0, *map(len, found)])]
-        self.start.extend(ends[:-1] + self.ids.n)
-        self.len.extend(np.diff(ends))
-        self.odd.extend(odd)
-        self.ids.extend(gather(self.piece_ids.view(), self.piece_start.view()[at], lens))
+        self.pieces.add(gather(ids, starts, lens), lens)
+        self.pieces.noted(at)
+        ends = np.concatenate([[0], np.cumsum(self.pieces.len.view()[at])])[np.cumsum([0, *map(len, found)])]
+        self.chunks.add(self.pieces.of(at), np.diff(ends))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.table.full() or self.pieces.full():
-            self.reset()
-        numbers = [None if "\0" in t else self.table.numbers(("\0" + t.replace("\n", " \n")).split(" ")) for t in texts]
-        if self.table.fresh:
+        self.chunks.renew()
+        numbers = [None if "\0" in t else self.chunks.table.numbers(("\0" + t.replace("\n", " \n")).split(" ")) for t in texts]
+        if self.chunks.table.fresh:
             self.learn()
-        ids, start, lens, odd = self.ids.view(), self.start.view(), self.len.view(), self.odd.view()
-        return [self.vocabulary.encode_one(self.findall(t)) if at is None or odd[at].any() else gather(ids, start[at], lens[at]) for t, at in zip(texts, numbers, strict=True)]
+        known = [at for at in numbers if at is not None]
+        if known:
+            self.chunks.noted(np.concatenate(known))
+        lens = self.chunks.len.view()
+        return [self.vocabulary.encode_one(self.findall(t)) if at is None or not lens[at].all() else self.chunks.of(at) for t, at in zip(texts, numbers, strict=True)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         tokens = self.vocabulary.tokens
         return b"".join([tokens[i] for i in ids.tolist()])
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Encoder:
-    """One per worker process, which lives through many tasks."""
-    return Encoder(path, pattern)
-
-
 def encode_column(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep`, `ids` (array of int) and `decoded` (the bytes the ids stand for)."""
     small_batches(df.sparkSession)
@@ -253,7 +238,7 @@ def encode_column(df: DataFrame, vocabulary: str, pattern: str, text: str = "tex
     schema = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in keep) + ", ids array<int>, decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, pattern)
+        enc = remembered(Encoder, vocabulary, pattern)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
@@ -273,7 +258,7 @@ def digest_column(df: DataFrame, vocabulary: str, pattern: str, text: str = "tex
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, pattern)
+        enc = remembered(Encoder, vocabulary, pattern)
         names = [str(i) for i in range(enc.vocabulary.width)]
         for batch in batches:
             counts, spelled, decoded = [], [], []

@@ -6,6 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -146,8 +147,7 @@ class Growing:
 class WordTable(dict):
     """Word -> dense number, in order of first sight; a new word is noted in `fresh`.
 
-    A worker keeps one for its life and drops it whole when it holds `limit` words, so memory stays
-    bounded however large the vocabulary; a number holds only until the next `renew`.
+    Memory stays bounded however large the vocabulary: who keeps one starts anew once it holds `limit` words.
     """
 
     def __init__(self, limit: int) -> None:
@@ -216,6 +216,26 @@ class Slices:
         self.add(flat, lens)
 
 
+_remembered: dict = {}
+
+
+def remembered(make: Callable, *args):
+    """What a worker remembers for the operator at work: make(*args), kept through its tasks.
+
+    A worker serves one operator after the other; what it remembered for the last is forgotten then, so that
+    it holds one cache at a time.
+    """
+    key = (make, args)
+    if key not in _remembered:
+        _remembered.clear()
+        _remembered[key] = make(*args)
+    return _remembered[key]
+
+
+def forget() -> None:
+    _remembered.clear()
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm.common import WordTable, documents, materialize, mix64, release, signed, small_batches, text_or_empty
+from sediment.llm.common import WordTable, documents, materialize, mix64, release, remembered, signed, small_batches, text_or_empty
 from sediment.llm.components import components
 
 SHINGLE = 5
@@ -196,7 +196,7 @@ def _sets(docs: DataFrame, key: str, text: str, threshold: float, runs: int) ->
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Shingler()
+        cutter = remembered(Shingler)
         for batch in batches:
             k, n, sk, paths = [], [], [], []
             for t in batch.column(2).to_pylist():
@@ -291,7 +291,7 @@ def _differences(rows: DataFrame) -> DataFrame:
     dealt = dealt.repartition("g", "chunk").sortWithinPartitions("g", "chunk", F.col("lead").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, at, first = Shingler(), None, np.empty(0, np.uint64)
+        cutter, at, first = remembered(Shingler), None, np.empty(0, np.uint64)
         for batch in batches:
             kept, numbers, diffs = [], [], []
             for i, (g, chunk, lead, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("g", "chunk", "lead", "t")), strict=True)):
@@ -379,7 +379,7 @@ def _exact(rows: DataFrame, threshold: float, block: int) -> DataFrame:
 def _split(rows: DataFrame, threshold: float) -> DataFrame:
     """rows (k, label, over, t) -> (k, label, paths): the next level of the paths in `over`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Shingler()
+        cutter = remembered(Shingler)
         for batch in batches:
             new = [signed(chosen(cutter.shingles(t), np.array(p, np.int64).view(np.uint64), threshold)) for p, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new, pa.list_(pa.int64()))], names=["k", "label", "paths"])

@@ -21,7 +21,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm.common import Slices, documents, key_cuts, materialize, scratch_path, shuffle_parts, small_batches, text_or_empty
+from sediment.llm.common import Slices, documents, forget, key_cuts, materialize, remembered, scratch_path, shuffle_parts, small_batches, text_or_empty
 
 BLOCK = 1024
 PERCENTILE = 0.95
@@ -216,11 +215,6 @@ def spelled(piece: str) -> str:
     return piece.encode().decode("latin-1").translate(BYTE_ALPHABET)
 
 
-@lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
-
-
 def _put(folder: str, name: str, data: bytes) -> None:
     """Write a file under a name of its own, then give it its name, so that it appears whole."""
     store, base = fs.FileSystem.from_uri(folder)
@@ -253,7 +247,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
     rows, bounds = docs.select(k.alias("id"), text_or_empty(f"`{text}`").alias("t")), np.array(key_cuts(docs, key, parts), np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = word_ids(tokenizer)
+        made = remembered(WordIds, tokenizer)
         for batch in batches:
             texts, out = batch.column(1).to_pylist(), []
             for a in range(0, len(texts), 256):
@@ -267,7 +261,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
             yield pa.RecordBatch.from_arrays([ids, pa.array(part.astype(np.int32)), pa.array(out, pa.binary())], names=["id", "part", "ids"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_ids.cache_clear()  # the worker may have encoded before: what it remembers is of no use from here on
+        forget()  # the worker may have encoded before: what it remembers is of no use from here on
         keys, held, size, part, seq, before = [], [], 0, None, 0, 0
 
         def written() -> pa.RecordBatch:
@@ -310,7 +304,7 @@ def read_token_files(files: DataFrame, folder: str, key: str = "doc_id") -> Data
     images = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder).select("content", F.element_at(F.array(*map(F.lit, starts)).cast("array<long>"), part + 1).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_ids.cache_clear()
+        forget()
         for batch in batches:
             for data, first in zip(batch.column(0), batch.column(1), strict=True):
                 keys, at, ids = read_image(data.as_py())

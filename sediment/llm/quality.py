@@ -18,14 +18,13 @@ left aside elsewhere, whatever they are called.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm.common import Growing, WordTable, documents, fresh, gather, materialize, small_batches, text_or_empty
+from sediment.llm.common import Slices, documents, fresh, materialize, remembered, small_batches, text_or_empty
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -37,7 +36,7 @@ TAIL, MARGIN = 0.001, 0.005
 DECIMALS = 4
 #: Length classes, by the bits of the token count; the last takes all longer texts.
 LENGTHS = 40
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 #: (least characters per token, most, most byte fallback, least entropy in bits) of scripts without labels.
 SCRIPT_BANDS = {
@@ -119,29 +118,24 @@ class Meter:
         self.cut = sentencepiece.SentencePieceProcessor(model_file=model)
         size = self.cut.get_piece_size()
         self.fallback = np.fromiter((self.cut.is_byte(i) for i in range(size)), bool, size)
-        self.reset()
-
-    def reset(self) -> None:
-        self.table, self.ids, self.start, self.len = WordTable(REMEMBERED), Growing(np.int32), Growing(np.int64), Growing(np.int64)
+        self.words = Slices(REMEMBERED)
 
     def learn(self) -> None:
-        fresh, self.table.fresh = self.table.fresh, []
-        ids = self.cut.encode([w.decode() for w in fresh], num_threads=1)
+        ids = self.cut.encode([w.decode() for w in self.words.fresh()], num_threads=1)
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.start.extend(self.ids.n + np.cumsum(lens) - lens)
-        self.len.extend(lens)
-        self.ids.extend(np.fromiter((i for x in ids for i in x), np.int32, int(lens.sum())))
+        self.words.add(np.fromiter((i for x in ids for i in x), np.int32, int(lens.sum())), lens)
 
     def measure(self, texts: list[str]) -> list[tuple]:
-        if self.table.full():
-            self.reset()
+        self.words.renew()
         bodies = [t.encode() for t in texts]
-        numbers = [self.table.numbers(b.split()) for b in bodies]
-        if self.table.fresh:
+        numbers = [self.words.table.numbers(b.split()) for b in bodies]
+        if self.words.table.fresh:
             self.learn()
+        if numbers:
+            self.words.noted(np.concatenate(numbers))
         out = []
         for text, body, at in zip(texts, bodies, numbers, strict=True):
-            ids = gather(self.ids.view(), self.start.view()[at], self.len.view()[at])
+            ids = self.words.of(at)
             word_chars = len(text) - sum(body.count(bytes([b])) for b in BLANKS)
             if len(ids):
                 counts = np.bincount(ids)
@@ -155,11 +149,6 @@ class Meter:
         return out
 
 
-@lru_cache(maxsize=2)
-def meter(model: str) -> Meter:
-    return Meter(model)
-
-
 def band_of(bands: dict | None, language: str | None, script: str) -> tuple:
     """The band of the language, else the fitted band of the script (under the key ("script", its name)), else the fixed one."""
     bands = bands or {}
@@ -180,7 +169,7 @@ def _measured(df: DataFrame, model: str, bands: dict | None, text: str, lang: st
     extra = [] if only_kept else [MEASURE_SCHEMA, "base_failed boolean, kept boolean"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gauge = meter(model)
+        gauge = remembered(Meter, model)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
@@ -262,10 +251,22 @@ def fertility(docs: DataFrame, model: str, bands: dict[str, tuple] | None = None
 
 
 def keep_good(docs: DataFrame, model: str, bands: dict[str, tuple] | None = None, text: str = "text", lang: str | None = "lang") -> DataFrame:
-    """The rows of docs that pass, with all their columns."""
+    """The rows of docs that pass given bands, with all their columns."""
     return _measured(docs, model, bands, text, lang, docs.columns, only_kept=True)
 
 
+def fit_and_keep(docs: DataFrame, labels: DataFrame, model: str, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of docs that pass the bands of their own labelled documents, with all their columns.
+
+    The texts are measured once: rows are written out with their measures, the bands come from the measures
+    alone, and the rows are read again.
+    """
+    whole = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row")
+    packed = docs.select(whole, F.col(f"`{key}`").alias("doc_id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("t"))
+    measured = materialize(_measured(packed, model, None, "t", "lang", ["row", "doc_id", "lang"]))
+    return judged(measured, bands_of(measured, labels)).where("kept").select("row.*")
+
+
 def production_model() -> str:
     import public_tokenizers
 

@@ -24,7 +24,6 @@ parsed whole, in one task; extra columns are left aside, whatever they are calle
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +31,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm.common import WordTable, documents, materialize, mix64, release, signed, small_batches, text_or_empty
+from sediment.llm.common import WordTable, documents, materialize, mix64, release, remembered, signed, small_batches, text_or_empty
 
 WINDOW = 35
 GRAM = 10
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 #: Odd, so that it has an inverse modulo 2^64 (public splitmix constant).
 BASE = 0x9E3779B97F4A7C15
 
@@ -100,11 +99,6 @@ class Cutter:
         return grams[gram], mix64(whole + (gram - starts).astype(np.uint64)), starts, counts
 
 
-@lru_cache(maxsize=1)
-def cutter() -> Cutter:
-    return Cutter()
-
-
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     body = text_or_empty(f"`{text}`")
     return docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{key}`"), body).alias("th"), body.alias("t"))
@@ -114,7 +108,7 @@ def _index(rows: DataFrame, kind: str) -> DataFrame:
     """(gram, block, id, th, a, m): a row a block of a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = cutter()
+        cut = remembered(Cutter)
         for batch in batches:
             found = [cut.blocks(cut.words(t)) for t in batch.column(2).to_pylist()]
             sizes = np.array([len(f[0]) for f in found], np.int64)
@@ -129,7 +123,7 @@ def _windows(rows: DataFrame, kind: str) -> DataFrame:
     """rows (id, th, t, asked array<(gram, block, a, m, c)>) -> (gram, window, id, th, a, c): a row a window of the blocks asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = cutter()
+        cut = remembered(Cutter)
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for id_, th, t, asked in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
