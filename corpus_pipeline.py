@@ -25,11 +25,9 @@ MIN_TEXTS = 5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or leave their language's fertility bands go."""
+    """Documents that fail the base rules or leave their language's fertility bands, those of the labelled ones among them, go."""
     prepare(spark)
-    model = quality.production_model()
-    bands = quality.fit_bands(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), model)
-    return quality.keep_good(docs, model, bands)
+    return quality.fit_and_keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), quality.production_model())
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
