@@ -114,8 +114,6 @@ class Shingler:
         return np.unique(h)
 
 
-
-
 MULTIPLIERS = mix64(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -431,8 +429,10 @@ def _grouped_by_runs(docs: DataFrame, key: str, text: str, classes: DataFrame, t
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET, levels: int | None = None, block: int = BLOCK) -> DataFrame:
     """(id, th, class_id, n_links, n_linked_sets, keeper): a row a document; keeper marks one document of each class."""
     levels = levels or levels_for(docs.count())
-    agree, made = least_agreement(threshold, recall), []
-    members = materialize(_sets(docs, key, text, threshold, FIRST_RUNS + runs_needed(threshold, recall, levels)))
+    agree, made, runs = least_agreement(threshold, recall), [], FIRST_RUNS + runs_needed(threshold, recall, levels)
+    if runs > 1 << RUN_BITS:
+        raise ValueError(f"{runs} runs for a recall of {recall}; paths can tell {1 << RUN_BITS} apart")
+    members = materialize(_sets(docs, key, text, threshold, runs))
     classes = materialize(members.where("k is not null").groupBy("k").agg(F.count("*").alias("copies"), F.min(F.struct("id", "th")).alias("rep"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("paths").alias("paths")))
     run_of, groups = F.col("path").bitwiseAND((1 << RUN_BITS) - 1), None
     for some_runs in (run_of < FIRST_RUNS, run_of >= FIRST_RUNS):
