@@ -335,9 +335,9 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def _exact(rows: DataFrame, threshold: float, block: int) -> DataFrame:
+def _exact(rows: DataFrame, threshold: float, block: int, made: list[DataFrame]) -> DataFrame:
     """rows of _differences -> (k, root, links, sets): exact links within each pair of blocks of a group."""
-    sizes = rows.groupBy("g").agg(F.sum(F.octet_length("diff")).alias("bytes"))
+    sizes = materialize(rows.groupBy("g").agg(F.sum(F.octet_length("diff")).alias("bytes")), made)
     rows = rows.join(sizes, "g")
     parts = F.greatest(_parts(F.col("size"), F.col("size"), block), F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int"))
     dealt = rows.withColumn("own", _own(parts)).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -438,15 +438,16 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     for some_runs in (run_of < FIRST_RUNS, run_of >= FIRST_RUNS):
         groups = _grouped_by_runs(docs, key, text, classes, threshold, agree, bucket, levels, block, some_runs, groups)
         made.append(groups)
-    sizes = groups.groupBy("g").agg(F.count("*").alias("size"))
+    # written out, so that a large group's rows aren't dealt by group to meet its size
+    sizes = materialize(groups.groupBy("g").agg(F.count("*").alias("size")), made)
     wanted = groups.join(sizes, "g").join(classes.select("k", "copies", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th")), "k")
     differences = materialize(_differences(_with_text(docs, key, text, wanted)), made)
-    judged = materialize(_exact(differences, threshold, block), made)
+    judged = materialize(_exact(differences, threshold, block, made), made)
     links = judged.groupBy("k").agg(F.sum("links").alias("links"), F.sum("sets").alias("sets"))
     joined = components(judged.where("k <> root").select("k", "root"))
     made.append(joined)
     # the id of a class is the least among its documents, whatever its sets' names are
-    named = joined.join(classes.select("k", "rep"), "k").groupBy("g").agg(F.min("rep").alias("first"))
+    named = materialize(joined.join(classes.select("k", "rep"), "k").groupBy("g").agg(F.min("rep").alias("first")), made)
     named = joined.join(named, "g").select("k", "first")
     per_set = classes.select("k", "copies", "rep").join(links, "k", "left").join(named, "k", "left")
     per_set = materialize(per_set.select("k", F.coalesce("first", "rep").alias("first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("sets", F.lit(0)).alias("n_linked_sets")))
