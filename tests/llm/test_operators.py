@@ -429,6 +429,31 @@ def test_likeness_equals_brute_force(spark):
         assert (near[r[0]]["near_edited"], near[r[0]]["near_next"]) == pytest.approx(want, abs=0.2)
 
 
+def test_fingerprint_query_keeps_every_anchor(spark, tmp_path):
+    passage = sentence("passage", 12)
+    texts = [sentence("x", 500) + passage + sentence("y", 90), sentence("z", 450) + passage + sentence("w", 300), sentence("v", 600), "short", "", None, "k" * 30, sentence("u", 7), "ab"]
+    texts += [" ".join(reversed(texts[2].split())), texts[2], sentence("x", 500) + " and " + sentence("x", 200)]
+    frame(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)]).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in fingerprints.op6_closed_syncmers(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        t, n = t or "", texts[i - 1] or ""
+        points, new = np.frombuffer(t.encode("utf-32-le"), np.uint32), fingerprints.edited(t, n)
+        assert len(got[i]["fingerprint"]) == 16 * len({h >> 16 for h in fingerprints.syncmers(points)[0].tolist()})
+        assert got[i]["edited_fingerprint"] == fingerprints.fingerprint(new, None)
+        assert (got[i]["near_edited"], got[i]["near_next"]) == pytest.approx((slow_likeness(t, new), slow_likeness(t, n)))
+    assert len(got[0]["fingerprint"]) > 16 * fingerprints.KEPT and got[1]["near_next"] > 0  # a passage of two long texts
+
+
+def test_edited_syncmers_equal_those_of_the_edited_text():
+    rng = random.Random(6)
+    texts = [sentence(i, 30)[: rng.choice([0, 1, 2, 3, 22, 23, 24, 25, 26, 35, 36, 37, 71, 72, 73, 150])] for i in range(60)]
+    read = [(p, *fingerprints.syncmers(p)) for p in (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts)]
+    for (t, a), (u, b) in zip(zip(texts, read, strict=True), [*zip(texts, read, strict=True)][1:] + [(texts[0], read[0])], strict=True):
+        new = np.frombuffer(fingerprints.edited(t, u).encode("utf-32-le"), np.uint32)
+        hashes, places, n = fingerprints._edited_syncmers(a, b)
+        assert n == len(new) and [x.tolist() for x in (hashes, places)] == [x.tolist() for x in fingerprints.syncmers(new)]
+
+
 def test_next_documents(docs, none):
     rows = fingerprints.compare_with_next(docs).collect()
     order = sorted(EDGE, key=lambda r: (r[0] is None, -(r[0] or 0), text(r)))
