@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -165,6 +166,18 @@ class WordTable(dict):
     def numbers(self, words: list) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
+    def numbers_of(self, words: pa.Array) -> np.ndarray:
+        """`numbers` of an Arrow column: each distinct word is looked up once, the new ones are noted in bulk."""
+        told = words.dictionary_encode()
+        distinct = told.dictionary.to_numpy(zero_copy_only=False)
+        at = np.fromiter(map(self.get, distinct.tolist(), repeat(-1)), np.int64, len(distinct))
+        unseen = np.flatnonzero(at < 0)
+        at[unseen] = np.arange(len(self), len(self) + len(unseen))
+        new = distinct[unseen].tolist()
+        self.update(zip(new, at[unseen].tolist(), strict=True))
+        self.fresh += new
+        return at[told.indices.to_numpy()]
+
 
 def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The slices flat[starts[i] : starts[i] + lens[i]], one after the other."""

@@ -9,12 +9,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sediment.llm import bpe, fingerprints, jaccard, lines, mixing, pfor, pii, quality, sharding, substrings
+from sediment.llm.common import WordTable
 from sediment.llm.components import components
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -500,6 +502,32 @@ def test_word_ids_forget_what_is_rare(monkeypatch):
     assert "again!" in made.chunks.table and sentence(0, 30).split()[0] not in made.chunks.table
 
 
+def test_word_ids_look_a_chunk_up_once_a_batch():
+    class Counted(WordTable):
+        asked = 0
+
+        def get(self, *args):
+            Counted.asked += 1
+            return super().get(*args)
+
+        def __getitem__(self, word):
+            Counted.asked += 1
+            return super().__getitem__(word)
+
+    path = P.path("word_bpe_49k.json")
+    tk = Tokenizer.from_file(path)
+    made, texts = pfor.WordIds(path), ["The same words,\nthe  same 日本 words,", "", " ", "日本", "The The\t"] * 100
+    made.chunks.table = Counted(1000)
+    want = [e.ids for e in tk.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):  # new chunks, known ones
+        Counted.asked = 0
+        assert [x.tolist() for x in made.encode(texts)] == want
+        assert 0 < Counted.asked <= 8
+    ids, ends = made.flat(pa.array(texts).slice(250, 5))
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == want[250:255]
+    assert made.encode([]) == []
+
+
 def test_token_files(docs, none, tmp_path):
     path = P.path("word_bpe_49k.json")
     tk = Tokenizer.from_file(path)
