@@ -111,6 +111,13 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def dense_tables(spark: SparkSession) -> None:
+    """Have Parquet tables written with zstd, unless the session names a codec. The setting is the session's."""
+    key = "spark.sql.parquet.compression.codec"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, "zstd")
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,7 +12,8 @@ A null text counts as empty; a text shorter than a k-mer has one anchor, of the
 has the empty fingerprint, which is like itself (1) and like nothing else (0); equal texts have equal
 fingerprints; an empty table gives an empty result; extra columns are left aside, whatever they are called;
 texts of any length are read whole; as a string of Spark holds 2 GB, a text whose fingerprint takes every
-anchor can have some 600 million characters.
+anchor can have some 600 million characters. Fingerprints are hex digits, which Parquet's default codec leaves as
+long as they are; the query has its result written with zstd, unless the session names a codec.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm.common import documents, key_cuts, mix64, range_of, shuffle_parts, small_batches, text_or_empty
+from sediment.llm.common import dense_tables, documents, key_cuts, mix64, range_of, shuffle_parts, small_batches, text_or_empty
 
 K, S = 24, 16
 KEPT = 96
@@ -243,4 +244,5 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def op6_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense_tables(spark)
     return compare_with_next(documents(spark, sf_dir), kept=None)

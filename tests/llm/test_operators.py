@@ -446,6 +446,21 @@ def test_fingerprint_query_keeps_every_anchor(spark, tmp_path):
     assert len(got[0]["fingerprint"]) > 16 * fingerprints.KEPT and got[1]["near_next"] > 0  # a passage of two long texts
 
 
+@pytest.mark.parametrize("named", [None, "snappy"])
+def test_fingerprints_take_half_a_byte_a_digit(spark, tmp_path, named):
+    key = "spark.sql.parquet.compression.codec"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, named) if named else spark.conf.unset(key)
+        frame(spark, [(i, sentence(f"dense {i}", 800), "en", "a", 1) for i in range(40)]).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+        fingerprints.op6_closed_syncmers(spark, str(tmp_path)).coalesce(1).write.parquet(f"{tmp_path}/out")
+        digits = spark.read.parquet(f"{tmp_path}/out").agg(F.sum(F.length("fingerprint") + F.length("edited_fingerprint"))).first()[0]
+        share = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) / digits
+        assert share < 0.6 if named is None else share > 0.6  # a codec that the session names stays
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def test_edited_syncmers_equal_those_of_the_edited_text():
     rng = random.Random(6)
     texts = [sentence(i, 30)[: rng.choice([0, 1, 2, 3, 22, 23, 24, 25, 26, 35, 36, 37, 71, 72, 73, 150])] for i in range(60)]
