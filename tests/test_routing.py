@@ -59,6 +59,17 @@ def test_columns_equal_functions(spark):
         assert [got[i] for i in range(len(cases))] == [probe.detect(c, version) for c in cases]
 
 
+def test_texts_that_also_look_like_a_box(spark, tmp_path):
+    from sediment.plans.routing import detect_documents, detected_sets
+
+    # the first box of a media file: a size of 8 or more, or 0 or 1, and `free`; the reference then tells both
+    rows = [(1, "en", "It ofreerwhble. Thatly hean"), (2, "de", "It of reerwhble"), (3, "en", None)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    both = "structured-text-v1, isobmff-v1"
+    assert sorted(map(tuple, detect_documents(spark, str(tmp_path)).collect())) == [(1, both, "ambiguous", None), (2, "structured-text-v1", "recognized", "structured-text-v1"), (3, "", "unrecognized", "generic-cdc-v1")]
+    assert sorted(map(tuple, detected_sets(spark, str(tmp_path)).collect())) == [("de", "structured-text-v1"), ("en", both)]
+
+
 def test_extensions():
     assert extension(b"a/b.tar.GZ") == "gz" and extension(b"a.b/c") is None and extension(b"x.") is None
     assert extension(b"x.ninechars") is None and extension(b"x.\xff") is None
