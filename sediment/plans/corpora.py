@@ -1,7 +1,7 @@
 """Queries that cut the test tables: documents one by one, and each language's or source's texts as one stream.
 
-A stream is fed document by document, in order of doc_id, through a state of two chunks at most; no task holds
-a stream, whatever its size.
+A stream's documents are hashed where they lie; its cuts are chosen in order of doc_id from a short row a document,
+and chunks are hashed apart (streaming.joined). No task holds a stream, whatever its size.
 """
 
 from __future__ import annotations
@@ -18,30 +18,22 @@ from sediment.functions.profiles import GENERIC, TEXT
 from sediment.operators import analysis, api
 from sediment.plans.routing import _detect_sql
 from sediment.streaming.feed import chunk_windows, windows_of
+from sediment.streaming.joined import chunk_joined
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
 
 
-def stream_windows(docs: DataFrame, by: str) -> DataFrame:
-    """(stream_id, seq, window, is_last): the texts of each value of `by`, in order of doc_id, joined by line ends; a document a window."""
-    whole = W.partitionBy(by)
-    rows = docs.select(by, "text", F.row_number().over(whole.orderBy("doc_id")).alias("at"), F.count("*").over(whole).alias("n"))
-    body = F.concat(F.when(F.col("at") > 1, F.lit("\n")).otherwise(F.lit("")), F.coalesce("text", F.lit("")))
-    return rows.select(F.col(by).alias("stream_id"), (F.col("at") - 1).alias("seq"), F.encode(body, "UTF-8").alias("window"), (F.col("at") == F.col("n")).alias("is_last"))
+def _stream_chunks(spark: SparkSession, sf_dir: str, by: str, profile: str, digest: bool = False, keep_first: bool = True) -> DataFrame:
+    """The chunks of each value of `by`: its texts in order of doc_id, joined by line ends; without keep_first the first document is left out."""
+    place = F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", by, "text", *place)
+    return chunk_joined(docs, by, "doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8"), profile, digest, keep_first).withColumnRenamed("stream_id", "name")
 
 
-def _stream_chunks(spark: SparkSession, sf_dir: str, by: str, profile: str, keep_first: bool = True) -> DataFrame:
-    """The chunks of each stream; without keep_first its first document is left out."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", by, "text")
-    if not keep_first:
-        docs = docs.withColumn("least", F.min("doc_id").over(W.partitionBy(by))).where("doc_id > least")
-    return chunk_windows(stream_windows(docs, by), profile).withColumnRenamed("stream_id", "name")
-
-
-def _lang_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stream_chunks(spark, sf_dir, "lang", TEXT)
+def _lang_chunks(spark: SparkSession, sf_dir: str, digest: bool = False) -> DataFrame:
+    return _stream_chunks(spark, sf_dir, "lang", TEXT, digest)
 
 
 def generic_boundaries_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +58,7 @@ def chunk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lang_chunks(spark, sf_dir).select("name", "ordinal", "digest")
+    return _lang_chunks(spark, sf_dir, digest=True).select("name", "ordinal", "digest")
 
 
 def _doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +74,7 @@ def dedup_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a source's stream still shares with itself when its first document is gone: cuts fall into step again behind it."""
     keyed = lambda df: df.where("digest is not null").select(F.col("name").alias("source"), "digest", "length")
-    base, other = keyed(_stream_chunks(spark, sf_dir, "source", GENERIC)), keyed(_stream_chunks(spark, sf_dir, "source", GENERIC, False))
+    base, other = keyed(_stream_chunks(spark, sf_dir, "source", GENERIC, digest=True)), keyed(_stream_chunks(spark, sf_dir, "source", GENERIC, digest=True, keep_first=False))
     known = base.select(F.col("source").alias("s"), F.col("digest").alias("d")).distinct()
     hit = other.join(known, F.col("source").eqNullSafe(F.col("s")) & (F.col("digest") == F.col("d")), "left")
     shared = F.col("d").isNotNull()

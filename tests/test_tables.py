@@ -1,5 +1,6 @@
 """Chunk, member and report tables; streams in windows; files in ranges; SQL."""
 
+import hashlib
 import os
 import random
 
@@ -15,6 +16,7 @@ from sediment.plans import catalogue
 from sediment.plans import synthetic as s
 from sediment.sources import files
 from sediment.streaming.feed import Feed, chunk_windows, windows_of
+from sediment.streaming.joined import Joined, chunk_joined, sketched
 
 PACKAGE = s.docx(s.xml("t", 30_000), s.noise("t", 50_000))
 VALUES = [(1, "a.bin", s.noise("t", 200_000), "application/x-unknown"), (2, "b.md", s.markdown("t", 200_000), "text/markdown"), (3, "c.docx", PACKAGE, None), (4, "d.txt", b"words \xff broken", "text/plain"), (5, "e", b"", "video/mp4"), (6, "f", None, None)]
@@ -235,3 +237,68 @@ def test_sql_functions(spark, table):
 
 def test_every_query_has_sql():
     assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
+
+
+def odd_texts(seed):
+    """Short, empty and long texts; runs without a seam, of one byte and of several to a character."""
+    rng = random.Random(seed)
+    prose = s.prose(f"j{seed}", 400_000).decode()
+    some = [prose[a : a + n] for a, n in ((rng.randrange(300_000), rng.choice([0, 1, 5, 62, 63, 64, 125, 126, 127, 128, 900, 30_000])) for _ in range(120))]
+    runs = ["\u65e5" * 200_001, "x" * 300_000, "\U0001f600e" * 70_001, "x\u00e9" * 30_000, "\u00e9"] * (seed % 2 + 1)
+    out = some + runs + [""] * 5 + ["\u00e9"] * 70
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("profile", [GENERIC, TEXT])
+@pytest.mark.parametrize("seed", range(3))
+def test_joined_streams_in_any_split(profile, seed):
+    import pyarrow as pa
+
+    texts = [t.encode() for t in odd_texts(seed)]
+    data, rng = b"\n".join(texts), random.Random(seed)
+    stream, found, pieces = Joined("a", profile), [], Joined("a", profile)
+    bodies, at = {}, 0
+    while at < len(texts):
+        n = rng.choice([1, 2, 3, 50])
+        part = texts[at : at + n]
+        ids = pa.array(range(at, at + len(part)), pa.int64())
+        batch = pa.RecordBatch.from_arrays([ids, ids, *sketched(part, profile)], names=["file", "row", "n", "edge", "strict", "relaxed", "inner"])
+        at += n
+        for one in (stream, pieces):
+            one.take(batch)
+        found += stream.chosen(False, False)
+        for _, a, b, _, _, led, skip, take, _, row in pieces.chosen(False, True) + (pieces.chosen(True, True) if at >= len(texts) else []):
+            bodies[a, b] = bodies.get((a, b), b"") + ((b"\n" if led else b"") + texts[row])[skip : skip + take]
+    found += stream.chosen(True, False)
+    ends = boundaries(profile, data)
+    assert [r[2] for r in found] == ends and [r[0] for r in found] == list(range(len(ends)))
+    assert [*bodies.items()] == [((a, b), data[a:b]) for a, b in zip([0, *ends], ends)]
+
+
+@pytest.mark.parametrize("profile", [GENERIC, TEXT])
+@pytest.mark.parametrize("keep_first", [True, False])
+def test_joined_streams_of_a_table(spark, profile, keep_first):
+    rows = [(i, n, t) for n, seed in (("a", 4), ("b", 5), (None, 6)) for i, t in enumerate(odd_texts(seed))]
+    rows += [(None, "a", "no id"), (7, "c", ""), (8, "c", None), (1, "d", ""), (None, "e", "lone")]
+    table = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "id long, name string, text string, row long").withColumn("file", F.lit(0).cast("long")).repartition(5)
+    want = {}
+    for n in {r[1] for r in rows}:
+        mine = sorted((r for r in rows if r[1] == n), key=lambda r: (r[0] is None, r[0] or 0))
+        mine = mine if keep_first else [r for r in mine if r[0] is not None and r[0] != mine[0][0]]
+        data = b"\n".join((r[2] or "").encode() for r in mine)
+        ends = boundaries(profile, data)
+        want |= {(n, k): (a, b, b - a, hashlib.sha256(data[a:b]).hexdigest()) for k, (a, b) in enumerate(zip([0, *ends], ends))}
+    cut = lambda digest: chunk_joined(table, "name", "id", F.encode("text", "UTF-8"), profile, digest, keep_first).collect()
+    assert {(r["stream_id"], r["ordinal"]): (r["start"], r["end"], r["length"], r["digest"]) for r in cut(True)} == want
+    assert {(r["stream_id"], r["ordinal"]): (r["start"], r["end"], r["length"]) for r in cut(False)} == {k: v[:3] for k, v in want.items()}
+
+
+@pytest.mark.parametrize("name", ["text_boundaries_lang", "chunk_stats", "chunk_histogram", "chunk_digests", "generic_boundaries_source", "dedup_pairs"])
+def test_no_task_holds_a_stream(spark, tmp_path, name):
+    """No window takes the texts, and what is dealt by stream is one short row a text."""
+    spark.createDataFrame([(i, "en", "a", "words and words " * 20) for i in range(9)], "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan()
+    lines = plan.toString().splitlines()
+    dealt = [i for i, line in enumerate(lines) if "RepartitionByExpression [stream_id" in line and "ordinal" not in line]
+    assert dealt and all("MapInArrow sketches" in lines[i + 1] for i in dealt) and not any("Window " in line for line in lines)
