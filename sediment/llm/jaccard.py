@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm.common import WordTable, documents, materialize, mix64, release, remembered, signed, small_batches, text_or_empty
+from sediment.llm.common import documents, forget, materialize, mix64, release, signed, small_batches, text_or_empty
 from sediment.llm.components import components
 
 SHINGLE = 5
@@ -57,8 +57,8 @@ BLOCK, SPREAD = 1024, 16
 BLOCK_BYTES = 8 << 20
 #: Sets of one task that takes differences from a group's first set.
 CHUNK = 512
-#: Words held at once.
-REMEMBERED = 400_000
+#: Hashes drawn at once.
+DRAWN = 1 << 14
 
 
 def levels_for(n: int) -> int:
@@ -90,28 +90,18 @@ def runs_needed(threshold: float, recall: float, levels: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - survive))
 
 
-class Shingler:
-    """Texts -> sorted distinct 64-bit hashes of their word n-grams."""
-
-    def __init__(self, n: int = SHINGLE) -> None:
-        self.n, self.table, self.hashes = n, WordTable(REMEMBERED), np.empty(0, np.uint64)
-
-    def shingles(self, text: str) -> np.ndarray:
-        if self.table.full():
-            self.table, self.hashes = WordTable(REMEMBERED), np.empty(0, np.uint64)
-        at = self.table.numbers(text.encode().split())
-        if self.table.fresh:
-            new = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.table.fresh), np.uint64, len(self.table.fresh))
-            self.table.fresh, self.hashes = [], np.concatenate([self.hashes, new])
-        words = self.hashes[at]
-        if not len(words):
-            return words
-        width = min(self.n, len(words))
-        count = len(words) - width + 1
-        h = np.zeros(count, np.uint64)
-        for k in range(width):
-            h = mix64(h + words[k : k + count] + np.uint64(k + 1))
-        return np.unique(h)
+def shingles_of(text: str, n: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word n-grams of a text. A word is hashed each time: that is quicker than to look it up."""
+    found = text.encode().split()
+    words = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+    if not len(words):
+        return words
+    width = min(n, len(words))
+    count = len(words) - width + 1
+    h = np.zeros(count, np.uint64)
+    for k in range(width):
+        h = mix64(h + words[k : k + count] + np.uint64(k + 1))
+    return np.unique(h)
 
 
 MULTIPLIERS = mix64(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
@@ -130,11 +120,16 @@ def chosen(shingles: np.ndarray, paths: np.ndarray, threshold: float) -> np.ndar
     n = len(shingles)
     limit = np.uint64(min(2**64 - 1, int(2**64 / (threshold * n))))
     low = np.uint64((1 << RUN_BITS) - 1)
-    out = []
-    for path in paths:
-        drawn = mix64(shingles ^ path)
-        out.append(mix64(drawn[drawn <= limit] + path) & ~low | path & low)
-    return np.unique(np.concatenate(out)) if out else paths
+    out = [paths[:0]]
+    # all paths of a block at once, in blocks that stay in cache
+    for a in range(0, len(paths), DRAWN):
+        some = paths[a : a + DRAWN, None]
+        for b in range(0, n, max(1, DRAWN // len(some))):
+            drawn = mix64(shingles[None, b : b + max(1, DRAWN // len(some))] ^ some)
+            at = np.flatnonzero(drawn <= limit)
+            path = some[at // drawn.shape[1], 0]
+            out.append(mix64(drawn.ravel()[at] + path) & ~low | path & low)
+    return np.unique(np.concatenate(out))
 
 
 def seeds_of(runs: int) -> np.ndarray:
@@ -194,11 +189,11 @@ def _sets(docs: DataFrame, key: str, text: str, threshold: float, runs: int) ->
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = remembered(Shingler)
+        forget()  # what other operators left in the worker
         for batch in batches:
             k, n, sk, paths = [], [], [], []
             for t in batch.column(2).to_pylist():
-                s = cutter.shingles(t)
+                s = shingles_of(t)
                 n.append(len(s))
                 k.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sk.append(sketch(s) if len(s) else None)
@@ -289,11 +284,12 @@ def _differences(rows: DataFrame) -> DataFrame:
     dealt = dealt.repartition("g", "chunk").sortWithinPartitions("g", "chunk", F.col("lead").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, at, first = remembered(Shingler), None, np.empty(0, np.uint64)
+        at, first = None, np.empty(0, np.uint64)
+        forget()
         for batch in batches:
             kept, numbers, diffs = [], [], []
             for i, (g, chunk, lead, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("g", "chunk", "lead", "t")), strict=True)):
-                own = cutter.shingles(t)
+                own = shingles_of(t)
                 if lead:
                     if (g, chunk) != at:  # rows alike in id and text give the first text more than once
                         at, first = (g, chunk), own
@@ -377,9 +373,9 @@ def _exact(rows: DataFrame, threshold: float, block: int, made: list[DataFrame])
 def _split(rows: DataFrame, threshold: float) -> DataFrame:
     """rows (k, label, over, t) -> (k, label, paths): the next level of the paths in `over`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = remembered(Shingler)
+        forget()  # what other operators left in the worker
         for batch in batches:
-            new = [signed(chosen(cutter.shingles(t), np.array(p, np.int64).view(np.uint64), threshold)) for p, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            new = [signed(chosen(shingles_of(t), np.array(p, np.int64).view(np.uint64), threshold)) for p, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new, pa.list_(pa.int64()))], names=["k", "label", "paths"])
 
     return rows.select("k", "label", "over", "t").mapInArrow(run, "k binary, label binary, paths array<long>")

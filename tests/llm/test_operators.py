@@ -370,6 +370,31 @@ def test_components(spark):
     assert got == root
 
 
+def test_shingles_and_paths_equal_their_definition():
+    """In blocks of paths and of shingles, and whatever words came before."""
+    mix = lambda x: int(jaccard.mix64(np.array([x % 2**64], np.uint64))[0])
+    low = (1 << jaccard.RUN_BITS) - 1
+    for words in (1, 4, 5, 6, 300, 4000):
+        t = sentence(f"path {words}", words) + "\u00e9\t\r\n "
+        hashed, want = [jaccard.xxhash.xxh64_intdigest(w) for w in t.encode().split()], set()
+        for i in range(max(1, len(hashed) - 4)):
+            h = 0
+            for k, w in enumerate(hashed[i : i + 5]):
+                h = mix(h + w + k + 1)
+            want.add(h)
+        got = jaccard.shingles_of(t)
+        assert got.tolist() == sorted(want)
+        for paths in (jaccard.seeds_of(17), jaccard.seeds_of(3)[1:], np.empty(0, np.uint64)):
+            limit, children = int(2**64 / (0.5 * len(want))), set()
+            for p in paths.tolist():
+                drawn = jaccard.mix64(got ^ np.uint64(p))
+                children |= {mix(d + p) & ~low | p & low for d in drawn.tolist() if d <= limit}
+            assert jaccard.chosen(got, paths, 0.5).tolist() == sorted(children)
+    many = jaccard.seeds_of(64).repeat(600) + np.arange(64 * 600, dtype=np.uint64)  # more paths than a block
+    few = jaccard.shingles_of(sentence("few", 8))
+    assert jaccard.chosen(few, many, 0.8).tolist() == np.unique(np.concatenate([jaccard.chosen(few, many[i : i + 1], 0.8) for i in range(len(many))])).tolist()
+
+
 # ---------------------------------------------------------------- 6
 
 
